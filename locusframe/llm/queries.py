@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusframe.llm import mixing
 from locusframe.llm.common import read_table
 
 
@@ -36,17 +37,35 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from locusframe.llm.mixing import mix
+
+    return mix(read_table(spark, sf_dir, "documents"), weights=(3, 1, 2), total=1.5, cap=2.0).drop("copies")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from locusframe.llm.quality_rules import quality_rules
 
     return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from locusframe.llm.secrets import count_of, digest, scan_secrets
+
+    found = scan_secrets(read_table(spark, sf_dir, "documents"))
+    counts = [count_of("base", k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(digest("base"), 256).alias("base_sha256"), digest("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
+    "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_mixing": mixing.oracle(),
+}
