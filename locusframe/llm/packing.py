@@ -16,9 +16,11 @@ same sequences.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +33,63 @@ from locusframe.llm import textcore as tc
 POOL = 2048
 END_ID = 1
 MAX_WORDS = 1_000_000
+RUN = 500_000
+
+
+# Classes of bytes: white space, ASCII letters, ASCII digits, what may bind to its neighbours (apostrophes, all that isn't ASCII), other ASCII marks.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[tc.IS_SPACE] = 0
+_KIND[[c for c in range(128) if chr(c).isalpha()]] = 1
+_KIND[[c for c in range(128) if chr(c).isdigit()]] = 2
+_KIND[0x80:] = 3
+_KIND[ord("'")] = 3
+#: Where two bytes meet that no pre-token spans: a digit and any ASCII character, a letter and a mark.
+_APART = np.zeros((5, 5), bool)
+for _a, _b in ((2, 2), (1, 2), (2, 1), (2, 4), (4, 2), (1, 4), (4, 1)):
+    _APART[_a, _b] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+class HashIndex:
+    """A vectorised open-addressing map from 64-bit keys to running numbers."""
+
+    def __init__(self, bits: int):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of the keys, -1 for those that aren't there."""
+        at = keys & self.mask
+        held = self.keys[at]
+        out = np.where(held == keys, self.values[at], np.int32(-1))
+        todo = np.flatnonzero((held != keys) & (held != 0))
+        while len(todo):
+            at[todo] = (at[todo] + np.uint64(1)) & self.mask
+            held = self.keys[at[todo]]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.values[at[todo[hit]]]
+            todo = todo[~hit & (held != 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add distinct keys that aren't there."""
+        at, todo = keys & self.mask, np.arange(len(keys))
+        while len(todo):
+            free = todo[self.keys[at[todo]] == 0]
+            self.keys[at[free]] = keys[free]
+            self.values[at[free]] = values[free]
+            todo = todo[self.keys[at[todo]] != keys[todo]]
+            at[todo] = (at[todo] + np.uint64(1)) & self.mask
 
 
 class WordTokenizer:
-    """Ids of whole texts from a tokenizer whose tokens never cross white space.
+    """Ids of whole texts from a tokenizer that lower-cases and whose tokens never cross white space.
 
-    Each distinct white-space-delimited word is encoded by the library once
-    and kept (up to ``MAX_WORDS`` words, then the store is begun anew).
+    A text is cut where no pre-token can reach across: at white space, between
+    an ASCII letter and an ASCII mark, and beside ASCII digits.  Each distinct
+    piece is encoded by the library once and kept (up to ``MAX_WORDS`` pieces,
+    then the store is begun anew).
     """
 
     def __init__(self, path: str):
@@ -45,52 +97,75 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.special = [a["content"].encode() for a in json.load(f)["added_tokens"]]
         self.begin()
 
     def begin(self) -> None:
-        self.at: dict[int, int] = {}
+        self.index, self.count = HashIndex(MAX_WORDS.bit_length() + 1), 0
         self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def learn(self, hashes: list[int], texts: list[str]) -> None:
+    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         encoded = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        n = len(self.at)
+        n = self.count
         while n + len(texts) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         lists = [e.ids for e in encoded]
         size = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(flat)] = flat
         self.size[n : n + len(size)] = size
         self.start[n : n + len(size)] = self.used + np.cumsum(size) - size
         self.used += len(flat)
-        self.at.update(zip(hashes, range(n, n + len(hashes)), strict=True))
+        self.count += len(texts)
+        self.index.put(hashes, np.arange(n, self.count, dtype=np.int32))
+
+    def pieces(self, s: tc.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The slice's bytes in lower case, and starts and ends of its pieces."""
+        kind, data = _KIND[s.data], s.data
+        whole = data.tobytes()
+        if any(x in whole for x in self.special):
+            return (data, *tc.words(s))
+        meet = np.zeros(len(data) + 1, bool)
+        meet[1:-1] = _APART[kind[:-1], kind[1:]]
+        meet[s.offs] = True
+        solid = kind != 0
+        starts = np.flatnonzero(solid & (meet[:-1] | np.concatenate([[True], ~solid[:-1]])))
+        ends = np.flatnonzero(solid & (meet[1:] | np.concatenate([~solid[1:], [True]]))) + 1
+        return _LOWER[data], starts, ends
 
     def encode(self, s: tc.Slice) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice, and offsets by row."""
-        starts, ends = tc.words(s)
+        if len(s.data) == 0:
+            return np.zeros(0, np.uint32), np.zeros(len(s) + 1, np.int64)
+        data, starts, ends = self.pieces(s)
         woffs = tc.word_offsets(starts, s.offs)
         if len(starts) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(s) + 1, np.int64)
-        distinct, inverse = np.unique(tc.span_hash(tc.prefix_hash(s.data), starts, ends), return_inverse=True)
-        if len(self.at) + len(distinct) > MAX_WORDS:
+        hashes = tc.span_hash(tc.prefix_hash(data), starts, ends) | np.uint64(1)
+        parts = [self.encode_pieces(data, starts[k : k + RUN], ends[k : k + RUN], hashes[k : k + RUN]) for k in range(0, len(starts), RUN)]
+        total = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(np.concatenate([size for _, size in parts]), out=total[1:])
+        return np.concatenate([ids for ids, _ in parts]), total[woffs]
+
+    def encode_pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of at most ``RUN`` pieces, and how many each has."""
+        if self.count > MAX_WORDS:
             self.begin()
-        keys = distinct.tolist()
-        where = np.fromiter((self.at.get(k, -1) for k in keys), np.int64, len(keys))
-        new = np.flatnonzero(where < 0)
+        word = self.index.get(hashes)
+        new = np.flatnonzero(word < 0)
         if len(new):
-            some = np.zeros(len(keys), np.int64)
-            some[inverse] = np.arange(len(inverse))
-            self.learn([keys[i] for i in new], [s.data[starts[i] : ends[i]].tobytes().decode() for i in some[new]])
-            where[new] = np.arange(len(self.at) - len(new), len(self.at))
-        word = where[inverse]
+            fresh, some = np.unique(hashes[new], return_index=True)
+            at = new[some]
+            self.learn(fresh, [data[a:b].tobytes().decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            word[new] = self.index.get(hashes[new])
         size = self.size[word]
-        total = np.zeros(len(size) + 1, np.int64)
-        np.cumsum(size, out=total[1:])
-        at = np.arange(total[-1]) + np.repeat(self.start[word] - total[:-1], size)
-        return self.ids[at], total[woffs]
+        total = np.cumsum(size)
+        at = np.arange(total[-1]) + np.repeat(self.start[word] - (total - size), size)
+        return self.ids[at], size
 
 
 @lru_cache(4)
