@@ -37,6 +37,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from locusframe.llm.vector_search import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from locusframe.llm.near_dedup import near_duplicates
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
+    "op6_vector_search": op6_vector_search,
     "op7_near_dedup": op7_near_dedup,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
