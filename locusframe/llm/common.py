@@ -73,7 +73,7 @@ def text_key(col: str | Column) -> Column:
 
 
 def attach(big: DataFrame, keys: DataFrame, on: str, hot_share: int = 5000) -> DataFrame:
-    """Left join of ``big`` to ``keys`` (one row a key; its column ``n`` counts the key's rows in ``big``).
+    """Inner join of ``big`` to ``keys`` (one row a key; its column ``n`` counts the key's rows in ``big``).
 
     Keys that hold at least one ``hot_share``-th of all rows number at most
     ``hot_share``, so they can be broadcast; of the others none can load a
@@ -84,6 +84,4 @@ def attach(big: DataFrame, keys: DataFrame, on: str, hot_share: int = 5000) -> D
     least = max(2, -(-int(total) // hot_share))
     hot = F.broadcast(keys.where(F.col("n") >= least).drop("n"))
     cold = keys.where(F.col("n") < least).drop("n")
-    held = big.join(hot, on, "inner")
-    rest = big.join(hot.select(on), on, "left_anti").join(cold, on, "left")
-    return held.unionByName(rest)
+    return big.join(hot, on).unionByName(big.join(cold, on))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import mixing
+from locusframe.llm import mixing, warc
 from locusframe.llm.common import read_table
 
 
@@ -37,6 +37,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from locusframe.llm.warc import round_trip
+
+    return round_trip(spark, read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from locusframe.llm.vector_search import nearest
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
+    "op4_warc": op4_warc,
     "op6_vector_search": op6_vector_search,
     "op7_near_dedup": op7_near_dedup,
     "op8_mixing": op8_mixing,
@@ -81,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_warc": warc.ORACLE,
     "op8_mixing": mixing.oracle(),
 }
