@@ -43,6 +43,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from locusframe.llm.html_extract import extract_main_text
+
+    return extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from locusframe.llm.vector_search import nearest
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
     "op4_warc": op4_warc,
+    "op5_html_text": op5_html_text,
     "op6_vector_search": op6_vector_search,
     "op7_near_dedup": op7_near_dedup,
     "op8_mixing": op8_mixing,
