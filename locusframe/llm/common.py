@@ -62,6 +62,16 @@ def remove_scratch() -> None:
 atexit.register(remove_scratch)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session passes Arrow batches of at most 8 MB to Python from now on.
+
+    A batch is held several times, by the JVM and by the worker, and the
+    default of 64 MB is much for an executor whose heap is in use.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

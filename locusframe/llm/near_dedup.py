@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.llm import textcore as tc
-from locusframe.llm.common import materialize
+from locusframe.llm.common import materialize, small_batches
 
 BANDS, ROWS = 28, 5
 FEW = 32
@@ -133,7 +133,16 @@ def banded(docs: DataFrame, key: str, text: str, k: int, bands: int, rows: int)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), lists], names=["id", "node", "buckets"])
 
     chosen = docs.select(F.col(key).alias("id"), node_of(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return chosen.mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, node bigint, buckets array<bigint>")
+    return small_batches(chosen).mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, node bigint, buckets array<bigint>")
+
+
+def unseen(batch: pa.RecordBatch, seen: set[int]) -> pa.Array:
+    """Which rows of a batch hold a node for the first time."""
+    fresh = []
+    for node in batch.column("node").to_pylist():
+        fresh.append(node not in seen)
+        seen.add(node)
+    return pa.array(fresh, pa.bool_())
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str, k: int) -> DataFrame:
@@ -142,50 +151,33 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str, k: int) -> DataFr
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            ids = batch.column("node").to_pylist()
-            fresh = []
-            for x in ids:
-                fresh.append(x not in seen)
-                seen.add(x)
-            yield batch.filter(pa.array(fresh))
+            yield batch.filter(unseen(batch, seen))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            batch = batch.filter(unseen(batch, seen))
             for s in tc.slices(batch.column("text")):
                 h, _, offs = weighted_shingles(s, k)
                 lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(s.lo, len(s)), lists], names=["node", "set"])
 
     # copies of a text within a task go on once, so a text that fills the corpus is a row per task
+    docs = small_batches(docs)
     texts = docs.select(node_of(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(once, "node bigint, text string")
-    needed = texts.join(nodes, "node", "left_semi").mapInArrow(once, "node bigint, text string")
-    return needed.mapInArrow(sets, "node bigint, set array<bigint>")
+    return texts.join(nodes, "node", "left_semi").mapInArrow(sets, "node bigint, set array<bigint>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Of the pairs (a, b) those whose shingle sets have a Jaccard similarity of at least ``least``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column("sa"), batch.column("sb")
-            lo, ro = np.asarray(left.offsets), np.asarray(right.offsets)
-            lv, rv = np.asarray(left.values), np.asarray(right.values)
-            near = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = lv[lo[i] : lo[i + 1]], rv[ro[i] : ro[i + 1]]
-                if min(len(x), len(y)) < least * max(len(x), len(y)):
-                    continue
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                near[i] = common >= least * (len(x) + len(y) - common)
-            yield batch.select(["a", "b"]).filter(pa.array(near))
-
     first = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
     second = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     rows = pairs.select("a", "b").join(first, "a").join(second, "b")
+    x, y = F.size("sa"), F.size("sb")
+    rows = rows.where(F.least(x, y) >= F.greatest(x, y) * F.lit(least - 1e-9))
+    common = F.size(F.array_intersect("sa", "sb"))
     # a node's set may have been made by two tasks
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.where(common / (x + y - common) >= F.lit(least)).select("a", "b").distinct()
 
 
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -222,7 +214,8 @@ def near_duplicates(
 
     Returns a row per row of ``docs``: ``key``, class_id (the least id of the
     class), class_size (rows of the class), text_class (the least id among
-    exact copies of the row's text) and node (the text's key).  Two texts are
+    exact copies of the row's text), node (the text's key) and label (the least
+    node of the class).  Two texts are
     linked if the Jaccard similarity of their sets of ``k``-word shingles is
     at least ``similarity``; a text of fewer words has one shingle of them
     all; classes are connected components of links and exact copies.  A null
@@ -261,5 +254,5 @@ def near_duplicates(
     least = base.groupBy("node").agg(F.min("id").alias("text_class"), F.count(F.lit(1)).alias("n"))
     tagged = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = tagged.groupBy("label").agg(F.min("text_class").alias("class_id"), F.sum("n").alias("class_size"))
-    by_node = materialize(tagged.join(classes, "label").select("node", "class_id", "class_size", "text_class"), "classes")
-    return base.select("id", "node").join(by_node, "node").select(F.col("id").alias(key), "class_id", "class_size", "text_class", "node")
+    by_node = materialize(tagged.join(classes, "label").select("node", "label", "class_id", "class_size", "text_class"), "classes")
+    return base.select("id", "node").join(by_node, "node").select(F.col("id").alias(key), "class_id", "class_size", "text_class", "node", "label")

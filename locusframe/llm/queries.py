@@ -58,7 +58,7 @@ def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from locusframe.llm.near_dedup import near_duplicates
 
-    return near_duplicates(read_table(spark, sf_dir, "documents"), k=5, similarity=0.8).drop("node")
+    return near_duplicates(read_table(spark, sf_dir, "documents"), k=5, similarity=0.8).select("doc_id", "class_id", "class_size", "text_class")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(digest("base"), 256).alias("base_sha256"), digest("spans").alias("spans"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_token_counts": op2_token_counts,
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_secrets": op10_secrets,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -118,3 +118,40 @@ def digest(col: str) -> Column:
 
 def count_of(col: str, kind: str) -> Column:
     return F.size(F.filter(F.col(col), lambda s: s["rank"] == KINDS.index(kind))).cast("long")
+
+
+def redact(docs: DataFrame, text: str = "text", scope: int = SCOPE, mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every reported span of ``text`` replaced by ``mark``; overlapping spans become one mark.
+
+    Texts without weak parts need no linking and aren't shuffled; the others
+    are joined with their linked parts by a key of the text.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    has_weak = F.lit(False)
+    for pattern, _, _ in WEAK.values():
+        has_weak = has_weak | t.rlike(pattern)
+    weak_docs = docs.where(has_weak)
+    weak = materialize(linked(materialize(found_parts(weak_docs, docs.columns[0], text), "secrets"), scope), "linked")
+    ranked = [F.transform(spans(t, *rule), lambda x, i=i: F.struct(x["start"].alias("start"), F.lit(i).alias("rank"), x["end"].alias("end"))) for i, rule in enumerate(BASE.values())]
+    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
+
+    def clean(rows: DataFrame, more: Column) -> DataFrame:
+        every = F.array_sort(F.concat(*ranked, more))
+        walk = F.aggregate(
+            every,
+            F.struct(F.lit(0).alias("at"), F.lit("").alias("done")),
+            lambda acc, s: F.struct(
+                F.greatest(acc["at"], s["end"]).alias("at"),
+                F.when(s["start"] >= acc["at"], F.concat(acc["done"], F.substr(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["done"]).alias("done"),
+            ),
+            lambda acc: F.concat(acc["done"], F.substr(t, acc["at"] + 1)),
+        )
+        any_base = F.lit(False)
+        for pattern, _, _ in BASE.values():
+            any_base = any_base | t.rlike(pattern)
+        return rows.withColumn("__clean", F.when(any_base | (F.size(more) > 0), walk).otherwise(F.col(text)))
+
+    joined = weak_docs.withColumn("__text_key", F.md5(t)).join(weak.withColumnRenamed("__text", "__text_key").withColumnRenamed("weak", "__weak"), "__text_key", "left")
+    parts = [clean(docs.where(~has_weak), none), clean(joined, F.coalesce("__weak", none)).drop("__weak", "__text_key")]
+    both = parts[0].unionByName(parts[1].select(*parts[0].columns))
+    return both.withColumn(text, F.col("__clean")).drop("__clean")
