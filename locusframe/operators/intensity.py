@@ -63,7 +63,7 @@ def baf_lrr(cells: DataFrame, medians: tuple[Column, Column]) -> DataFrame:
     # which clusters exist decides the case; outside the outer centres the frequency is 0 or 1
     case = lambda a, h, b: (has_a == F.lit(a)) & (has_h == F.lit(h)) & (has_b == F.lit(b))
     pair = [
-        (th.isNull() | disordered | case(False, False, False), none, none),
+        (th.isNull() | disordered | (~has_a & ~has_b), none, none),
         (case(False, False, True), F.when(th >= tb, one), F.when(th >= tb, log2_ratio(r, rb))),
         (case(True, False, False), F.when(th <= ta, zero), F.when(th <= ta, log2_ratio(r, ra))),
         (case(True, False, True), F.when(near_a & (th < ta), zero).when(~near_a & (th >= tb), one), F.when(near_a & (th < ta), log2_ratio(r, ra)).when(~near_a & (th >= tb), log2_ratio(r, rb))),
