@@ -1,19 +1,21 @@
 """Near-duplicate detection by ProbMinHash (operator 7).
 
-A text's five-word shingles, weighted by how often they occur in it, are
-elements of Poisson processes whose rates are their weights.  Each arrival
+A text's five-word shingles are elements of Poisson processes whose rates are
+their weights: how often they occur in the text, or 1 for each.  Each arrival
 falls on a register; a register keeps the element that arrives first, and a
 process ends as soon as its next arrival is later than the last of the
 document's register minima.  The share of registers on which two documents
-agree estimates their probability Jaccard similarity.
+agree estimates their probability Jaccard similarity, which with weights of 1 is the
+Jaccard similarity of the shingle sets.
 
 Registers are banded; texts that share a bucket are candidates, and candidates
 are verified exactly on their shingle sets.  Exact copies are one node from
-the start.  In a bucket every node is compared with the bucket's least node (a
-star), then, in buckets that still hold several components, with twice as many
-centres in each round until either the bucket holds one component or every
-pair across components has been compared, so no link between candidates is
-lost and pairs within a component are never enumerated.  Components come from
+the start.  In a bucket every node is compared with the bucket's hub (a star).
+In buckets that still hold several components, exact bounds rule out what
+cannot be linked, and the rest is compared with more and more centres until
+the bucket holds one component or no possible pair across components is left,
+so no link between candidates is lost and pairs within a component are never
+enumerated.  Components come from
 min-label propagation with pointer jumping; every step reads tables written in
 the shared folder.
 """
@@ -28,10 +30,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.llm import textcore as tc
-from locusframe.llm.common import materialize, small_batches
+from locusframe.llm.common import materialize, small_batches, tidy
 
 BANDS, ROWS = 28, 5
 FEW = 32
+RARE = 24
 _U = np.uint64
 
 
@@ -74,13 +77,30 @@ def subset(h: np.ndarray, w: np.ndarray, offs: np.ndarray, rows: np.ndarray) ->
     return h[at], w[at], new
 
 
-def weighted_shingles(s: tc.Slice, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def weighted_shingles(s: tc.Slice, k: int, weighted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each row in ascending order, their weights, and offsets by row."""
     starts, ends = tc.words(s)
     wh = tc.span_hash(tc.prefix_hash(s.data), starts, ends)
-    return tc.unique_per_row(*tc.shingles(wh, tc.word_offsets(starts, s.offs), k))
-
-
-def signatures(texts: pa.Array, k: int, registers: int) -> tuple[np.ndarray, np.ndarray]:
+    h, counts, offs = tc.unique_per_row(*tc.shingles(wh, tc.word_offsets(starts, s.offs), k))
+    return h, counts if weighted else np.ones(len(h), np.int64), offs
+
+
+def probability_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndarray) -> float:
+    """Sum over common elements i of 1 / sum over j of max(w1[j] / w1[i], w2[j] / w2[i]); hashes ascend."""
+    _, i, j = np.intersect1d(h1, h2, assume_unique=True, return_indices=True)
+    if not len(i):
+        return 0.0
+    a, b = w1[i].astype(float), w2[j].astype(float)
+    order = np.argsort(a / b, kind="stable")
+    a, b = a[order], b[order]
+    # for element i those with a smaller ratio add their w2 over w2[i], the others their w1 over w1[i]
+    low = np.concatenate([[0.0], np.cumsum(b)])[:-1]
+    high = np.cumsum(a[::-1])[::-1]
+    rest1, rest2 = w1.sum() - a.sum(), w2.sum() - b.sum()
+    return float((1.0 / ((high + rest1) / a + (low + rest2) / b)).sum())
+
+
+def signatures(texts: pa.Array, k: int, registers: int, weighted: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """ProbMinHash signatures and numbers of distinct shingles of whole texts.
 
     Texts with few shingles need many rounds; they are gathered so that those
@@ -90,7 +110,7 @@ def signatures(texts: pa.Array, k: int, registers: int) -> tuple[np.ndarray, np.
     size = np.zeros(len(texts), np.int64)
     small: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     for s in tc.slices(texts):
-        h, w, offs = weighted_shingles(s, k)
+        h, w, offs = weighted_shingles(s, k, weighted)
         n = np.diff(offs)
         size[s.lo : s.hi] = n
         big = np.flatnonzero(n >= FEW)
@@ -119,12 +139,12 @@ def node_of(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def banded(docs: DataFrame, key: str, text: str, k: int, bands: int, rows: int) -> DataFrame:
+def banded(docs: DataFrame, key: str, text: str, k: int, bands: int, rows: int, weighted: bool) -> DataFrame:
     """A row per document: id, node, buckets (empty for a text without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, size = signatures(batch.column("text"), k, bands * rows)
+            sig, size = signatures(batch.column("text"), k, bands * rows, weighted)
             b = buckets_of(sig, bands, rows).view(np.int64)
             n = np.where(size > 0, bands, 0)
             offs = np.zeros(len(n) + 1, np.int32)
@@ -133,7 +153,7 @@ def banded(docs: DataFrame, key: str, text: str, k: int, bands: int, rows: int)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), lists], names=["id", "node", "buckets"])
 
     chosen = docs.select(F.col(key).alias("id"), node_of(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return small_batches(chosen).mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, node bigint, buckets array<bigint>")
+    return small_batches(chosen).mapInArrow(tidy(run), f"id {docs.schema[key].dataType.simpleString()}, node bigint, buckets array<bigint>")
 
 
 def unseen(batch: pa.RecordBatch, seen: set[int]) -> pa.Array:
@@ -145,8 +165,8 @@ def unseen(batch: pa.RecordBatch, seen: set[int]) -> pa.Array:
     return pa.array(fresh, pa.bool_())
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str, k: int) -> DataFrame:
-    """The sorted distinct shingle hashes (``set``) of the given nodes."""
+def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str, k: int, weighted: bool) -> DataFrame:
+    """The sorted distinct shingle hashes (``set``) of the given nodes, and their weights if they are weighted."""
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -158,26 +178,51 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str, k: int) -> DataFr
         for batch in batches:
             batch = batch.filter(unseen(batch, seen))
             for s in tc.slices(batch.column("text")):
-                h, _, offs = weighted_shingles(s, k)
-                lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(s.lo, len(s)), lists], names=["node", "set"])
+                h, w, offs = weighted_shingles(s, k, weighted)
+                at = pa.array(offs.astype(np.int32))
+                lists = [pa.ListArray.from_arrays(at, pa.array(h.view(np.int64)))] + [pa.ListArray.from_arrays(at, pa.array(w))] * weighted
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(s.lo, len(s)), *lists], names=["node", "set", *["weights"] * weighted])
 
     # copies of a text within a task go on once, so a text that fills the corpus is a row per task
     docs = small_batches(docs)
-    texts = docs.select(node_of(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(once, "node bigint, text string")
-    return texts.join(nodes, "node", "left_semi").mapInArrow(sets, "node bigint, set array<bigint>")
+    texts = docs.select(node_of(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(tidy(once), "node bigint, text string")
+    return texts.join(nodes, "node", "left_semi").mapInArrow(tidy(sets), "node bigint, set array<bigint>" + ", weights array<bigint>" * weighted)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Of the pairs (a, b) those whose shingle sets have a Jaccard similarity of at least ``least``."""
+def overlaps(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Sizes and common elements of pairs' sets: a, b, na, nb, common; pairs whose sizes rule ``least`` out are left out."""
     first = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
     second = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     rows = pairs.select("a", "b").join(first, "a").join(second, "b")
     x, y = F.size("sa"), F.size("sb")
     rows = rows.where(F.least(x, y) >= F.greatest(x, y) * F.lit(least - 1e-9))
-    common = F.size(F.array_intersect("sa", "sb"))
     # a node's set may have been made by two tasks
-    return rows.where(common / (x + y - common) >= F.lit(least)).select("a", "b").distinct()
+    return rows.select("a", "b", x.alias("na"), y.alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common")).distinct()
+
+
+def links_of(counted: DataFrame, least: float) -> DataFrame:
+    common = F.col("common")
+    return counted.where(common / (F.col("na") + F.col("nb") - common) >= F.lit(least)).select("a", "b")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Of the pairs (a, b) those that are similar by at least ``least``: by probability Jaccard where there are weights, else by Jaccard."""
+    if "weights" in sets.columns:
+        return verify_weighted(pairs, sets, least)
+    return links_of(overlaps(pairs, sets, least), least)
+
+
+def verify_weighted(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c) for c in ("sa", "wa", "sb", "wb")), strict=True)
+            near = [probability_jaccard(*(np.asarray(x.values) for x in row)) >= least for row in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    ordered = sets.select("node", F.array_sort(F.arrays_zip("set", "weights")).alias("z"))
+    first, second = (ordered.select(F.col("node").alias(n), F.col("z.set").alias(f"s{n}"), F.col("z.weights").alias(f"w{n}")) for n in "ab")
+    rows = small_batches(pairs.select("a", "b").join(first, "a").join(second, "b"))
+    return rows.select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -201,6 +246,124 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         now = new.select("node", "label")
 
 
+def hubs_of(members: DataFrame) -> DataFrame:
+    """Each bucket's hub, the node that shares buckets with most others: (bucket, hub).
+
+    An original shares more buckets with its copies than those do with each
+    other, so the star around it finds most links at once.
+    """
+    size = materialize(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    fraction = (F.col("node").bitwiseAND(F.lit(0xFFFFF))) / F.lit(2.0**21)  # a tie-break
+    reach = materialize(members.join(size, "bucket").groupBy("node").agg((F.sum("n") + F.first(fraction)).alias("reach")), "reach")
+    return materialize(members.join(reach, "node").groupBy("bucket").agg(F.max_by("node", "reach").alias("hub")), "hubs")
+
+
+def possible(n: Column, own: Column, n2: Column, own2: Column, least: float) -> Column:
+    """Whether two sets of n and n2 elements, of which own and own2 are not in the other, can be as similar as ``least``."""
+    most = F.least(n - own, n2 - own2)
+    return most >= F.lit(least - 1e-9) * (n + n2 - most)
+
+
+def rare_pairs(named: DataFrame, sets: DataFrame, similarity: float, weighted: bool) -> tuple[DataFrame, DataFrame]:
+    """What rare shingles (of at most ``RARE`` of the nodes in question) tell about nodes and pairs.
+
+    Returns each node's set size and number of rare shingles (``own``), and
+    the pairs of different components that share so many rare shingles that
+    they can be similar.  In any other pair a node's rare shingles are not
+    the other's, which bounds the pair's similarity.
+    """
+    nodes = materialize(named.select("node", "label").distinct(), "open_nodes")
+    mine = sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    if weighted:  # the bounds hold for sets; with weights nothing is ruled out
+        facts = nodes.select("node", F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("own"))
+        return materialize(facts, "facts"), nodes.where("false").select(F.col("node").alias("a"), F.col("node").alias("b"))
+    mine = materialize(mine, "open_sets")
+    theirs = mine.select("node", F.explode("set").alias("shingle"))
+    rare = materialize(theirs.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= RARE), "rare")
+    held = materialize(theirs.join(rare, "shingle"), "rare_held")
+    own = held.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    facts = materialize(mine.select("node", F.size("set").cast("long").alias("size")).join(own, "node", "left").select("node", "size", F.coalesce("own", F.lit(0)).alias("own")), "facts")
+    # lists of at most RARE nodes, so a shingle gives at most RARE * (RARE - 1) / 2 pairs
+    lists = held.where("df > 1").groupBy("shingle").agg(F.array_sort(F.collect_list("node")).alias("l"))
+    pairs = lists.select(F.explode(F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", 1, i), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
+    shared = pairs.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("shared"))
+    known = facts.join(nodes, "node")
+    a, b = (known.select(*[F.col(c).alias(f"{c}_{n}") for c in known.columns]) for n in "ab")
+    shared = shared.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b"))
+    most = F.least(F.col("size_a") - F.col("own_a"), F.col("size_b") - F.col("own_b")) + F.col("shared")
+    can = (F.col("label_a") != F.col("label_b")) & (most >= F.lit(similarity - 1e-9) * (F.col("size_a") + F.col("size_b") - most))
+    return facts, shared.where(can).select("a", "b")
+
+
+def ranked_rows(named: DataFrame, facts: DataFrame, similarity: float, weighted: bool) -> DataFrame:
+    """The rows of open buckets with what bounds their similarities, and their places as centres.
+
+    Rows outside a bucket's largest component (``minor``) come first, then
+    those with few rare shingles: every pair across components has a minor
+    row, so when those have been centres the bucket is done.  Rows that cannot
+    be similar to anything in their bucket are left out.
+    """
+    named = named.join(facts, "node")
+    if weighted:
+        named = named.withColumn("beyond", F.lit(None).cast("long"))
+    else:
+        # what a node has beyond the hub's set, less its rare shingles there: no pair that is left shares those
+        hub_own = facts.select(F.col("node").alias("hub"), F.col("own").alias("hub_own"))
+        # the hub has all of its own set
+        named = named.join(hub_own, "hub").withColumn("common", F.coalesce("common", F.col("size")).cast("long"))
+        named = named.withColumn("beyond", F.col("size") - F.col("common") - F.greatest(F.col("own") - F.col("hub_own"), F.lit(0)))
+        named = named.drop("hub_own")
+    named = materialize(named.drop("hub"), "bounded")
+    count = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least_size"))
+    largest = count.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.min("least_size").alias("least_size"))
+    named = named.join(materialize(largest, "largest"), "bucket")
+    # with the smallest set of the bucket, none of it its own, if that isn't smaller than what can be common
+    most = F.col("size") - F.col("own")
+    named = named.where(possible(F.col("size"), F.col("own"), F.greatest(F.col("least_size"), most), F.lit(0), similarity))
+    named = named.withColumn("minor", F.col("label") != F.col("largest")).drop("least_size", "largest")
+    return named.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("minor"), "own", "node")))
+
+
+def compare_rest(members: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float, weighted: bool) -> DataFrame:
+    """Find the links that the stars left out; returns the new labels.
+
+    ``members``: bucket, node, the bucket's hub, and how much of its set the
+    node shares with the hub (``common``; null for the hub itself).
+    Only buckets that still hold several components matter.  Pairs of their
+    nodes that share rare shingles are compared; in all other pairs the rare
+    shingles of either node bound the similarity, which rules out most nodes
+    and pairs exactly.  What is left is compared in rounds, each with twice as many
+    centres of a bucket as before (see :func:`ranked_rows`),
+    until a bucket is one component or no possible pair is left.
+    """
+    rest, centers, done = members, 0, None
+    while True:
+        named = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        last = F.max(F.when(F.col("minor"), F.col("rank"))) if centers else F.lit(1)
+        open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), last.alias("last")).where((F.col("lo") < F.col("hi")) & (F.col("last") > centers)).select("bucket")
+        named = materialize(named.join(materialize(open_, "open"), "bucket"), "named")
+        if named.isEmpty():
+            return labels
+        if centers == 0:
+            facts, more = rare_pairs(named, sets, similarity, weighted)
+            done = materialize(more, "pairs")
+            labels = components(verify(done, sets, similarity), labels)
+            named = ranked_rows(named.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), facts, similarity, weighted)
+        ranked = materialize(named, "ranked")
+        upto = max(4, 2 * centers)
+        new = ranked.where((F.col("rank") > centers) & (F.col("rank") <= upto)).select("bucket", F.col("node").alias("c"), F.col("label").alias("cl"), F.col("size").alias("cs"), F.col("own").alias("co"), F.col("common").alias("cc"), F.col("beyond").alias("cb"), F.col("rank").alias("cr"))
+        fits = (F.col("rank") > F.col("cr")) & (F.col("label") != F.col("cl")) & possible(F.col("size"), F.col("own"), F.col("cs"), F.col("co"), similarity)
+        # what both share of the hub, and what both can share beyond it
+        most = F.least("common", "cc") + F.greatest(F.least("beyond", "cb"), F.lit(0))
+        fits = fits & F.coalesce(most >= F.lit(similarity - 1e-9) * (F.col("size") + F.col("cs") - most), F.lit(True))
+        more = ranked.join(new, "bucket").where(fits).select(F.greatest("node", "c").alias("a"), F.least("node", "c").alias("b")).distinct()
+        more = materialize(more if done is None else more.join(done, ["a", "b"], "left_anti"), "pairs")
+        labels = components(verify(more, sets, similarity), labels)
+        done = more if done is None else done.unionByName(more)
+        rest = ranked.drop("label")
+        centers = upto
+
+
 def near_duplicates(
     docs: DataFrame,
     k: int = 5,
@@ -209,48 +372,41 @@ def near_duplicates(
     rows: int = ROWS,
     key: str = "doc_id",
     text: str = "text",
+    weighted: bool = False,
 ) -> DataFrame:
     """Classes of near-duplicate documents.
 
-    Returns a row per row of ``docs``: ``key``, class_id (the least id of the
+    ``weighted``: shingles weigh as often as they occur, and the similarity is
+    the probability Jaccard of the weights; else each weighs 1, and it is the
+    Jaccard similarity of the sets.  Returns a row per row of ``docs``: ``key``, class_id (the least id of the
     class), class_size (rows of the class), text_class (the least id among
     exact copies of the row's text), node (the text's key) and label (the least
     node of the class).  Two texts are
-    linked if the Jaccard similarity of their sets of ``k``-word shingles is
-    at least ``similarity``; a text of fewer words has one shingle of them
+    linked if the similarity of their ``k``-word shingles is at least
+    ``similarity``; a text of fewer words has one shingle of them
     all; classes are connected components of links and exact copies.  A null
     text counts as empty, and texts without words are classes by exact text
     only.  A class whose ids are all null has a null class_id.  With the given
     bands a candidate pair at similarity 0.8 is missed with probability
     1.5e-5, and at 0.85 with 7e-8.
     """
-    base = materialize(banded(docs, key, text, k, bands, rows), "banded")
+    base = materialize(banded(docs, key, text, k, bands, rows, weighted), "banded")
     held = base.select(F.explode("buckets").alias("bucket"), "node")
-    several = held.groupBy("bucket").agg(F.min("node").alias("center"), F.max("node").alias("top")).where("center < top")
-    several = materialize(several.drop("top"), "several")
-    members = materialize(held.join(several, "bucket").select("bucket", "node", "center").distinct(), "members")
-    pairs = materialize(members.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct(), "pairs")
+    several = held.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
+    several = materialize(several, "several")
+    members = materialize(held.join(several, "bucket").select("bucket", "node").distinct(), "members")
     involved = materialize(members.select("node").distinct(), "involved")
-    sets = materialize(shingle_sets(docs, involved, text, k), "sets")
-    labels = components(verify(pairs, sets, similarity))
-    centers = 1
-    rest = members.select("bucket", "node")
-    while True:
-        # buckets that still hold several components
-        named = rest.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where((F.col("lo") < F.col("hi")) & (F.col("n") > centers))
-        open_ = materialize(open_.select("bucket"), "open")
-        if open_.isEmpty():
-            break
-        named = materialize(named.join(open_, "bucket"), "named")
-        ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
-        new = ranked.where((F.col("rank") > centers) & (F.col("rank") <= 2 * centers)).select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
-        more = named.join(new, "bucket").where("label <> lb and node <> b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        labels = components(verify(more, sets, similarity), labels)
-        pairs = pairs.unionByName(more)
-        rest = named.select("bucket", "node")
-        centers *= 2
+    sets = materialize(shingle_sets(docs, involved, text, k, weighted), "sets")
+    members = materialize(members.join(hubs_of(members), "bucket"), "starred")
+    stars = materialize(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    if weighted:
+        members = members.withColumn("common", F.lit(None).cast("int"))
+        labels = components(verify(stars, sets, similarity))
+    else:
+        counted = materialize(overlaps(stars, sets, 0.0), "overlaps")
+        labels = components(links_of(counted, similarity))
+        members = members.join(counted.select(F.col("a").alias("node"), F.col("b").alias("hub"), "common"), ["node", "hub"], "left")
+    labels = compare_rest(members, sets, labels, similarity, weighted)
     least = base.groupBy("node").agg(F.min("id").alias("text_class"), F.count(F.lit(1)).alias("n"))
     tagged = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = tagged.groupBy("label").agg(F.min("text_class").alias("class_id"), F.sum("n").alias("class_size"))
