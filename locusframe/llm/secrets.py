@@ -57,6 +57,15 @@ def spans(text: Column, pattern: str, group: int, least: int) -> Column:
     return F.when(text.rlike(pattern), kept).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
+def ranked(found: Column, rank: int) -> Column:
+    """Spans with their kind's place in ``KINDS``, as (start, rank, end)."""
+
+    def tag(x: Column) -> Column:
+        return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"))
+
+    return F.transform(found, tag)
+
+
 def found_parts(docs: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """A row per document: key, a key of the text, and for each kind the array of its spans."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -67,7 +76,7 @@ def found_parts(docs: DataFrame, key: str, text: str, carry: tuple[str, ...] = (
 def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The weak spans whose complementary parts co-occur, by text: __text, weak (array of start, rank, end)."""
     some = parts.where(F.size("key") + F.size("user") + F.size("endpoint") > 0).select("__text", *KINDS)
-    tagged = F.concat(*[F.transform(F.col(k), lambda x, i=i: F.struct(F.lit(i).alias("rank"), x["start"].alias("start"), x["end"].alias("end"))) for i, k in enumerate(KINDS)])
+    tagged = F.concat(*[ranked(F.col(k), i) for i, k in enumerate(KINDS)])
     # texts repeat: their parts are distinct before anything is joined
     rows = some.select("__text", F.explode(tagged).alias("p")).select("__text", "p.*").distinct()
     rows = materialize(rows.withColumn("cell", F.floor(F.col("start") / scope).cast("int")), "parts")
@@ -103,9 +112,9 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", scope
     spans; repeated rows give repeated results; no other column is read.
     """
     parts = materialize(found_parts(docs, key, text), "secrets")
-    ranked = [F.transform(F.col(k), lambda x, i=i: F.struct(x["start"].alias("start"), F.lit(i).alias("rank"), x["end"].alias("end"))) for i, k in enumerate(KINDS[: len(BASE)])]
+    base = [ranked(F.col(k), i) for i, k in enumerate(BASE)]
     weak = materialize(linked(parts, scope), "linked")
-    hits = parts.select("__key", "__text", F.array_sort(F.concat(*ranked)).alias("base")).join(weak, "__text", "left")
+    hits = parts.select("__key", "__text", F.array_sort(F.concat(*base)).alias("base")).join(weak, "__text", "left")
     every = F.when(F.col("weak").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "weak")))
     return hits.select(F.col("__key").alias(key), F.col("__text").alias("text_md5"), "base", every.alias("spans"))
 
@@ -132,11 +141,11 @@ def redact(docs: DataFrame, text: str = "text", scope: int = SCOPE, mark: str =
         has_weak = has_weak | t.rlike(pattern)
     weak_docs = docs.where(has_weak)
     weak = materialize(linked(materialize(found_parts(weak_docs, docs.columns[0], text), "secrets"), scope), "linked")
-    ranked = [F.transform(spans(t, *rule), lambda x, i=i: F.struct(x["start"].alias("start"), F.lit(i).alias("rank"), x["end"].alias("end"))) for i, rule in enumerate(BASE.values())]
+    base = [ranked(spans(t, *rule), i) for i, rule in enumerate(BASE.values())]
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
 
     def clean(rows: DataFrame, more: Column) -> DataFrame:
-        every = F.array_sort(F.concat(*ranked, more))
+        every = F.array_sort(F.concat(*base, more))
         walk = F.aggregate(
             every,
             F.struct(F.lit(0).alias("at"), F.lit("").alias("done")),
