@@ -412,3 +412,20 @@ def near_duplicates(
     classes = tagged.groupBy("label").agg(F.min("text_class").alias("class_id"), F.sum("n").alias("class_size"))
     by_node = materialize(tagged.join(classes, "label").select("node", "label", "class_id", "class_size", "text_class"), "classes")
     return base.select("id", "node").join(by_node, "node").select(F.col("id").alias(key), "class_id", "class_size", "text_class", "node", "label")
+
+
+#: For DuckDB, with the parameters of the registered query: all pairs that share a shingle, and their components.
+ORACLE = """
+with recursive d as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w from d),
+s as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as sh from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where c / cast(x.n + y.n - c as double) >= 0.8e0
+  union select a.doc_id, b.doc_id from d a join d b on a.t = b.t and a.doc_id < b.doc_id),
+both_ways as (select a, b from e union all select b, a from e),
+reach(node, root) as (select doc_id, doc_id from d union select both_ways.b, reach.root from reach join both_ways on both_ways.a = reach.node),
+c as (select node, min(root) as class_id from reach group by node)
+select d.doc_id, c.class_id, count(*) over (partition by c.class_id) as class_size, min(d.doc_id) over (partition by d.t) as text_class
+from d join c on c.node = d.doc_id
+"""
