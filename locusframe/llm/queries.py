@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import mixing, near_dedup, warc
+from locusframe.llm import mixing, near_dedup, secrets, warc
 from locusframe.llm.common import read_table
 
 
@@ -105,4 +105,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_warc": warc.ORACLE,
     "op7_near_dedup": near_dedup.ORACLE,
     "op8_mixing": mixing.oracle(),
+    "op10_secrets": secrets.oracle(),
 }

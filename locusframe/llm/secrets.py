@@ -164,3 +164,46 @@ def redact(docs: DataFrame, text: str = "text", scope: int = SCOPE, mark: str =
     parts = [clean(docs.where(~has_weak), none), clean(joined, F.coalesce("__weak", none)).drop("__weak", "__text_key")]
     both = parts[0].unionByName(parts[1].select(*parts[0].columns))
     return both.withColumn(text, F.col("__clean")).drop("__clean")
+
+
+def oracle(scope: int = SCOPE) -> str:
+    """The registered query for DuckDB, whose patterns have no look-around: a character before a weak part is
+    matched and taken off again, and bare keys are whole runs of their characters, judged afterwards."""
+
+    def either(words: str) -> str:
+        return "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in words.split())
+
+    between = r"""["'']?\x20*[:=]\x20*["'']?"""
+    patterns = {
+        "assign": rf"()(?:{either('password passwd secret token api_?key')}){between}([A-Za-z0-9+/_.=-]+)",
+        "access": r"()(AKIA[A-Z0-9]+)",
+        "hex": r"()([0-9a-f]+)",
+        "key": r"()([A-Za-z0-9+/=]+)",
+        "user": rf"(^|[^A-Za-z0-9_])(?:{either('user username user_name login client_id account_id')}){between}([A-Za-z0-9@_.-]+)",
+        "endpoint": r"(^|[^A-Za-z0-9])((?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|jdbc:[a-z]+|s3)://[A-Za-z0-9_.:@/-]+)",
+    }
+    least = {k: v[2] for k, v in (BASE | WEAK).items()}
+    parts = []
+    for rank, kind in enumerate(KINDS):
+        p = patterns[kind]
+        rule = f"length(g) >= {least[kind]}"
+        if kind == "key":
+            rule = "length(g) = 40 and not contains(g, '=') and regexp_matches(g, '[0-9]') and regexp_matches(g, '[A-Z]') and regexp_matches(g, '[a-z]')"
+        parts.append(f"""
+  select doc_id, {rank} as rank, '{kind}' as kind, pos + length(pre) as s, pos + length(m) as e from (
+    select doc_id, ms[i] as m, gs[i] as g, ps[i] as pre, cast(list_sum([length(x) for x in gaps[1 : i]]) + coalesce(list_sum([length(x) for x in ms[1 : i - 1]]), 0) as bigint) as pos
+    from (select *, unnest(range(1, len(ms) + 1)) as i from (
+      select doc_id, string_split_regex(t, '{p}') as gaps, regexp_extract_all(t, '{p}') as ms, regexp_extract_all(t, '{p}', 2) as gs, regexp_extract_all(t, '{p}', 1) as ps from d)))
+  where {rule}""")
+    roles = {role: ", ".join(str(KINDS.index(k)) for k in kinds) for role, kinds in ROLES.items()}
+    near = {role: f"exists (select 1 from p q where q.doc_id = p.doc_id and q.rank in ({ranks}) and abs(q.s - p.s) <= {scope})" for role, ranks in roles.items()}
+    rules = " or ".join(f"(rank = {KINDS.index(kind)} and {' and '.join(near[r] for r in needs)})" for kind, needs in NEEDS.items())
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+p as ({' union all '.join(parts)}),
+r as (select * from p where rank < {len(BASE)} union all select * from p where {rules}),
+o as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+  string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) filter (rank < {len(BASE)}) as base, string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) as spans from r group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join o on o.doc_id = d.doc_id
+"""

@@ -203,6 +203,14 @@ def test_linking_matches_all_pairs(spark):
         assert {(s.start, s.rank, s.end) for s in row.spans} - {(s.start, s.rank, s.end) for s in row.base} == want
 
 
+def test_linked_spans_agree_with_sql(spark, tmp_path):
+    r = random.Random(9)
+    parts = ["AKIA" + "C" * 16, KEY, "user=alice", "https://h.example.org/x", "password=hunter22", "word", "filler " * 12, "é😀", "S3://no", "s3://b/k", "xuser=bob", "login: 'carl'", KEY + "=", "0123456789abcdef0123456789abcdef01234567"]
+    rows = [(i, r.choice(["", "\n", " "]).join(r.choice(parts) + r.choice([" ", "\n", ", "]) for _ in range(r.randrange(25)))) for i in range(120)]
+    spark.createDataFrame([*rows, *((1000 + i, t) for i, t in enumerate(SECRET_TEXTS)), (2000, None)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert_same(QUERIES["op10_secrets"](spark, str(tmp_path)), str(tmp_path), ORACLE_SQL["op10_secrets"])
+
+
 def test_redaction(spark):
     texts = ["a password=hunter22, b", "nothing", None, f"AKIA{'D' * 16} {KEY} end", "secret=0123456789abcdef0123456789"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
