@@ -99,8 +99,15 @@ def predict_sex_ycalls(g: GenotypeSet, min_AB: int = 40, max_N: int = 30) -> Dat
     return g.samples.select("sample_idx", "iid").join(c, "sample_idx").select("sample_idx", "iid", sex.alias("predicted"))
 
 
-#: A platform's mean and covariance of (mean si on X, mean si on Y) in males and females: example values, given as parameters.
-XY_MODEL = {"male": ((0.75, 0.70), (0.02, 0.0, 0.02)), "female": ((0.85, 0.60), (0.02, 0.0, 0.02))}
+# fixed values: by platform and sex the mean (x, y) of mean si on X and Y, and the covariance (xx, xy, yy)
+PLATFORMS = {
+    "giga": {
+        "female": ((1.00179688827984, 0.579627096415587), (0.000777449983304451, 0.000646632991729865, 0.00911353377861309)),
+        "male": ((0.816608462699492, 1.00517965688652), (0.000343819755693033, 0.00036077907454159, 0.0107555733491657)),
+    },
+}
+#: Names of the markers on Y whose intensities are used.
+CLEAN = "^JAX"
 
 
 def chromosome_si(g: GenotypeSet, clean: str | None = None) -> DataFrame:
@@ -111,8 +118,12 @@ def chromosome_si(g: GenotypeSet, clean: str | None = None) -> DataFrame:
     return g.samples.select("sample_idx", "iid", "fid", "sex").join(means, "sample_idx", "left")
 
 
-def predict_sex_xy(g: GenotypeSet, model: dict = XY_MODEL, clean: str | None = None) -> DataFrame:
-    """Log-likelihood ratio male - female of two bivariate normals; above 0 is 1, else 2."""
+def predict_sex_xy(g: GenotypeSet, platform: str = "giga", clean: str | None = CLEAN, model: dict | None = None) -> DataFrame:
+    """Log-likelihood ratio male - female of two bivariate normals, a platform's or those of ``model``; above 0 is 1, else 2."""
+    if model is None:
+        if platform not in PLATFORMS:
+            raise ValueError(f"unknown platform {platform!r}")
+        model = PLATFORMS[platform]
 
     def loglik(kind: str) -> Column:
         (mx, my), (a, b, c) = model[kind]
@@ -124,7 +135,7 @@ def predict_sex_xy(g: GenotypeSet, model: dict = XY_MODEL, clean: str | None = N
     return t.select("sample_idx", "iid", "ix", "iy", "llr", F.when(F.col("llr") > 0, 1).when(F.col("llr").isNotNull(), 2).alias("predicted"))
 
 
-def sexysum(g: GenotypeSet, clean: str | None = None) -> DataFrame:
+def sexysum(g: GenotypeSet, clean: str | None = CLEAN) -> DataFrame:
     """By sample: good calls on Y, heterozygotes on X, mean si on both."""
     on = lambda c: F.col("chr").rlike(f"[{c}]")
     counts = g.observed().join(F.broadcast(g.markers.select("marker_idx", "chr")), "marker_idx").groupBy("sample_idx").agg(F.count_if(on("Y") & F.col("dosage").isin(0, 2)).alias("ygood"), F.count_if(on("X") & (F.col("dosage") == 1)).alias("xhet"))

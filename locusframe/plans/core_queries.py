@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -390,18 +392,24 @@ def _(g):
     return qc.predict_sex_ycalls(g, min_AB=6, max_N=0)
 
 
-@register("predict_sex_xy", """
+def log_density(kind: str) -> str:
+    (mx, my), (a, b, c) = qc.PLATFORMS["giga"][kind]
+    det = a * c - b * b
+    return f"(({c!r} * (ix - {mx!r}) * (ix - {mx!r}) - {2 * b!r} * (ix - {mx!r}) * (iy - {my!r}) + {a!r} * (iy - {my!r}) * (iy - {my!r})) * {-0.5 / det!r} - {0.5 * math.log(det)!r})"
+
+
+@register("predict_sex_xy", f"""
 + i as (select sample_idx, iid, avg(case when chr = 'chrX' then sqrt(x * x + y * y) end) as ix, avg(case when chr = 'chrY' then sqrt(x * x + y * y) end) as iy from cube where x is not null group by sample_idx, iid),
-l as (select *, -25e0 * ((ix - 0.75e0) * (ix - 0.75e0) + (iy - 0.7e0) * (iy - 0.7e0)) + 25e0 * ((ix - 0.85e0) * (ix - 0.85e0) + (iy - 0.6e0) * (iy - 0.6e0)) as llr from i)
-select sample_idx, iid, round(ix, 6) as ix, round(iy, 6) as iy, round(llr, 6) as llr, case when llr > 0 then 1 when llr is not null then 2 end as predicted from l""")
+l as (select *, {log_density('male')} - {log_density('female')} as llr from i)
+select sample_idx, iid, round(ix, 6) as ix, round(iy, 6) as iy, round(llr, 4) as llr, case when llr > 0 then 1 when llr is not null then 2 end as predicted from l""")
 def _(g):
-    t = qc.predict_sex_xy(g)
-    return t.select("sample_idx", "iid", *[F.round(c, 6).alias(c) for c in ("ix", "iy", "llr")], "predicted")
+    t = qc.predict_sex_xy(g, clean=None)
+    return t.select("sample_idx", "iid", *[F.round(c, 6).alias(c) for c in ("ix", "iy")], F.round("llr", 4).alias("llr"), "predicted")
 
 
 @register("sexysum", "select sample_idx, iid, fid, sex, count(*) filter (chr = 'chrY' and dosage in (0, 2)) as ygood, count(*) filter (chr = 'chrX' and dosage = 1) as xhet, round(avg(case when chr = 'chrX' then sqrt(x * x + y * y) end), 9) as ix, round(avg(case when chr = 'chrY' then sqrt(x * x + y * y) end), 9) as iy from cube group by sample_idx, iid, fid, sex")
 def _(g):
-    return qc.sexysum(g).withColumns({c: F.round(c, 9) for c in ("ix", "iy")})
+    return qc.sexysum(g, clean=None).withColumns({c: F.round(c, 9) for c in ("ix", "iy")})
 
 
 @register("inbreeding", f"""
