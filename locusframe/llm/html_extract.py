@@ -17,12 +17,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.llm.common import small_batches, tidy
 from locusframe.llm.html_blocks import Block, leaf_blocks
 from locusframe.llm.html_training import labelled_pages
 
 SENTENCE_ENDS = frozenset(".!?;:…。")
 
 
+SECTIONING = frozenset("t:article t:main t:nav t:aside t:header t:footer t:section t:form t:menu t:dialog t:figure t:table".split())
+
+
+def path_features(path: tuple[str, ...]) -> set[str]:
+    """All ancestors' tags and names, the innermost sectioning element (``d:``), and the names of the innermost named element (``k:``)."""
+    out = set(path)
+    names: list[str] = []
+    for f in reversed(path):
+        if f.startswith("c:"):
+            names.append(f)
+        elif names:
+            break
+    out.update(f"k:{f[2:]}" for f in names)
+    out.update(f"p:{f[2:7]}" for f in path if f.startswith("c:"))  # commentlist, comments and comment are alike
+    inner = next((f for f in reversed(path) if f in SECTIONING), None)
+    out.add(f"d:{inner}")
+    return out
+
+
 def text_features(b: Block) -> tuple[str, ...]:
     """The shape of a block's text: length, how much of it is linked, how it ends, a few marks."""
     n = len(b.text)
@@ -50,7 +70,7 @@ class Field:
         if score is None:
             if len(self.paths) > 50_000:
                 self.paths.clear()
-            score = self.paths[b.path] = sum(self.weights.get(f, 0.0) for f in set(b.path))
+            score = self.paths[b.path] = sum(self.weights.get(f, 0.0) for f in path_features(b.path))
         shape = text_features(b)
         more = self.texts.get(shape)
         if more is None:
@@ -83,7 +103,7 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 6, rate: flo
     names: dict[str, int] = {}
     rows = []
     for blocks, labels in pages:
-        rows.append(([np.array([names.setdefault(f, len(names)) for f in {*b.path, *text_features(b)}]) for b in blocks], np.array(labels)))
+        rows.append(([np.array([names.setdefault(f, len(names)) for f in {*path_features(b.path), *text_features(b)}]) for b in blocks], np.array(labels)))
     w, seen = np.zeros(len(names)), np.full(len(names), 1e-6)
     chain, chain_seen = np.zeros(6), np.full(6, 1e-6)  # two starts, four moves
     rng = np.random.default_rng(seed)
@@ -123,7 +143,7 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 6, rate: flo
 
 
 @lru_cache(2)
-def trained(pages: int = 600, seed: int = 11) -> Field:
+def trained(pages: int = 1500, seed: int = 11) -> Field:
     """The field trained on pages made by rule; once a driver process."""
     return train(labelled_pages(pages, seed))
 
@@ -153,4 +173,4 @@ def extract_main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...
 
     chosen = pages.select(*keep, F.col(html).alias("__html"))
     schema = ", ".join([*(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep), "text string", "n_chars bigint"])
-    return chosen.mapInArrow(run, schema)
+    return small_batches(chosen).mapInArrow(tidy(run), schema)

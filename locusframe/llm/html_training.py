@@ -19,7 +19,7 @@ PARTS = {
     "header": ("site-header header masthead top-bar topbar banner branding logo page-header", ("header", "div", "section")),
     "menu": ("nav navbar menu navigation main-menu breadcrumb breadcrumbs tabs toolbar skip-links pagination pager toc", ("nav", "div", "ul", "menu")),
     "notice": ("notice alert cookie cookies cookie-banner consent gdpr privacy-notice banner popup modal overlay announcement message disclaimer warning paywall", ("div", "section", "aside", "dialog")),
-    "advert": ("ad ads advert advertisement adsense ad-slot adbox banner-ad sponsor sponsored sponsors promo promotion promoted commercial dfp", ("div", "aside", "section", "ins")),
+    "advert": ("ad ads advert advertisement adsense ad-slot adbox banner-ad sponsor sponsored sponsors promo promotion promoted commercial dfp", ("div", "aside", "section")),
     "sidebar": ("sidebar side-bar aside widget widgets widget-area rail right-rail secondary complementary", ("aside", "div", "section")),
     "related": ("related related-posts recommended recommendations more-stories read-more also-like popular trending latest tags tag-list teaser", ("div", "section", "aside", "ul")),
     "share": ("share sharing social social-links share-buttons follow byline-tools actions buttons print-tools", ("div", "ul", "section")),
@@ -85,11 +85,12 @@ class PageMaker:
             inner = f"<h{r.randint(2, 4)}>{m(self.words(1, 3))}</h3>"
             for _ in range(r.randint(1, 5)):
                 body = m(self.sentences(1, 5))
-                inner += r.choice([f'<div class="comment"><span>{m(self.word())}</span><p>{body}</p></div>', f"<li><p>{body}</p></li>", f'<article class="comment"><p>{body}</p></article>', f"<p>{body}</p>"])
+                inner += r.choice([f'<div class="comment"><span>{m(self.word())}</span><p>{body}</p></div>', f"<li><p>{body}</p></li>", f'<article class="comment"><p>{body}</p></article>', f"<article><p>{body}</p></article>", f"<section><p>{body}</p></section>", f"<p>{body}</p>"])
         elif kind == "sidebar":
             inner = f"<h3>{m(self.words(1, 3))}</h3>" + r.choice([f"<p>{m(self.sentences(1, 4))}</p>", f"<ul>{''.join(f'<li>{link()}</li>' for _ in range(4))}</ul>", f"<div>{m(self.sentences(1, 3))}</div>"])
         elif kind == "header":
-            inner = r.choice([f"<h1>{m(self.words(1, 4))}</h1>", f"<a href=/>{m(self.words(1, 3))}</a>", f"<p>{m(self.words(2, 8))}</p>", f"<h2>{m(self.words(1, 4))}</h2><nav>{link()} {link()}</nav>"])
+            links = " | ".join(link() for _ in range(r.randint(1, 4)))
+            inner = r.choice([links, f"<table><tr><td>{links}</td></tr></table>", f"<h1>{m(self.words(1, 4))}</h1>", f"<a href=/>{m(self.words(1, 3))}</a>", f"<p>{m(self.words(2, 8))}</p>", f"<h2>{m(self.words(1, 4))}</h2><nav>{link()} {link()}</nav>"])
         elif kind == "footer":
             inner = r.choice([f"{m('&copy; 2020 ' + self.words(1, 4))} &middot; {self.sentences(1, 2)}", f"<p>{m('&copy; ' + self.words(2, 8))}</p>", f"<ul><li>{link()}<li>{link()}</ul><p>{m(self.sentences(1, 3))}</p>"])
         else:
@@ -124,17 +125,24 @@ class PageMaker:
 
     def page(self) -> str:
         r = self.r
-        chance = lambda p, kind: self.boiler(kind) if r.random() < p else ""
+        bare = r.random() < 0.2  # a page that is little but its main text
+        chance = lambda p, kind: self.boiler(kind) if r.random() < p * (0.1 if bare else 1) else ""
         blocks = self.main_blocks()
         title = f"<h1>{self.mark(self.words(2, 12), True)}</h1>"
         if r.random() < 0.15:
             title = f"<header>{title}</header>"
         for kind in ("advert", "related", "share", "notice", "form", "sidebar"):
-            if blocks and r.random() < 0.1:
+            if blocks and r.random() < 0.13:
                 blocks.insert(r.randint(0, len(blocks)), self.boiler(kind))
         body = (title if r.random() < 0.85 else "") + "".join(blocks)
         if not blocks and "h1" not in body:
             body = f"<p>{self.mark(self.sentences(1, 3), True)}</p>"
+        wrap = r.random()
+        if wrap < 0.12:  # parts of the main text in elements of their own
+            cut = r.randint(0, len(blocks))
+            body = body[: len(body) - sum(map(len, blocks[cut:]))] + "".join(f"<{t}>{b}</{t}>" for b in blocks[cut:] for t in [r.choice(["section", "div"])])
+        elif wrap < 0.16:
+            body = f"<section>{body}</section>"
         tail = chance(0.2, "share") + chance(0.15, "comments")
         style = r.random()
         if style < 0.55:
@@ -143,8 +151,12 @@ class PageMaker:
             main = f"<main>{body}{tail}</main>"
         elif style < 0.92:
             main = f'<div {r.choice(["class", "id"])}="{r.choice(MAIN_NAMES)}">{body}{tail}</div>'
-        else:
+        elif style < 0.96:
             main = f"<div>{body}</div>{tail}"
+        elif style < 0.985:
+            main = body
+        else:
+            main = self.mark(self.sentences(1, 5), True)
         if r.random() < 0.25:
             main = f'<div class="{r.choice(["container", "wrapper", "row", "layout", "page", "site"])}">{main}</div>'
         return (
