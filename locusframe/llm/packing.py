@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm import textcore as tc
+from locusframe.llm.common import small_batches, tidy
 
 POOL = 2048
 END_ID = 1
-MAX_WORDS = 1_000_000
-RUN = 500_000
+MAX_WORDS = 400_000
+RUN = 250_000
+AT_ONCE = 4096
 
 
 # Classes of bytes: white space, ASCII letters, ASCII digits, what may bind to its neighbours (apostrophes, all that isn't ASCII), other ASCII marks.
@@ -107,11 +109,11 @@ class WordTokenizer:
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        encoded = self.library.encode_batch_fast(texts, add_special_tokens=False)
         n = self.count
         while n + len(texts) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        lists = [e.ids for e in encoded]
+        # the library's results are large, so they are taken a few at a time
+        lists = [e.ids for k in range(0, len(texts), AT_ONCE) for e in self.library.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)]
         size = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))
         while self.used + len(flat) > len(self.ids):
@@ -353,4 +355,4 @@ def pack(
     first = F.lit(0).cast("long") if loss_from is None else F.col(loss_from).cast("long")
     chosen = docs.select(F.col(key).alias("__key"), first.alias("__first"), F.col(text).alias("__text"))
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, start bigint, length bigint, ids binary, doc_tokens bigint, loss_tokens bigint, sequence_id bigint, offset bigint"
-    return chosen.mapInArrow(run, schema)
+    return small_batches(chosen).mapInArrow(tidy(run), schema)

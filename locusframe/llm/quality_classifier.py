@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm import textcore as tc
+from locusframe.llm.common import small_batches, tidy
 from locusframe.llm.labelled import held_out, labelled_sample
 
 TERMS = 1024
@@ -122,7 +123,7 @@ def fit(sample: DataFrame, dims: int = 48, neighbours: int = 15, sharpness: floa
                 rates = term_rates(s)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rates], pa.binary()), pa.array(label[s.lo : s.hi], pa.int32())], names=["rates", "label"])
 
-    got = sample.select("text", "label").mapInArrow(run, "rates binary, label int").toArrow()
+    got = sample.select("text", "label").mapInArrow(tidy(run), "rates binary, label int").toArrow()
     rows = sorted(zip(got.column("rates").to_pylist(), got.column("label").to_pylist(), strict=True))  # the order in which tasks end must not matter
     if len({y for _, y in rows}) < 2:
         return None
@@ -181,4 +182,4 @@ def quality_scores(
 
     chosen = docs.select(*keep, held_out(key).alias("held_out"), F.col(text).alias("__text"))
     schema = ", ".join([*(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in (*keep, "held_out")), "score double", "predicted int"])
-    return chosen.mapInArrow(run, schema)
+    return small_batches(chosen).mapInArrow(tidy(run), schema)
