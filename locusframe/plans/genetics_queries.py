@@ -14,7 +14,7 @@ from locusframe.plans.registry import register
 
 
 def rounded(t: DataFrame, digits: int, *cols: str) -> DataFrame:
-    return t.withColumns({c: F.round(c, digits) for c in cols})
+    return t.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in cols})  # no negative zero
 
 
 def panel(g: GenotypeSet, most: int = 20) -> GenotypeSet:
@@ -124,16 +124,16 @@ n as (select marker_idx, {pop} as pop, cast(count(*) as double) as n, cast(sum(2
 u as (select marker_idx, (select cast(count(distinct {pop}) as double) from samples) as r, sum(n) as sn, sum(n * n) as snn, sum(c) as sc, sum(c * c / n) as scc, sum(h) as sh from n group by marker_idx),
 v as (select *, sn / r as nb, (sn - snn / sn) / (r - 1) as nc, sc / (2 * sn) as p, sh / sn as h from u),
 w as (select *, (scc / 4 - sn * p * p) / ((r - 1) * nb) as s2 from v),
-abc as (select marker_idx, nb / nc * (s2 - (p * (1 - p) - (r - 1) / r * s2 - h / 4) / (nb - 1)) as a, nb / (nb - 1) * (p * (1 - p) - (r - 1) / r * s2 - (2 * nb - 1) / (4 * nb) * h) as b, h / 2 as c from w)
+abc as (select marker_idx, nb / nullif(nc, 0e0) * (s2 - (p * (1 - p) - (r - 1) / r * s2 - h / 4) / nullif(nb - 1, 0e0)) as a, nb / nullif(nb - 1, 0e0) * (p * (1 - p) - (r - 1) / r * s2 - (2 * nb - 1) / (4 * nb) * h) as b, h / 2 as c from w)
 """
 
 
-@register("weir_fst", f"+ {FST.format(pop='fid')} select round(1 - sum(c) / sum(a + b + c), 9) as F, round(sum(a) / sum(a + b + c), 9) as theta, round(1 - sum(c) / sum(b + c), 9) as f_is from abc")
+@register("weir_fst", f"+ {FST.format(pop='fid')} select round(1 - sum(c) / nullif(sum(a + b + c), 0e0), 9) as F, round(sum(a) / nullif(sum(a + b + c), 0e0), 9) as theta, round(1 - sum(c) / nullif(sum(b + c), 0e0), 9) as f_is from abc where a is not null and b is not null")
 def _(g):
     return rounded(popgen.weir_fst(g).toDF("F", "theta", "f_is"), 9, "F", "theta", "f_is")
 
 
-@register("weir_fst_locus", f"+ {FST.format(pop='fid')} select marker_idx, round(a, 9) as a, round(b, 9) as b, round(c, 9) as c, round(a / (a + b + c), 6) as theta from abc")
+@register("weir_fst_locus", f"+ {FST.format(pop='fid')} select marker_idx, round(a, 9) + 0e0 as a, round(b, 9) + 0e0 as b, round(c, 9) + 0e0 as c, round(a / nullif(a + b + c, 0e0), 6) + 0e0 as theta from abc")
 def _(g):
     t = popgen.weir_fst_locus(g).select("marker_idx", "a", "b", "c", "theta")
     return rounded(rounded(t, 9, "a", "b", "c"), 6, "theta")
@@ -332,9 +332,9 @@ def _(g):
 k as (select marker_idx, cast(count(*) as double) as n, sum(cast(dosage as double)) as sx, sum(v) as sy, sum(cast(dosage * dosage as double)) as sxx, sum(v * v) as syy, sum(dosage * v) as sxy from cube c join p on p.sample_idx = c.sample_idx where dosage is not null group by marker_idx),
 c as (select marker_idx, n, sxx - sx * sx / n as cxx, syy - sy * sy / n as cyy, sxy - sx * sy / n as cxy from k),
 b as (select *, cxy / cxx as beta, sqrt(greatest(cyy - cxy / cxx * cxy, 0e0) / ((n - 2) * cxx)) as se from c)
-select marker_idx, cast(n as bigint) as n, round(beta, 5) as beta, round(se, 5) as se, round(beta / se, 6) as t from b""")
+select marker_idx, cast(n as bigint) as n, round(beta, 7) as beta, round(se, 7) as se, round(beta / se, 6) as t from b""")
 def _(g):
-    return rounded(rounded(assoc.assoc_linear(g), 5, "beta", "se"), 6, "t")
+    return rounded(rounded(assoc.assoc_linear(g), 7, "beta", "se"), 6, "t")
 
 
 def example_trios(g: GenotypeSet) -> DataFrame:
