@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.model import GenotypeSet, ratio
@@ -184,3 +184,32 @@ def filter_markers(g: GenotypeSet, maf: float | None = None, geno_missing: float
     if hwe is not None:
         keep = keep.join(hwe_exact(g).where(F.col("p") >= hwe), "marker_idx", "left_semi")
     return g.with_(markers=g.markers.join(keep, "marker_idx", "left_semi"), calls=g.calls.join(keep, "marker_idx", "left_semi"))
+
+
+def chi_square_2x2(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Chi-square of a two by two table, null where a margin is 0."""
+    return F.try_divide((a + b + c + d) * (a * d - b * c) * (a * d - b * c), (a + b) * (c + d) * (a + c) * (b + d))
+
+
+def assoc_models(g: GenotypeSet, pheno: str = "pheno") -> DataFrame:
+    """Chi-squares of case-control status with genotype under the dominant and recessive models, the trend, and the general model (two degrees of freedom)."""
+    t = case_control_counts(g, pheno)
+    t = t.select("marker_idx", *[F.col(c).cast("double").alias(c) for c in t.columns if c != "marker_idx"])
+    a, u = ([F.col(f"{k}{d}") for d in (0, 1, 2)] for k in "au")
+    n = [x + y for x, y in zip(a, u, strict=True)]
+    cases, every = a[0] + a[1] + a[2], n[0] + n[1] + n[2]
+    copies, given = n[1] + 2 * n[2], a[1] + 2 * a[2]
+    lead = every * given - cases * copies
+    trend = F.try_divide(every * lead * lead, cases * (every - cases) * (every * (n[1] + 4 * n[2]) - copies * copies))
+    general = F.lit(0.0)
+    for x, total in ((a, cases), (u, every - cases)):
+        for k in (0, 1, 2):
+            expected = F.try_divide(total * n[k], every)
+            general = general + F.coalesce(F.try_divide((x[k] - expected) * (x[k] - expected), expected), F.lit(0.0))
+    return t.select(
+        "marker_idx",
+        chi_square_2x2(a[1] + a[2], a[0], u[1] + u[2], u[0]).alias("dominant"),
+        chi_square_2x2(a[2], a[0] + a[1], u[2], u[0] + u[1]).alias("recessive"),
+        trend.alias("trend"),
+        general.alias("general"),
+    )

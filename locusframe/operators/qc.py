@@ -153,3 +153,9 @@ def inbreeding(g: GenotypeSet) -> DataFrame:
     expected = c.where(seen > 0).select("marker_idx", e.alias("e"))
     t = a.observed().join(expected, "marker_idx").groupBy("sample_idx").agg(F.count_if(F.col("dosage") != 1).alias("o_hom"), F.sum("e").alias("e_hom"), F.count(F.lit(1)).alias("n"))
     return t.select("sample_idx", "o_hom", "e_hom", "n", ratio(F.col("o_hom") - F.col("e_hom"), F.col("n") - F.col("e_hom")).alias("F"))
+
+
+def population_inbreeding(g: GenotypeSet, by: str = "fid") -> DataFrame:
+    """Mean F of each population's samples."""
+    f = inbreeding(g).join(F.broadcast(g.samples.select("sample_idx", F.col(by).alias("pop"))), "sample_idx")
+    return f.groupBy("pop").agg(F.avg("F").alias("F"), F.count(F.lit(1)).alias("n"))

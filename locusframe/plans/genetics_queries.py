@@ -373,3 +373,26 @@ def _(g):
 @register("assoc_permuted")
 def _(g):
     return assoc.assoc_permuted(g)
+
+
+@register("assoc_models", """
++ k as (select marker_idx, """ + ", ".join(f"cast(count(*) filter (pheno = {p} and dosage = {d}) as double) as {n}{d}" for p, n in ((2, "a"), (1, "u")) for d in (0, 1, 2)) + """ from cube where dosage is not null and pheno is not null group by marker_idx),
+m as (select *, a0 + u0 as n0, a1 + u1 as n1, a2 + u2 as n2, a0 + a1 + a2 as r, a0 + a1 + a2 + u0 + u1 + u2 as n from k)
+select marker_idx,
+  round(n * ((a1 + a2) * u0 - a0 * (u1 + u2)) * ((a1 + a2) * u0 - a0 * (u1 + u2)) / nullif(r * (n - r) * (n1 + n2) * n0, 0e0), 7) + 0e0 as dominant,
+  round(n * (a2 * (u0 + u1) - (a0 + a1) * u2) * (a2 * (u0 + u1) - (a0 + a1) * u2) / nullif(r * (n - r) * n2 * (n0 + n1), 0e0), 7) + 0e0 as recessive,
+  round(n * (n * (a1 + 2 * a2) - r * (n1 + 2 * n2)) * (n * (a1 + 2 * a2) - r * (n1 + 2 * n2)) / nullif(r * (n - r) * (n * (n1 + 4 * n2) - (n1 + 2 * n2) * (n1 + 2 * n2)), 0e0), 7) + 0e0 as trend,
+  round(""" + " + ".join(f"coalesce(({x}{d} - {t} * n{d} / n) * ({x}{d} - {t} * n{d} / n) / nullif({t} * n{d} / n, 0e0), 0e0)" for x, t in (("a", "r"), ("u", "(n - r)")) for d in (0, 1, 2)) + """, 7) + 0e0 as general from m""")
+def _(g):
+    return rounded(assoc.assoc_models(g), 7, "dominant", "recessive", "trend", "general")
+
+
+@register("population_inbreeding", f"""
++ k as (select marker_idx, {COUNTS} from cube where chr not in ('chrX', 'chrY', 'chrM') group by marker_idx),
+e as (select marker_idx, 1e0 - 2e0 * p * (1e0 - p) * (2 * s) / cast(2 * s - 1 as double) as e from (select marker_idx, n0 + n1 + n2 as s, (n1 + 2 * n2) / cast(2 * (n0 + n1 + n2) as double) as p from k where n0 + n1 + n2 > 0)),
+t as (select sample_idx, fid, count(*) filter (dosage <> 1) as o_hom, sum(e) as e_hom, count(*) as n from cube c join e on c.marker_idx = e.marker_idx where dosage is not null group by sample_idx, fid)
+select fid as pop, round(avg((o_hom - e_hom) / nullif(n - e_hom, 0e0)), 7) + 0e0 as F, count(*) as n from t group by fid""")
+def _(g):
+    from locusframe.operators.qc import population_inbreeding
+
+    return rounded(population_inbreeding(g), 7, "F")
