@@ -343,3 +343,24 @@ def test_fix_strand_swaps(spark):
     assert column(log, "swapped") == [True, False, False]
     assert column(log, "unresolved") == [False, True, False]
     assert column(fixed.markers, "A1")[0] == "A"
+
+
+def test_design_of_a_cross(spark):
+    """Consensus of each strain, markers fixed between them, and the F1 that is expected there."""
+    a, b = [0, 0, 0, 2, 1], [0, 2, 2, 0, 2]
+    rows = [[a[i], a[i], b[i], b[i]] for i in range(5)]
+    g = make(spark, rows, fid=["A", "A", "B", "B"])
+    strains = []
+    for j, fid in enumerate("AB"):
+        c = stats.consensus(select.subset(g, F.col("fid") == fid, "samples")).withColumn("sample_idx", F.lit(j))
+        strains.append(c.select("marker_idx", "sample_idx", "dosage"))
+    samples = spark.createDataFrame([(0, "A", "A"), (1, "B", "B")], "sample_idx int, iid string, fid string")
+    panel = GenotypeSet(g.markers, samples, strains[0].unionByName(strains[1]))
+    assert column(stats.fixed_diffs(panel, "A", "B"), "fixed_diff") == [False, True, True, True, False]
+    assert column(pairwise.predict_f1(panel), "dosage") == [0.0, 1.0, 1.0, 1.0, None]
+    assert column(stats.informative(g), "informative") == [False, True, True, True, False]
+
+
+def test_recode_to_a_parent_of_another_set(spark):
+    g, parents = make(spark, [[0, 1], [2, 0], [1, 2]]), make(spark, [[2, 0], [0, 0]], ids=["P", "Q"])
+    assert matrix(encode.recode_to_parent(g, "P", parents)) == {(0, 0): 0, (0, 1): 1, (1, 0): 0, (1, 1): 2}
