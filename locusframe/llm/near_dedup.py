@@ -246,6 +246,12 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         now = new.select("node", "label")
 
 
+def joined(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels after more links, which often are none."""
+    links = materialize(links, "new_links")
+    return labels if links.isEmpty() else components(links, labels)
+
+
 def hubs_of(members: DataFrame) -> DataFrame:
     """Each bucket's hub, the node that shares buckets with most others: (bucket, hub).
 
@@ -347,7 +353,7 @@ def compare_rest(members: DataFrame, sets: DataFrame, labels: DataFrame, similar
         if centers == 0:
             facts, more = rare_pairs(named, sets, similarity, weighted)
             done = materialize(more, "pairs")
-            labels = components(verify(done, sets, similarity), labels)
+            labels = joined(verify(done, sets, similarity), labels)
             named = ranked_rows(named.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), facts, similarity, weighted)
         ranked = materialize(named, "ranked")
         upto = max(4, 2 * centers)
@@ -358,7 +364,7 @@ def compare_rest(members: DataFrame, sets: DataFrame, labels: DataFrame, similar
         fits = fits & F.coalesce(most >= F.lit(similarity - 1e-9) * (F.col("size") + F.col("cs") - most), F.lit(True))
         more = ranked.join(new, "bucket").where(fits).select(F.greatest("node", "c").alias("a"), F.least("node", "c").alias("b")).distinct()
         more = materialize(more if done is None else more.join(done, ["a", "b"], "left_anti"), "pairs")
-        labels = components(verify(more, sets, similarity), labels)
+        labels = joined(verify(more, sets, similarity), labels)
         done = more if done is None else done.unionByName(more)
         rest = ranked.drop("label")
         centers = upto
