@@ -355,7 +355,7 @@ def compare_rest(members: DataFrame, sets: DataFrame, labels: DataFrame, similar
             done = materialize(more, "pairs")
             labels = joined(verify(done, sets, similarity), labels)
             named = ranked_rows(named.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), facts, similarity, weighted)
-        ranked = materialize(named, "ranked")
+        ranked = materialize(named, "ranked") if centers == 0 else named
         upto = max(4, 2 * centers)
         new = ranked.where((F.col("rank") > centers) & (F.col("rank") <= upto)).select("bucket", F.col("node").alias("c"), F.col("label").alias("cl"), F.col("size").alias("cs"), F.col("own").alias("co"), F.col("common").alias("cc"), F.col("beyond").alias("cb"), F.col("rank").alias("cr"))
         fits = (F.col("rank") > F.col("cr")) & (F.col("label") != F.col("cl")) & possible(F.col("size"), F.col("own"), F.col("cs"), F.col("co"), similarity)
