@@ -7,6 +7,6 @@ from types import ModuleType
 
 def all_queries() -> ModuleType:
     """The registry, filled."""
-    from locusframe.plans import core_queries, genetics_queries, model_queries, registry  # noqa: F401
+    from locusframe.plans import core_queries, genetics_queries, model_queries, registry, whole_queries  # noqa: F401
 
     return registry

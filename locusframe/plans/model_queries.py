@@ -188,12 +188,12 @@ def local(spark, name: str) -> str:  # noqa: ANN001
 
 
 @register_raw("plink_round_trip", None)
-def _(spark, sf_dir):
-    return _plink(spark, sf_dir).select("marker", "iid", "dosage")
+def _(spark, sf_dir, source=genotypes):
+    return _plink(source(spark, sf_dir)).select("marker", "iid", "dosage")
 
 
-def _plink(spark, sf_dir):  # noqa: ANN001, ANN202
-    g = genotypes(spark, sf_dir)
+def _plink(g):  # noqa: ANN001, ANN202
+    spark = g.calls.sparkSession
     prefix = local(spark, "plink")
     plink.write_plink(g, prefix, intensity=True)
     back = plink.read_plink(spark, prefix, intensity=True)
@@ -216,14 +216,14 @@ def _register_io() -> None:
 
 
 @register_raw("plink_region")
-def _(spark, sf_dir):
-    t = _plink(spark, sf_dir).where("marker_idx between 20 and 39")
+def _(spark, sf_dir, source=genotypes):
+    t = _plink(source(spark, sf_dir)).where("marker_idx between 20 and 39")
     return t.select("marker", "iid", "dosage", F.round(F.col("x") * 10000).cast("int").alias("x4"))
 
 
 @register_raw("report_import")
-def _(spark, sf_dir):
-    g = genotypes(spark, sf_dir)
+def _(spark, sf_dir, source=genotypes):
+    g = source(spark, sf_dir)
     path = local(spark, "report")
     report.write_report(g, path)
     back = report.read_beadstudio(spark, path, g.markers.drop("marker_idx", "filter"))
@@ -246,9 +246,9 @@ def _(g):
 
 
 @register_raw("doqtl")
-def _(spark, sf_dir):
+def _(spark, sf_dir, source=genotypes):
     path = local(spark, "doqtl")
-    export.export_doqtl(genotypes(spark, sf_dir), path)
+    export.export_doqtl(source(spark, sf_dir), path)
     return spark.read.parquet(f"{path}/cells").join(spark.read.parquet(f"{path}/sex"), "iid").where("call <> 'N'").select("marker", "iid", "call", "sex")
 
 
@@ -258,9 +258,9 @@ def _(g):
 
 
 @register_raw("save_load")
-def _(spark, sf_dir):
+def _(spark, sf_dir, source=genotypes):
     path = local(spark, "set")
-    export.save(genotypes(spark, sf_dir), path)
+    export.save(source(spark, sf_dir), path)
     return cells(select.subset(export.load(spark, path), "chr = 'chr5'"))
 
 

@@ -17,7 +17,7 @@ def register(name: str, sql: str | None = None) -> Callable:
     """Register a function of the adapter's genotype set as a query; ``sql`` is over its tables."""
 
     def add(fn: Callable[[GenotypeSet], DataFrame]) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: fn(genotypes(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir, source=genotypes: fn(source(spark, sf_dir))
         if sql is not None:
             ORACLE_SQL[name] = with_cube(sql)
         return fn

@@ -1,0 +1,38 @@
+"""The genotype queries over every part, as NAME_whole; their SQL is that of NAME over the whole set's tables."""
+
+from __future__ import annotations
+
+from functools import partial
+
+import locusframe.plans.core_queries
+import locusframe.plans.genetics_queries
+import locusframe.plans.model_queries  # noqa: F401
+from locusframe.plans.adapter import whole_genotypes, whole_sql
+from locusframe.plans.registry import ORACLE_SQL, QUERIES
+
+#: These cut the set again before the operator runs.
+CUT = (
+    *("predict_f1", "pairwise_diffs", "reconstruct_haps", "haplotype_blocks", "haplotype_segments", "ld_r2", "ld_complete"),
+    *("consensus", "segregating", "segregating_het", "informative", "pairwise_fst", "merge", "rbind", "dotplot"),
+)
+#: No query of a genotype set.
+OTHER = ("lda_embeddings",)
+#: Where NAME's SQL holds for the smaller set only: a file's markers are in order of position; rounding can leave a negative zero.
+EDITS = {
+    "plink_region": [("marker_idx between 20 and 39", "marker_idx in (select marker_idx from markers qualify row_number() over (order by chr_order, pos) between 21 and 40)")],
+    "calc_lrr": [(", 9) as lrr", ", 9) + 0e0 as lrr")],
+    "tqn": [(f", 6) as {c}", f", 6) + 0e0 as {c}") for c in ("baf", "lrr", "x")],
+}
+
+
+def edited(sql: str, edits: list[tuple[str, str]]) -> str:
+    for before, after in edits:
+        assert before in sql, before
+        sql = sql.replace(before, after)
+    return sql
+
+
+for _name in [n for n in QUERIES if n not in (*CUT, *OTHER)]:
+    QUERIES[f"{_name}_whole"] = partial(QUERIES[_name], source=whole_genotypes)
+    if _name in ORACLE_SQL:
+        ORACLE_SQL[f"{_name}_whole"] = whole_sql(edited(ORACLE_SQL[_name], EDITS.get(_name, [])))
