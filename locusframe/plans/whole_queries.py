@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from functools import partial
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 import locusframe.plans.core_queries
 import locusframe.plans.genetics_queries
 import locusframe.plans.model_queries  # noqa: F401
+from locusframe.model import GenotypeSet
+from locusframe.operators import combine, haplotypes, pairwise, plotdata, popgen, select, stats
 from locusframe.plans.adapter import whole_genotypes, whole_sql
+from locusframe.plans.core_queries import cells, halves
+from locusframe.plans.genetics_queries import rounded
 from locusframe.plans.registry import ORACLE_SQL, QUERIES
 
 #: These cut the set again before the operator runs.
@@ -36,3 +43,46 @@ for _name in [n for n in QUERIES if n not in (*CUT, *OTHER)]:
     QUERIES[f"{_name}_whole"] = partial(QUERIES[_name], source=whole_genotypes)
     if _name in ORACLE_SQL:
         ORACLE_SQL[f"{_name}_whole"] = whole_sql(edited(ORACLE_SQL[_name], EDITS.get(_name, [])))
+
+
+def parents_and_rest(g: GenotypeSet) -> tuple[GenotypeSet, GenotypeSet]:
+    """All samples but the three parents, and these with their heterozygous calls taken as 0."""
+    some = select.subset(g, "sample_idx in (0, 1, 2)", "samples")
+    inbred = some.with_(calls=some.observed().withColumn("dosage", F.when(F.col("dosage") == 1, 0).otherwise(F.col("dosage"))))
+    return select.subset(g, "sample_idx > 2", "samples"), inbred
+
+
+def haps(g: GenotypeSet) -> DataFrame:
+    return haplotypes.reconstruct_haps(*parents_and_rest(g))
+
+
+def by_marker(g: GenotypeSet, rest: int) -> GenotypeSet:
+    return select.subset(g, F.col("marker_idx") % 2 == rest)
+
+
+CHROMOSOMES = [(" where chr in ('chr1', 'chr2', 'chrX')", "")]
+TWO = [(" where fid in ('f3', 'f7')", "")]
+#: The operator over the whole set, and what falls out of NAME's SQL; None where a row for each pair of samples at each marker is too much for it.
+UNCUT = {
+    "predict_f1": (pairwise.predict_f1, None),
+    "pairwise_diffs": (pairwise.pairwise_diffs, None),
+    "reconstruct_haps": (haps, None),
+    "haplotype_blocks": (lambda g: haplotypes.haplotype_blocks(haps(g)), None),
+    "haplotype_segments": (lambda g: plotdata.haplotype_segments(haplotypes.haplotype_blocks(haps(g))), None),
+    "ld_r2": (lambda g: pairwise.ld_r2(g, complete=False, force=True), CHROMOSOMES),
+    "ld_complete": (lambda g: pairwise.ld_r2(g, force=True), [*CHROMOSOMES, (" where fid = 'f3'", ""), ("where a.fid = 'f3' and a.dosage", "where a.dosage")]),
+    "consensus": (lambda g: stats.consensus(g, 0.1), TWO),
+    "segregating": (lambda g: stats.segregating(g, 0.2), TWO),
+    "segregating_het": (lambda g: stats.segregating(g, 0.2, allow_het=True), [(" where fid = 'f3'", "")]),
+    "informative": (lambda g: stats.informative(g, "fid", 0.3), [(" where fid in ('f1', 'f3', 'f7')", "")]),
+    "pairwise_fst": (lambda g: rounded(popgen.pairwise_fst(g), 9, "theta"), [(" and fid in ('f1', 'f3', 'f5', 'f7')", "")]),
+    "merge": (lambda g: cells(combine.merge(*halves(g))), [(" and (marker_idx between 50 and 149)", "")]),
+    "rbind": (lambda g: cells(combine.rbind(by_marker(g, 0), by_marker(g, 1))), [(" and marker_idx < 150", "")]),
+    "dotplot": (lambda g: plotdata.dotplot(g, force=True), [(" where chr = 'chr4'", "")]),
+}
+assert set(UNCUT) == set(CUT)
+
+for _name, (_fn, _edits) in UNCUT.items():
+    QUERIES[f"{_name}_whole"] = lambda spark, sf_dir, source=whole_genotypes, fn=_fn: fn(source(spark, sf_dir))
+    if _edits is not None:
+        ORACLE_SQL[f"{_name}_whole"] = whole_sql(edited(ORACLE_SQL[_name], _edits))
