@@ -27,7 +27,7 @@ BASE = {
     "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
 WEAK = {
-    "key": (r"(?<![A-Za-z0-9+/=])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", 0, 40),
+    "key": (r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", 0, 40),
     "user": (r"""(?<![A-Za-z0-9_])(?i:user|username|user_name|login|client_id|account_id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]+)""", 1, 3),
     "endpoint": (r"""(?<![A-Za-z0-9])(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|jdbc:[a-z]+|s3)://[A-Za-z0-9_.:@/-]+""", 0, 8),
 }
