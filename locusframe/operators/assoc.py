@@ -106,33 +106,48 @@ def hwe_exact(g: GenotypeSet, mid_p: bool = False) -> DataFrame:
     return _by_batch(count_calls(g), ["n0", "n1", "n2"], lambda v: [pa.array(np.array([one(*map(int, r)) for r in v], float), pa.float64(), from_pandas=True)], "marker_idx int, p double")
 
 
-def assoc_permuted(g: GenotypeSet, pheno: str = "pheno", permutations: int = 100, seed: int = 1) -> DataFrame:
-    """Share of label permutations whose allelic chi-square is at least the observed one, by marker: (r + 1) / (n + 1).
-
-    Labels are permuted as columns of a broadcast table with a row per sample;
-    a marker's counts under all permutations are matrix products.
+def assoc_permuted(g: GenotypeSet, pheno: str = "pheno", permutations: int = 100_000, seed: int = 1, enough: int = 10) -> DataFrame:
+    """Empirical p of the allelic chi-square under permuted labels, adaptively by marker.
+
+    A marker is permuted in growing rounds until ``enough`` permutations reach
+    its chi-square, or ``permutations`` are done: (r + 1) / (n + 1) of the n
+    done.  Permuting the labels of all samples, called at the marker or not,
+    deals the cases over its genotypes and missing calls as a multivariate
+    hypergeometric draw, so that a marker's counts and the two totals are enough.
     """
-    rows = g.samples.where(F.col(pheno).isin(1, 2)).select("sample_idx", (F.col(pheno) == 2).alias("case")).orderBy("sample_idx").toArrow()  # a row per sample, the small dimension
-    ids = rows.column("sample_idx").to_numpy()
-    case = rows.column("case").to_numpy(zero_copy_only=False).astype(np.float64)
-    rng = np.random.default_rng(seed)
-    labels = np.stack([case, *[rng.permutation(case) for _ in range(permutations)]], 1)
-
-    def run(table: pa.Table) -> pa.Table:
-        at = np.searchsorted(ids, table.column("sample_idx").to_numpy())
-        d = table.column("dosage").to_numpy().astype(float)
-        y = labels[at]
-        a, cases = d @ y, y.sum(0)
-        b, c = 2 * cases - a, d.sum() - a
-        e = 2 * (len(d) - cases) - c
+    # two numbers over the small dimension
+    known, cases = g.samples.where(F.col(pheno).isin(1, 2)).agg(F.count(F.lit(1)), F.count_if(F.col(pheno) == 2)).first()
+
+    def chi_square(case: np.ndarray, n: np.ndarray) -> np.ndarray:
+        copies, every, total = case[..., 1] + 2.0 * case[..., 2], 2.0 * case.sum(-1), n[1] + 2.0 * n[2]
+        a, b, c = copies, every - copies, total - copies
+        d = 2.0 * n.sum() - every - c
         with np.errstate(all="ignore"):
-            chi = (a + b + c + e) * (a * e - b * c) ** 2 / ((a + b) * (c + e) * (a + c) * (b + e))
-        seen = chi[0]
-        p = None if not np.isfinite(seen) else float((np.sum(chi[1:] >= seen - 1e-12) + 1) / (permutations + 1))
-        return pa.table([table.column("marker_idx").slice(0, 1), pa.array([p], pa.float64())], names=["marker_idx", "p"])
+            return (a + b + c + d) * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
+
+    def one(marker: int, v: np.ndarray) -> float:
+        n = v[:3] + v[3:]
+        seen = chi_square(v[:3].astype(float), n)
+        if not np.isfinite(seen):
+            return np.nan
+        rng = np.random.default_rng((seed, marker))
+        done = reached = 0
+        while done < permutations and reached < enough:
+            size = min(max(100, done), 10_000, permutations - done)
+            drawn = rng.multivariate_hypergeometric([*n, known - n.sum()], cases, size)
+            reached += int(np.sum(chi_square(drawn[:, :3].astype(float), n) >= seen * (1 - 1e-12)))
+            done += size
+        return (reached + 1) / (done + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("marker_idx").to_numpy()
+            counts = np.stack([b.column(c).to_numpy() for c in names], 1)
+            p = np.array([one(int(i), v) for i, v in zip(ids, counts, strict=True)], float)
+            yield pa.RecordBatch.from_arrays([b.column("marker_idx"), pa.array(p, pa.float64(), from_pandas=True)], names=["marker_idx", "p"])
 
-    known = F.broadcast(g.samples.where(F.col(pheno).isin(1, 2)).select("sample_idx"))
-    return g.observed().join(known, "sample_idx").select("marker_idx", "sample_idx", "dosage").groupBy("marker_idx").applyInArrow(run, "marker_idx int, p double")
+    names = ["a0", "a1", "a2", "u0", "u1", "u2"]
+    return case_control_counts(g, pheno).select("marker_idx", *names).mapInArrow(run, "marker_idx int, p double")
 
 
 def tdt(g: GenotypeSet, trios: DataFrame) -> DataFrame:
