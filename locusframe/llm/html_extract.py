@@ -68,7 +68,7 @@ class Field:
         """Score of main text over other; what ancestors add is kept by path."""
         score = self.paths.get(b.path)
         if score is None:
-            if len(self.paths) > 50_000:
+            if len(self.paths) > 10_000:
                 self.paths.clear()
             score = self.paths[b.path] = sum(self.weights.get(f, 0.0) for f in path_features(b.path))
         shape = text_features(b)
@@ -163,9 +163,10 @@ def extract_main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...
     as empty; text outside any element is a block like others; repeated rows
     give repeated results; no other column is read.
     """
-    fitted = model or trained()
+    held_model = pages.sparkSession.sparkContext.broadcast(model or trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = held_model.value
         for batch in batches:
             texts = [main_text(x or "", fitted) for x in batch.column("__html").to_pylist()]
             held = [batch.column(i) for i in range(batch.num_columns - 1)]
