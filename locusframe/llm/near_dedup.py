@@ -1,23 +1,34 @@
 """Near-duplicate detection by ProbMinHash (operator 7).
 
 A text's five-word shingles are elements of Poisson processes whose rates are
-their weights: how often they occur in the text, or 1 for each.  Each arrival
-falls on a register; a register keeps the element that arrives first, and a
-process ends as soon as its next arrival is later than the last of the
-document's register minima.  The share of registers on which two documents
-agree estimates their probability Jaccard similarity, which with weights of 1 is the
-Jaccard similarity of the shingle sets.
+their weights: how often they occur in the text.  Each arrival falls on a
+register; a register keeps the element that arrives first, and a process ends
+as soon as its next arrival is later than the last of the document's register
+minima.  The share of registers on which two documents agree estimates their
+probability Jaccard similarity
+
+    J = sum over common i of 1 / (sum over j of max(x[j] / x[i], y[j] / y[i])),
+
+which for weights of 1 is the Jaccard similarity of the shingle sets.
 
 Registers are banded; texts that share a bucket are candidates, and candidates
-are verified exactly on their shingle sets.  Exact copies are one node from
-the start.  In a bucket every node is compared with the bucket's hub (a star).
-In buckets that still hold several components, exact bounds rule out what
-cannot be linked, and the rest is compared with more and more centres until
-the bucket holds one component or no possible pair across components is left,
-so no link between candidates is lost and pairs within a component are never
-enumerated.  Components come from
-min-label propagation with pointer jumping; every step reads tables written in
-the shared folder.
+are verified exactly by J on their weighted shingles.  Exact copies are one
+node from the start.  In a bucket every node is compared with the bucket's hub
+(a star).  In buckets that still hold several components, exact bounds rule out
+what cannot be linked, and the rest is compared with more and more centres
+until the bucket holds one component or no possible pair across components is
+left, so no link between candidates is lost and pairs within a component are
+never enumerated.  Components come from min-label propagation with pointer
+jumping; every step reads tables written in the shared folder.
+
+The bounds: if P of the one text's weight and Q of the other's lies on common
+shingles (as shares), J is at most 1 / (1 / P + 1 / Q - 1).  For a common i the
+sum over j is at least 1 / p[i] + (1 - Q) / q[i] for shares p and q, so J is at
+most the sum of p q / (q + (1 - Q) p), which is concave and homogeneous in
+(p, q) and so at most its value at the totals (P, Q).
+
+Joins on keys that may hold any share of the rows (a hub, a bucket, a label, a
+text that fills the corpus) deal such a key's rows to many tasks.
 """
 
 from __future__ import annotations
@@ -30,11 +41,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.llm import textcore as tc
-from locusframe.llm.common import materialize, small_batches, tidy
+from locusframe.llm.common import attach, dealt, hot_keys, materialize, repeated, small_batches, spread, text_key, tidy
 
 BANDS, ROWS = 28, 5
 FEW = 32
 RARE = 24
+EPS = 1e-9
+SALTS = 64
 _U = np.uint64
 
 
@@ -85,15 +98,14 @@ def weighted_shingles(s: tc.Slice, k: int, weighted: bool) -> tuple[np.ndarray,
     return h, counts if weighted else np.ones(len(h), np.int64), offs
 
 
-def probability_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndarray) -> float:
-    """Sum over common elements i of 1 / sum over j of max(w1[j] / w1[i], w2[j] / w2[i]); hashes ascend."""
-    _, i, j = np.intersect1d(h1, h2, assume_unique=True, return_indices=True)
+def probability_jaccard(w1: np.ndarray, w2: np.ndarray, i: np.ndarray, j: np.ndarray) -> float:
+    """Sum over common elements of 1 / sum over all of max(w1 / w1[common], w2 / w2[common]); ``i`` and ``j`` are where the common ones lie."""
     if not len(i):
         return 0.0
     a, b = w1[i].astype(float), w2[j].astype(float)
     order = np.argsort(a / b, kind="stable")
     a, b = a[order], b[order]
-    # for element i those with a smaller ratio add their w2 over w2[i], the others their w1 over w1[i]
+    # for each element those with a smaller ratio add their w2 over its w2, the others their w1 over its w1
     low = np.concatenate([[0.0], np.cumsum(b)])[:-1]
     high = np.cumsum(a[::-1])[::-1]
     rest1, rest2 = w1.sum() - a.sum(), w2.sum() - b.sum()
@@ -135,8 +147,8 @@ def buckets_of(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def node_of(text: str) -> Column:
-    """A text's node: null counts as empty, equal texts are one node."""
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    """A text's node, a key of 128 bits: null counts as empty, equal texts are one node."""
+    return text_key(text)
 
 
 def banded(docs: DataFrame, key: str, text: str, k: int, bands: int, rows: int, weighted: bool) -> DataFrame:
@@ -153,10 +165,10 @@ def banded(docs: DataFrame, key: str, text: str, k: int, bands: int, rows: int,
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), lists], names=["id", "node", "buckets"])
 
     chosen = docs.select(F.col(key).alias("id"), node_of(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return small_batches(chosen).mapInArrow(tidy(run), f"id {docs.schema[key].dataType.simpleString()}, node bigint, buckets array<bigint>")
+    return small_batches(chosen).mapInArrow(tidy(run), f"id {docs.schema[key].dataType.simpleString()}, node binary, buckets array<bigint>")
 
 
-def unseen(batch: pa.RecordBatch, seen: set[int]) -> pa.Array:
+def unseen(batch: pa.RecordBatch, seen: set[bytes]) -> pa.Array:
     """Which rows of a batch hold a node for the first time."""
     fresh = []
     for node in batch.column("node").to_pylist():
@@ -166,63 +178,77 @@ def unseen(batch: pa.RecordBatch, seen: set[int]) -> pa.Array:
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str, k: int, weighted: bool) -> DataFrame:
-    """The sorted distinct shingle hashes (``set``) of the given nodes, and their weights if they are weighted."""
+    """The given nodes' distinct shingle hashes in ascending unsigned order (``set``), their weights (null: each 1) and the sum of these (``mass``)."""
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             yield batch.filter(unseen(batch, seen))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             batch = batch.filter(unseen(batch, seen))
             for s in tc.slices(batch.column("text")):
                 h, w, offs = weighted_shingles(s, k, weighted)
-                at = pa.array(offs.astype(np.int32))
-                lists = [pa.ListArray.from_arrays(at, pa.array(h.view(np.int64)))] + [pa.ListArray.from_arrays(at, pa.array(w))] * weighted
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(s.lo, len(s)), *lists], names=["node", "set", *["weights"] * weighted])
+                mass = tc.per_row(w, offs)
+                plain = mass == np.diff(offs)
+                lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(h.view(np.int64)))
+                kept = np.where(plain, 0, np.diff(offs))
+                at = np.zeros(len(offs), np.int32)
+                np.cumsum(kept, out=at[1:])
+                some = w[np.repeat(~plain, np.diff(offs))]
+                weights = pa.ListArray.from_arrays(pa.array(at), pa.array(some, pa.int64()), mask=pa.array(plain))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(s.lo, len(s)), lists, weights, pa.array(mass, pa.int64())], names=["node", "set", "weights", "mass"])
 
     # copies of a text within a task go on once, so a text that fills the corpus is a row per task
     docs = small_batches(docs)
-    texts = docs.select(node_of(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(tidy(once), "node bigint, text string")
-    return texts.join(nodes, "node", "left_semi").mapInArrow(tidy(sets), "node bigint, set array<bigint>" + ", weights array<bigint>" * weighted)
-
+    texts = docs.select(node_of(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(tidy(once), "node binary, text string")
+    return texts.join(nodes, "node", "left_semi").mapInArrow(tidy(sets), "node binary, set array<bigint>, weights array<bigint>, mass bigint").dropDuplicates(["node"])
 
-def overlaps(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Sizes and common elements of pairs' sets: a, b, na, nb, common; pairs whose sizes rule ``least`` out are left out."""
-    first = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
-    second = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    rows = pairs.select("a", "b").join(first, "a").join(second, "b")
-    x, y = F.size("sa"), F.size("sb")
-    rows = rows.where(F.least(x, y) >= F.greatest(x, y) * F.lit(least - 1e-9))
-    # a node's set may have been made by two tasks
-    return rows.select("a", "b", x.alias("na"), y.alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common")).distinct()
 
+def lists_of(col: pa.ListArray) -> list[np.ndarray | None]:
+    """A list column's rows as arrays, null rows as None."""
+    at, values = np.asarray(col.offsets), np.asarray(col.values)
+    return [None if gone else values[a:b] for a, b, gone in zip(at[:-1], at[1:], np.asarray(col.is_null()), strict=True)]
 
-def links_of(counted: DataFrame, least: float) -> DataFrame:
-    common = F.col("common")
-    return counted.where(common / (F.col("na") + F.col("nb") - common) >= F.lit(least)).select("a", "b")
 
+def compare(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) with the number of their common shingles (``common``) and whether their similarity is at least ``least`` (``near``).
 
-def verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Of the pairs (a, b) those that are similar by at least ``least``: by probability Jaccard where there are weights, else by Jaccard."""
-    if "weights" in sets.columns:
-        return verify_weighted(pairs, sets, least)
-    return links_of(overlaps(pairs, sets, least), least)
-
+    ``pairs`` should be a table made by :func:`materialize`.
+    """
 
-def verify_weighted(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c) for c in ("sa", "wa", "sb", "wb")), strict=True)
-            near = [probability_jaccard(*(np.asarray(x.values) for x in row)) >= least for row in rows]
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            common, near = [], []
+            for ha, wa, hb, wb in zip(*(lists_of(batch.column(c)) for c in ("sa", "wa", "sb", "wb")), strict=True):
+                ha, hb = ha.view(_U), hb.view(_U)
+                if len(ha) > len(hb):
+                    ha, wa, hb, wb = hb, wb, ha, wa
+                at = np.searchsorted(hb, ha)
+                at[at == len(hb)] = 0
+                i = np.flatnonzero(hb[at] == ha) if len(hb) else at
+                common.append(len(i))
+                if wa is None and wb is None:
+                    value = len(i) / max(1, len(ha) + len(hb) - len(i))
+                else:
+                    value = probability_jaccard(np.ones(len(ha)) if wa is None else wa, np.ones(len(hb)) if wb is None else wb, i, at[i])
+                near.append(value >= least - EPS)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(near, pa.bool_())], names=["a", "b", "common", "near"])
+
+    rows = pairs.select("a", "b")
+    hot_b = hot_keys(rows, "b")
+    hot_a = hot_keys(rows, "a")
+    first, second = (sets.select(F.col("node").alias(n), F.col("set").alias(f"s{n}"), F.col("weights").alias(f"w{n}")) for n in "ab")
+    rows = dealt(rows, hot_a, "a", "b").join(repeated(first, hot_a, "a"), ["a", "__part"]).drop("__part")
+    rows = dealt(rows, hot_b, "b", "a").join(repeated(second, hot_b, "b"), ["b", "__part"]).drop("__part")
+    return small_batches(rows).select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(tidy(run), "a binary, b binary, common bigint, near boolean")
 
-    ordered = sets.select("node", F.array_sort(F.arrays_zip("set", "weights")).alias("z"))
-    first, second = (ordered.select(F.col("node").alias(n), F.col("z.set").alias(f"s{n}"), F.col("z.weights").alias(f"w{n}")) for n in "ab")
-    rows = small_batches(pairs.select("a", "b").join(first, "a").join(second, "b"))
-    return rows.select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(tidy(run), "a bigint, b bigint").distinct()
+
+def verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Of the pairs (a, b) those that are similar by at least ``least``."""
+    return compare(pairs, sets, least).where("near").select("a", "b")
 
 
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -233,14 +259,16 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     if labels is not None:
         links = links.unionByName(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
     links = materialize(links, "links")
-    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    both = materialize(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))), "both")
+    hot = hot_keys(both, "other")
     now = materialize(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), "labels")
+    both = dealt(both, hot, "other", "node")
     while True:
-        known = now.select(F.col("node").alias("other"), F.col("label").alias("theirs"))
-        heard = both.join(known, "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
+        known = repeated(now.select(F.col("node").alias("other"), F.col("label").alias("theirs")), hot, "other")
+        heard = both.join(known, ["other", "__part"]).groupBy("node").agg(F.min("theirs").alias("theirs"))
         step = materialize(now.join(heard, "node").select("node", F.least("label", "theirs").alias("label"), F.col("label").alias("before")), "labels")
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        new = materialize(step.join(jump, "label", "left").select("node", F.coalesce("root", "label").alias("label"), "before"), "labels")
+        new = materialize(spread(step, jump, "label", "node").select("node", F.col("root").alias("label"), "before"), "labels")
         if new.where("label <> before").isEmpty():
             return new.select("node", "label")
         now = new.select("node", "label")
@@ -259,36 +287,35 @@ def hubs_of(members: DataFrame) -> DataFrame:
     other, so the star around it finds most links at once.
     """
     size = materialize(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    fraction = (F.col("node").bitwiseAND(F.lit(0xFFFFF))) / F.lit(2.0**21)  # a tie-break
-    reach = materialize(members.join(size, "bucket").groupBy("node").agg((F.sum("n") + F.first(fraction)).alias("reach")), "reach")
+    fraction = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / F.lit(2.0**21)  # a tie-break
+    reach = materialize(spread(members, size, "bucket", "node").groupBy("node").agg((F.sum("n") + F.first(fraction)).alias("reach")), "reach")
     return materialize(members.join(reach, "node").groupBy("bucket").agg(F.max_by("node", "reach").alias("hub")), "hubs")
 
 
-def possible(n: Column, own: Column, n2: Column, own2: Column, least: float) -> Column:
-    """Whether two sets of n and n2 elements, of which own and own2 are not in the other, can be as similar as ``least``."""
-    most = F.least(n - own, n2 - own2)
-    return most >= F.lit(least - 1e-9) * (n + n2 - most)
+def possible(common: Column, n: Column, mass: Column, n2: Column, mass2: Column, least: float) -> Column:
+    """Whether texts of n and n2 distinct shingles that weigh mass and mass2 in all can be as similar as ``least`` if at most ``common`` are in both.
+
+    Each other shingle weighs 1 at least, so x = mass - n + common bounds the weight of the common ones.
+    """
+    x, y = ((m - k + common).cast("double") for m, k in ((mass, n), (mass2, n2)))
+    return F.lit(1 + least) * x * y >= F.lit(least - EPS) * (x * mass2 + y * mass)
 
 
-def rare_pairs(named: DataFrame, sets: DataFrame, similarity: float, weighted: bool) -> tuple[DataFrame, DataFrame]:
+def rare_pairs(named: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """What rare shingles (of at most ``RARE`` of the nodes in question) tell about nodes and pairs.
 
-    Returns each node's set size and number of rare shingles (``own``), and
+    Returns each node's set size, mass and number of rare shingles (``own``), and
     the pairs of different components that share so many rare shingles that
     they can be similar.  In any other pair a node's rare shingles are not
     the other's, which bounds the pair's similarity.
     """
     nodes = materialize(named.select("node", "label").distinct(), "open_nodes")
-    mine = sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    if weighted:  # the bounds hold for sets; with weights nothing is ruled out
-        facts = nodes.select("node", F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("own"))
-        return materialize(facts, "facts"), nodes.where("false").select(F.col("node").alias("a"), F.col("node").alias("b"))
-    mine = materialize(mine, "open_sets")
+    mine = materialize(sets.join(nodes, "node", "left_semi").select("node", "set", "mass"), "open_sets")
     theirs = mine.select("node", F.explode("set").alias("shingle"))
     rare = materialize(theirs.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= RARE), "rare")
     held = materialize(theirs.join(rare, "shingle"), "rare_held")
     own = held.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    facts = materialize(mine.select("node", F.size("set").cast("long").alias("size")).join(own, "node", "left").select("node", "size", F.coalesce("own", F.lit(0)).alias("own")), "facts")
+    facts = materialize(mine.select("node", F.size("set").cast("long").alias("size"), "mass").join(own, "node", "left").select("node", "size", "mass", F.coalesce("own", F.lit(0)).alias("own")), "facts")
     # lists of at most RARE nodes, so a shingle gives at most RARE * (RARE - 1) / 2 pairs
     lists = held.where("df > 1").groupBy("shingle").agg(F.array_sort(F.collect_list("node")).alias("l"))
     pairs = lists.select(F.explode(F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", 1, i), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
@@ -297,40 +324,43 @@ def rare_pairs(named: DataFrame, sets: DataFrame, similarity: float, weighted: b
     a, b = (known.select(*[F.col(c).alias(f"{c}_{n}") for c in known.columns]) for n in "ab")
     shared = shared.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b"))
     most = F.least(F.col("size_a") - F.col("own_a"), F.col("size_b") - F.col("own_b")) + F.col("shared")
-    can = (F.col("label_a") != F.col("label_b")) & (most >= F.lit(similarity - 1e-9) * (F.col("size_a") + F.col("size_b") - most))
+    can = (F.col("label_a") != F.col("label_b")) & possible(most, F.col("size_a"), F.col("mass_a"), F.col("size_b"), F.col("mass_b"), similarity)
     return facts, shared.where(can).select("a", "b")
 
 
-def ranked_rows(named: DataFrame, facts: DataFrame, similarity: float, weighted: bool) -> DataFrame:
-    """The rows of open buckets with what bounds their similarities, and their places as centres.
+def placed_rows(named: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
+    """The rows of open buckets with what bounds their similarities, and their places (``place``) in the order of centres.
 
     Rows outside a bucket's largest component (``minor``) come first, then
     those with few rare shingles: every pair across components has a minor
     row, so when those have been centres the bucket is done.  Rows that cannot
     be similar to anything in their bucket are left out.
     """
-    named = named.join(facts, "node")
-    if weighted:
-        named = named.withColumn("beyond", F.lit(None).cast("long"))
-    else:
-        # what a node has beyond the hub's set, less its rare shingles there: no pair that is left shares those
-        hub_own = facts.select(F.col("node").alias("hub"), F.col("own").alias("hub_own"))
-        # the hub has all of its own set
-        named = named.join(hub_own, "hub").withColumn("common", F.coalesce("common", F.col("size")).cast("long"))
-        named = named.withColumn("beyond", F.col("size") - F.col("common") - F.greatest(F.col("own") - F.col("hub_own"), F.lit(0)))
-        named = named.drop("hub_own")
-    named = materialize(named.drop("hub"), "bounded")
-    count = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least_size"))
-    largest = count.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.min("least_size").alias("least_size"))
-    named = named.join(materialize(largest, "largest"), "bucket")
+    hub_own = facts.select(F.col("node").alias("hub"), F.col("own").alias("hub_own"))
+    named = materialize(named.join(facts, "node"), "facts_held")
+    # what a node has beyond the hub's set, less its rare shingles there: no pair that is left shares those; the hub has all of its own set
+    named = spread(named, hub_own, "hub", "node").withColumn("common", F.coalesce("common", F.col("size")).cast("long"))
+    named = named.withColumn("beyond", F.col("size") - F.col("common") - F.greatest(F.col("own") - F.col("hub_own"), F.lit(0)))
+    named = materialize(named.drop("hub", "hub_own"), "bounded")
+    count = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least_size"), F.max("mass").alias("most_mass"))
+    largest = count.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.min("least_size").alias("least_size"), F.max("most_mass").alias("most_mass"))
+    named = spread(named, materialize(largest, "largest"), "bucket", "node")
     # with the smallest set of the bucket, none of it its own, if that isn't smaller than what can be common
     most = F.col("size") - F.col("own")
-    named = named.where(possible(F.col("size"), F.col("own"), F.greatest(F.col("least_size"), most), F.lit(0), similarity))
-    named = named.withColumn("minor", F.col("label") != F.col("largest")).drop("least_size", "largest")
-    return named.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("minor"), "own", "node")))
+    named = named.where(possible(most, F.col("size"), F.col("mass"), F.greatest(F.col("least_size"), most), F.greatest("most_mass", "least_size", most), similarity))
+    minor = F.col("label") != F.col("largest")
+    return named.withColumn("place", F.struct((~minor).alias("major"), "own", "node")).drop("least_size", "largest", "most_mass")
+
+
+def first_places(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows of each bucket that come first; of a part of a bucket's rows at first, so that no task sorts a whole bucket."""
+    part = F.row_number().over(Window.partitionBy("bucket", F.pmod(F.xxhash64("node"), F.lit(SALTS))).orderBy("place"))
+    whole = F.row_number().over(Window.partitionBy("bucket").orderBy("place"))
+    few = rows.withColumn("__r", part).where(F.col("__r") <= n).withColumn("__r", whole)
+    return few.where(F.col("__r") <= n).drop("__r")
 
 
-def compare_rest(members: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float, weighted: bool) -> DataFrame:
+def compare_rest(members: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
     """Find the links that the stars left out; returns the new labels.
 
     ``members``: bucket, node, the bucket's hub, and how much of its set the
@@ -339,35 +369,38 @@ def compare_rest(members: DataFrame, sets: DataFrame, labels: DataFrame, similar
     nodes that share rare shingles are compared; in all other pairs the rare
     shingles of either node bound the similarity, which rules out most nodes
     and pairs exactly.  What is left is compared in rounds, each with twice as many
-    centres of a bucket as before (see :func:`ranked_rows`),
+    centres of a bucket as before (see :func:`placed_rows`),
     until a bucket is one component or no possible pair is left.
     """
-    rest, centers, done = members, 0, None
+    rest, centers, done = materialize(members, "rest"), 0, None
     while True:
         named = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        last = F.max(F.when(F.col("minor"), F.col("rank"))) if centers else F.lit(1)
-        open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), last.alias("last")).where((F.col("lo") < F.col("hi")) & (F.col("last") > centers)).select("bucket")
-        named = materialize(named.join(materialize(open_, "open"), "bucket"), "named")
+        # rows that have been centres are compared with all that came after them
+        waiting = F.max(F.col("ahead") & ~F.col("place.major")) if centers else F.lit(True)
+        open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), waiting.alias("waiting")).where("lo < hi and waiting").select("bucket")
+        named = materialize(spread(materialize(named, "labelled"), materialize(open_, "open"), "bucket", "node"), "named")
         if named.isEmpty():
             return labels
         if centers == 0:
-            facts, more = rare_pairs(named, sets, similarity, weighted)
+            facts, more = rare_pairs(named, sets, similarity)
             done = materialize(more, "pairs")
             labels = joined(verify(done, sets, similarity), labels)
-            named = ranked_rows(named.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), facts, similarity, weighted)
-        ranked = materialize(named, "ranked") if centers == 0 else named
-        upto = max(4, 2 * centers)
-        new = ranked.where((F.col("rank") > centers) & (F.col("rank") <= upto)).select("bucket", F.col("node").alias("c"), F.col("label").alias("cl"), F.col("size").alias("cs"), F.col("own").alias("co"), F.col("common").alias("cc"), F.col("beyond").alias("cb"), F.col("rank").alias("cr"))
-        fits = (F.col("rank") > F.col("cr")) & (F.col("label") != F.col("cl")) & possible(F.col("size"), F.col("own"), F.col("cs"), F.col("co"), similarity)
+            named = placed_rows(named.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), facts, similarity)
+            named = materialize(named.withColumn("ahead", F.lit(True)), "placed")
+        more = max(4, centers)
+        chosen = first_places(named.where("ahead"), more)
+        new = materialize(chosen.select("bucket", *[F.col(c).alias(f"c_{c}") for c in ("node", "label", "size", "mass", "common", "beyond", "place")]), "centres")
         # what both share of the hub, and what both can share beyond it
-        most = F.least("common", "cc") + F.greatest(F.least("beyond", "cb"), F.lit(0))
-        fits = fits & F.coalesce(most >= F.lit(similarity - 1e-9) * (F.col("size") + F.col("cs") - most), F.lit(True))
-        more = ranked.join(new, "bucket").where(fits).select(F.greatest("node", "c").alias("a"), F.least("node", "c").alias("b")).distinct()
-        more = materialize(more if done is None else more.join(done, ["a", "b"], "left_anti"), "pairs")
-        labels = joined(verify(more, sets, similarity), labels)
-        done = more if done is None else done.unionByName(more)
-        rest = ranked.drop("label")
-        centers = upto
+        most = F.least("common", "c_common") + F.greatest(F.least("beyond", "c_beyond"), F.lit(0))
+        most = F.least(most, F.col("size") - F.col("own"), F.col("c_size") - F.col("c_place.own"))
+        fits = (F.col("place") > F.col("c_place")) & (F.col("label") != F.col("c_label")) & possible(most, F.col("size"), F.col("mass"), F.col("c_size"), F.col("c_mass"), similarity)
+        pairs = spread(named, new, "bucket", "node").where(fits).select(F.greatest("node", "c_node").alias("a"), F.least("node", "c_node").alias("b")).distinct()
+        pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        labels = joined(verify(pairs, sets, similarity), labels)
+        done = done.unionByName(pairs)
+        last = materialize(new.groupBy("bucket").agg(F.max("c_place").alias("last")), "last")
+        rest = materialize(spread(named, last, "bucket", "node").withColumn("ahead", F.col("place") > F.col("last")).drop("last", "label"), "rest")
+        centers += more
 
 
 def near_duplicates(
@@ -378,13 +411,13 @@ def near_duplicates(
     rows: int = ROWS,
     key: str = "doc_id",
     text: str = "text",
-    weighted: bool = False,
+    weighted: bool = True,
 ) -> DataFrame:
     """Classes of near-duplicate documents.
 
-    ``weighted``: shingles weigh as often as they occur, and the similarity is
-    the probability Jaccard of the weights; else each weighs 1, and it is the
-    Jaccard similarity of the sets.  Returns a row per row of ``docs``: ``key``, class_id (the least id of the
+    Shingles weigh as often as they occur, and the similarity is the
+    probability Jaccard of the weights; if not ``weighted`` each weighs 1, and
+    it is the Jaccard similarity of the sets.  Returns a row per row of ``docs``: ``key``, class_id (the least id of the
     class), class_size (rows of the class), text_class (the least id among
     exact copies of the row's text), node (the text's key) and label (the least
     node of the class).  Two texts are
@@ -400,34 +433,35 @@ def near_duplicates(
     held = base.select(F.explode("buckets").alias("bucket"), "node")
     several = held.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
     several = materialize(several, "several")
-    members = materialize(held.join(several, "bucket").select("bucket", "node").distinct(), "members")
+    members = materialize(held.distinct().join(several, "bucket", "left_semi"), "members")
     involved = materialize(members.select("node").distinct(), "involved")
     sets = materialize(shingle_sets(docs, involved, text, k, weighted), "sets")
-    members = materialize(members.join(hubs_of(members), "bucket"), "starred")
+    members = materialize(spread(members, hubs_of(members), "bucket", "node"), "starred")
     stars = materialize(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    if weighted:
-        members = members.withColumn("common", F.lit(None).cast("int"))
-        labels = components(verify(stars, sets, similarity))
-    else:
-        counted = materialize(overlaps(stars, sets, 0.0), "overlaps")
-        labels = components(links_of(counted, similarity))
-        members = members.join(counted.select(F.col("a").alias("node"), F.col("b").alias("hub"), "common"), ["node", "hub"], "left")
-    labels = compare_rest(members, sets, labels, similarity, weighted)
+    compared = materialize(compare(stars, sets, similarity), "overlaps")
+    labels = components(compared.where("near").select("a", "b"))
+    members = members.join(compared.select(F.col("a").alias("node"), F.col("b").alias("hub"), "common"), ["node", "hub"], "left")
+    labels = compare_rest(members, sets, labels, similarity)
     least = base.groupBy("node").agg(F.min("id").alias("text_class"), F.count(F.lit(1)).alias("n"))
-    tagged = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    tagged = materialize(least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "tagged")
     classes = tagged.groupBy("label").agg(F.min("text_class").alias("class_id"), F.sum("n").alias("class_size"))
-    by_node = materialize(tagged.join(classes, "label").select("node", "label", "class_id", "class_size", "text_class"), "classes")
-    return base.select("id", "node").join(by_node, "node").select(F.col("id").alias(key), "class_id", "class_size", "text_class", "node", "label")
+    by_node = spread(tagged, classes, "label", "node").select("node", "label", "class_id", "class_size", "text_class", "n")
+    return attach(base.select("id", "node"), materialize(by_node, "classes"), "node").select(F.col("id").alias(key), "class_id", "class_size", "text_class", "node", "label")
 
 
 #: For DuckDB, with the parameters of the registered query: all pairs that share a shingle, and their components.
 ORACLE = """
 with recursive d as (select doc_id, coalesce(text, '') as t from documents),
 w as (select doc_id, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w from d),
-s as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as sh from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from w where len(w) > 0)),
-n as (select doc_id, count(*) as n from s group by doc_id),
-p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
-e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where c / cast(x.n + y.n - c as double) >= 0.8e0
+s as (select doc_id, sh, cast(count(*) as double) as x from (
+  select doc_id, array_to_string(w[i : i + 4], ' ') as sh from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from w where len(w) > 0)) group by doc_id, sh),
+m as (select doc_id, sum(x) as mass from s group by doc_id),
+q as (select a.doc_id as a, b.doc_id as b, sum(a.x) as sx, sum(b.x) as sy from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+p as (select a, b, sx, sy, k.mass as ma, l.mass as mb from q join m k on k.doc_id = a join m l on l.doc_id = b where k.mass / sx + l.mass / sy - 1 <= 1.2500001e0),
+i as (select p.*, s.x as x, z.x as y, s.x / z.x as ratio from p join s on s.doc_id = a join s z on z.doc_id = b and z.sh = s.sh),
+t as (select a, b, x, y, ma, mb, sx, sy, sum(y) over below as low_y, sx - sum(x) over below as high_x from i
+  window below as (partition by a, b order by ratio range between unbounded preceding and current row)),
+e as (select a, b from t group by a, b having sum(1 / ((high_x + ma - sx) / x + (low_y + mb - sy) / y)) >= 0.8e0 - 1e-9
   union select a.doc_id, b.doc_id from d a join d b on a.t = b.t and a.doc_id < b.doc_id),
 both_ways as (select a, b from e union all select b, a from e),
 reach(node, root) as (select doc_id, doc_id from d union select both_ways.b, reach.root from reach join both_ways on both_ways.a = reach.node),

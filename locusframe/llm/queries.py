@@ -58,7 +58,7 @@ def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from locusframe.llm.near_dedup import near_duplicates
 
-    return near_duplicates(read_table(spark, sf_dir, "documents"), k=5, similarity=0.8).select("doc_id", "class_id", "class_size", "text_class")
+    return near_duplicates(read_table(spark, sf_dir, "documents"), k=5, similarity=0.8, weighted=True).select("doc_id", "class_id", "class_size", "text_class")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

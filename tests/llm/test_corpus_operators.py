@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -27,13 +27,26 @@ def test_agrees_with_sql(spark, sf, name):
 # near-duplicates --------------------------------------------------------------
 
 
-def shingle_set(text, k=5):
+def shingle_counts(text, k=5):
     w = WORDS.findall(text or "")
-    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else Counter([tuple(w)] if w else [])
 
 
-def brute_classes(texts, least=0.8):
-    sets, parent = [shingle_set(t) for t in texts], list(range(len(texts)))
+def brute_similarity(a, b, weighted=True):
+    """Probability Jaccard of two counters, by its definition; Jaccard of their keys if not weighted."""
+    if not weighted:
+        a, b = dict.fromkeys(a, 1), dict.fromkeys(b, 1)
+    common = a.keys() & b.keys()
+    pa, pb = sum(a[x] for x in common) / max(1, sum(a.values())), sum(b[x] for x in common) / max(1, sum(b.values()))
+    if not common or 1 / (1 / pa + 1 / pb - 1) < 0.5:  # a bound of what follows
+        return 0.0
+    groups = Counter((a.get(j, 0), b.get(j, 0)) for j in a.keys() | b.keys())
+    terms = {(x, y): 1 / sum(n * max(u / x, v / y) for (u, v), n in groups.items()) for x, y in groups if x and y}
+    return sum(n * terms[g] for g, n in groups.items() if g in terms)
+
+
+def brute_classes(texts, least=0.8, weighted=True):
+    sets, parent = [shingle_counts(t) for t in texts], list(range(len(texts)))
 
     def root(i):
         while parent[i] != i:
@@ -43,8 +56,7 @@ def brute_classes(texts, least=0.8):
     for i in range(len(texts)):
         for j in range(i):
             same = (texts[i] or "") == (texts[j] or "")
-            union = len(sets[i] | sets[j])
-            if same or (union and len(sets[i] & sets[j]) / union >= least):
+            if same or brute_similarity(sets[i], sets[j], weighted) >= least - 1e-9:
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return [root(i) for i in range(len(texts))]
@@ -66,16 +78,19 @@ def near_texts(seed=5):
     texts += [edited(r, other, r.randrange(1, 5)) for _ in range(25)]
     texts += ["a b", "a b", "a b c", "", None, " ", "x " * 50, "x " * 60, " ".join(base[:60]) + " " + " ".join(other[:60])]
     texts += [" ".join(f"u{r.randrange(10**6)}" for _ in range(40)) for _ in range(20)]
+    # a line that is repeated more or less often, before tails of their own: weights decide
+    line = [f"l{r.randrange(500)}" for _ in range(12)]
+    texts += [" ".join(line * r.randrange(2, 9) + [f"t{r.randrange(10**6)}" for _ in range(r.randrange(1, 12))]) for _ in range(20)]
     r.shuffle(texts)
     return texts
 
 
-@pytest.mark.parametrize("seed", [5, 6])
-def test_near_duplicates_match_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,weighted", [(5, True), (6, True), (5, False)])
+def test_near_duplicates_match_brute_force(spark, seed, weighted):
     texts = near_texts(seed)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r for r in near_dedup.near_duplicates(docs).collect()}
-    want = brute_classes(texts)
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(docs, weighted=weighted).collect()}
+    want = brute_classes(texts, weighted=weighted)
     assert [got[i].class_id for i in range(len(texts))] == want
     assert [got[i].class_size for i in range(len(texts))] == [want.count(c) for c in want]
 
@@ -94,17 +109,31 @@ def test_probability_jaccard_and_its_estimate():
     h1, h2 = h[:200], h[100:]
     a, b = dict(zip(h1.tolist(), w1.tolist(), strict=True)), dict(zip(h2.tolist(), w2.tolist(), strict=True))
     want = sum(1 / sum(max(a.get(j, 0) / a[i], b.get(j, 0) / b[i]) for j in {*a, *b}) for i in {*a} & {*b})
-    assert near_dedup.probability_jaccard(h1, w1, h2, w2) == pytest.approx(want)
+    assert near_dedup.probability_jaccard(w1, w2, np.arange(100, 200), np.arange(100)) == pytest.approx(want)
+    assert want <= 1 / (w1.sum() / w1[100:].sum() + w2.sum() / w2[:100].sum() - 1)
     sig = near_dedup.prob_minhash(np.concatenate([h1, h2]), np.concatenate([w1, w2]), np.array([0, 200, 400]), 4000)
     assert (sig[0] == sig[1]).mean() == pytest.approx(want, abs=0.03)
 
 
-def test_weighted_near_duplicates(spark):
+def test_the_bound_of_common_shingles_holds(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for _ in range(300):
+        n, m, c = (int(x) for x in rng.integers(1, 8, 3))
+        c = min(c, n, m)
+        w1, w2 = (rng.integers(1, rng.integers(2, 9), k) for k in (n, m))
+        rows.append((c, n, int(w1.sum()), m, int(w2.sum()), near_dedup.probability_jaccard(w1, w2, np.arange(c), np.arange(c))))
+    t = spark.createDataFrame(rows, "c long, n long, a long, m long, b long, j double")
+    can = near_dedup.possible(*[F.col(x) for x in "cnamb"], 0.4)
+    assert t.where((F.col("j") >= 0.4) & ~can).count() == 0 and t.where(~can).count() > 15
+
+
+def test_weights_decide(spark):
     line = "one two three four five six "
     texts = [line * 30 + "a b c d e f", line * 30 + "g h i j k l", line * 2]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.class_id for r in near_dedup.near_duplicates(docs).collect()} == {0, 1, 2}
-    weighted = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs, weighted=True).collect()}
+    assert {r.class_id for r in near_dedup.near_duplicates(docs, weighted=False).collect()} == {0, 1, 2}
+    weighted = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
     assert weighted[0] == weighted[1] == 0
 
 
