@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,14 +21,17 @@ _written: list[tuple[SparkSession, str]] = []
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (a local session, as in tests) a temporary folder is
-    made and set as the session's checkpoint folder.
+    Only where it is unset in a local session (as in tests) a temporary folder is
+    made and set as the session's checkpoint folder; executors on other
+    machines would not see it, so there the setting is required.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext.getCheckpointDir()
         if held:
             return held
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="locusframe-")
         spark.sparkContext.setCheckpointDir(at)
         return at
@@ -59,7 +65,8 @@ def remove_scratch() -> None:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # noqa: BLE001  the session may have ended before
-            return
+            if path.startswith("file:"):
+                shutil.rmtree(urlsplit(path).path, ignore_errors=True)
 
 
 atexit.register(remove_scratch)
@@ -129,12 +136,6 @@ def repeated(small: DataFrame, hot: DataFrame, on: str) -> DataFrame:
     return found.withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
 
 
-def spread(big: DataFrame, small: DataFrame, on: str, by: str) -> DataFrame:
-    """Inner join on a key of which ``big`` may hold any share of its rows; ``by`` tells those rows apart."""
-    hot = hot_keys(big, on)
-    return dealt(big, hot, on, by).join(repeated(small, hot, on), [on, "__part"]).drop("__part")
-
-
 def attach(big: DataFrame, keys: DataFrame, on: str, hot_share: int = 5000) -> DataFrame:
     """Inner join of ``big`` to ``keys`` (one row a key; its column ``n`` counts the key's rows in ``big``).
 

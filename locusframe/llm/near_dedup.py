@@ -27,8 +27,9 @@ sum over j is at least 1 / p[i] + (1 - Q) / q[i] for shares p and q, so J is at
 most the sum of p q / (q + (1 - Q) p), which is concave and homogeneous in
 (p, q) and so at most its value at the totals (P, Q).
 
-Joins on keys that may hold any share of the rows (a hub, a bucket, a label, a
-text that fills the corpus) deal such a key's rows to many tasks.
+Any share of the rows may have one key.  Comparisons, whose rows are wide, deal
+the rows of such a hub to many tasks; joins of narrow rows on a bucket or label
+leave that to the adaptive skew join, and ranks are taken within parts of a bucket.
 """
 
 from __future__ import annotations
@@ -41,13 +42,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.llm import textcore as tc
-from locusframe.llm.common import attach, dealt, hot_keys, materialize, repeated, small_batches, spread, text_key, tidy
+from locusframe.llm.common import attach, dealt, hot_keys, materialize, repeated, small_batches, text_key, tidy
 
 BANDS, ROWS = 28, 5
 FEW = 32
 RARE = 24
 EPS = 1e-9
-SALTS = 64
+PART = 512
+#: Texts in question that are broadcast (24 bytes each); beyond it all texts are shuffled by key instead.
+MOST_SENT = 1_000_000
 _U = np.uint64
 
 
@@ -147,12 +150,12 @@ def buckets_of(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def node_of(text: str) -> Column:
-    """A text's node, a key of 128 bits: null counts as empty, equal texts are one node."""
+    """A text's key of 128 bits: null counts as empty, equal texts have one."""
     return text_key(text)
 
 
 def banded(docs: DataFrame, key: str, text: str, k: int, bands: int, rows: int, weighted: bool) -> DataFrame:
-    """A row per document: id, node, buckets (empty for a text without words)."""
+    """A row per document: id, text key, buckets (empty for a text without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,23 +165,23 @@ def banded(docs: DataFrame, key: str, text: str, k: int, bands: int, rows: int,
             offs = np.zeros(len(n) + 1, np.int32)
             np.cumsum(n, out=offs[1:])
             lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(b[size > 0].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), lists], names=["id", "node", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), lists], names=["id", "key", "buckets"])
 
-    chosen = docs.select(F.col(key).alias("id"), node_of(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return small_batches(chosen).mapInArrow(tidy(run), f"id {docs.schema[key].dataType.simpleString()}, node binary, buckets array<bigint>")
+    chosen = docs.select(F.col(key).alias("id"), node_of(text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return small_batches(chosen).mapInArrow(tidy(run), f"id {docs.schema[key].dataType.simpleString()}, key binary, buckets array<bigint>")
 
 
 def unseen(batch: pa.RecordBatch, seen: set[bytes]) -> pa.Array:
-    """Which rows of a batch hold a node for the first time."""
+    """Which rows of a batch hold a text for the first time."""
     fresh = []
-    for node in batch.column("node").to_pylist():
-        fresh.append(node not in seen)
-        seen.add(node)
+    for key in batch.column("key").to_pylist():
+        fresh.append(key not in seen)
+        seen.add(key)
     return pa.array(fresh, pa.bool_())
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str, k: int, weighted: bool) -> DataFrame:
-    """The given nodes' distinct shingle hashes in ascending unsigned order (``set``), their weights (null: each 1) and the sum of these (``mass``)."""
+    """The distinct shingle hashes in ascending unsigned order (``set``) of ``nodes`` (node, key), their weights (null: each 1) and the sum of these (``mass``)."""
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -186,25 +189,23 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str, k: int, weighted:
             yield batch.filter(unseen(batch, seen))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         for batch in batches:
-            batch = batch.filter(unseen(batch, seen))
             for s in tc.slices(batch.column("text")):
                 h, w, offs = weighted_shingles(s, k, weighted)
-                mass = tc.per_row(w, offs)
-                plain = mass == np.diff(offs)
+                n, mass = np.diff(offs), tc.per_row(w, offs)
+                plain = mass == n
                 lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(h.view(np.int64)))
-                kept = np.where(plain, 0, np.diff(offs))
                 at = np.zeros(len(offs), np.int32)
-                np.cumsum(kept, out=at[1:])
-                some = w[np.repeat(~plain, np.diff(offs))]
-                weights = pa.ListArray.from_arrays(pa.array(at), pa.array(some, pa.int64()), mask=pa.array(plain))
+                np.cumsum(np.where(plain, 0, n), out=at[1:])
+                weights = pa.ListArray.from_arrays(pa.array(at), pa.array(w[np.repeat(~plain, n)], pa.int64()), mask=pa.array(plain))
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(s.lo, len(s)), lists, weights, pa.array(mass, pa.int64())], names=["node", "set", "weights", "mass"])
 
     # copies of a text within a task go on once, so a text that fills the corpus is a row per task
     docs = small_batches(docs)
-    texts = docs.select(node_of(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(tidy(once), "node binary, text string")
-    return texts.join(nodes, "node", "left_semi").mapInArrow(tidy(sets), "node binary, set array<bigint>, weights array<bigint>, mass bigint").dropDuplicates(["node"])
+    texts = docs.select(node_of(text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(tidy(once), "key binary, text string")
+    few = nodes.count() <= MOST_SENT
+    one = texts.join(F.broadcast(nodes) if few else nodes.hint("shuffle_merge"), "key").dropDuplicates(["key"])
+    return small_batches(one.select("node", "text")).mapInArrow(tidy(sets), "node bigint, set array<bigint>, weights array<bigint>, mass bigint")
 
 
 def lists_of(col: pa.ListArray) -> list[np.ndarray | None]:
@@ -243,7 +244,7 @@ def compare(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     first, second = (sets.select(F.col("node").alias(n), F.col("set").alias(f"s{n}"), F.col("weights").alias(f"w{n}")) for n in "ab")
     rows = dealt(rows, hot_a, "a", "b").join(repeated(first, hot_a, "a"), ["a", "__part"]).drop("__part")
     rows = dealt(rows, hot_b, "b", "a").join(repeated(second, hot_b, "b"), ["b", "__part"]).drop("__part")
-    return small_batches(rows).select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(tidy(run), "a binary, b binary, common bigint, near boolean")
+    return small_batches(rows).select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(tidy(run), "a bigint, b bigint, common bigint, near boolean")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -259,16 +260,14 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     if labels is not None:
         links = links.unionByName(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
     links = materialize(links, "links")
-    both = materialize(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))), "both")
-    hot = hot_keys(both, "other")
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
     now = materialize(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), "labels")
-    both = dealt(both, hot, "other", "node")
     while True:
-        known = repeated(now.select(F.col("node").alias("other"), F.col("label").alias("theirs")), hot, "other")
-        heard = both.join(known, ["other", "__part"]).groupBy("node").agg(F.min("theirs").alias("theirs"))
+        known = now.select(F.col("node").alias("other"), F.col("label").alias("theirs"))
+        heard = both.join(known, "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
         step = materialize(now.join(heard, "node").select("node", F.least("label", "theirs").alias("label"), F.col("label").alias("before")), "labels")
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        new = materialize(spread(step, jump, "label", "node").select("node", F.col("root").alias("label"), "before"), "labels")
+        new = materialize(step.join(jump, "label").select("node", F.col("root").alias("label"), "before"), "labels")
         if new.where("label <> before").isEmpty():
             return new.select("node", "label")
         now = new.select("node", "label")
@@ -288,7 +287,7 @@ def hubs_of(members: DataFrame) -> DataFrame:
     """
     size = materialize(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "sizes")
     fraction = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / F.lit(2.0**21)  # a tie-break
-    reach = materialize(spread(members, size, "bucket", "node").groupBy("node").agg((F.sum("n") + F.first(fraction)).alias("reach")), "reach")
+    reach = materialize(members.join(size, "bucket").groupBy("node").agg((F.sum("n") + F.first(fraction)).alias("reach")), "reach")
     return materialize(members.join(reach, "node").groupBy("bucket").agg(F.max_by("node", "reach").alias("hub")), "hubs")
 
 
@@ -328,8 +327,8 @@ def rare_pairs(named: DataFrame, sets: DataFrame, similarity: float) -> tuple[Da
     return facts, shared.where(can).select("a", "b")
 
 
-def placed_rows(named: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
-    """The rows of open buckets with what bounds their similarities, and their places (``place``) in the order of centres.
+def ranked_rows(named: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
+    """The rows of open buckets with what bounds their similarities, and their places (``rank``) in the order of centres.
 
     Rows outside a bucket's largest component (``minor``) come first, then
     those with few rare shingles: every pair across components has a minor
@@ -337,27 +336,22 @@ def placed_rows(named: DataFrame, facts: DataFrame, similarity: float) -> DataFr
     be similar to anything in their bucket are left out.
     """
     hub_own = facts.select(F.col("node").alias("hub"), F.col("own").alias("hub_own"))
-    named = materialize(named.join(facts, "node"), "facts_held")
     # what a node has beyond the hub's set, less its rare shingles there: no pair that is left shares those; the hub has all of its own set
-    named = spread(named, hub_own, "hub", "node").withColumn("common", F.coalesce("common", F.col("size")).cast("long"))
+    named = named.join(facts, "node").join(hub_own, "hub").withColumn("common", F.coalesce("common", F.col("size")).cast("long"))
     named = named.withColumn("beyond", F.col("size") - F.col("common") - F.greatest(F.col("own") - F.col("hub_own"), F.lit(0)))
     named = materialize(named.drop("hub", "hub_own"), "bounded")
     count = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least_size"), F.max("mass").alias("most_mass"))
-    largest = count.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.min("least_size").alias("least_size"), F.max("most_mass").alias("most_mass"))
-    named = spread(named, materialize(largest, "largest"), "bucket", "node")
+    largest = count.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("n"), F.min("least_size").alias("least_size"), F.max("most_mass").alias("most_mass"))
+    named = attach(named, materialize(largest.withColumn("rows", F.col("n")), "largest"), "bucket")
     # with the smallest set of the bucket, none of it its own, if that isn't smaller than what can be common
     most = F.col("size") - F.col("own")
     named = named.where(possible(most, F.col("size"), F.col("mass"), F.greatest(F.col("least_size"), most), F.greatest("most_mass", "least_size", most), similarity))
-    minor = F.col("label") != F.col("largest")
-    return named.withColumn("place", F.struct((~minor).alias("major"), "own", "node")).drop("least_size", "largest", "most_mass")
-
-
-def first_places(rows: DataFrame, n: int) -> DataFrame:
-    """The ``n`` rows of each bucket that come first; of a part of a bucket's rows at first, so that no task sorts a whole bucket."""
-    part = F.row_number().over(Window.partitionBy("bucket", F.pmod(F.xxhash64("node"), F.lit(SALTS))).orderBy("place"))
-    whole = F.row_number().over(Window.partitionBy("bucket").orderBy("place"))
-    few = rows.withColumn("__r", part).where(F.col("__r") <= n).withColumn("__r", whole)
-    return few.where(F.col("__r") <= n).drop("__r")
+    named = named.withColumn("minor", F.col("label") != F.col("largest"))
+    # a large bucket's ranks are interleaved from parts that are ranked each
+    parts = F.ceil(F.col("rows") / PART)
+    named = named.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("node"), parts)})
+    within = F.row_number().over(Window.partitionBy("bucket", "part").orderBy(F.desc("minor"), "own", "node"))
+    return named.withColumn("rank", (within - 1) * F.col("parts") + F.col("part") + 1).drop("least_size", "largest", "most_mass", "rows", "parts", "part")
 
 
 def compare_rest(members: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
@@ -369,38 +363,35 @@ def compare_rest(members: DataFrame, sets: DataFrame, labels: DataFrame, similar
     nodes that share rare shingles are compared; in all other pairs the rare
     shingles of either node bound the similarity, which rules out most nodes
     and pairs exactly.  What is left is compared in rounds, each with twice as many
-    centres of a bucket as before (see :func:`placed_rows`),
+    centres of a bucket as before (see :func:`ranked_rows`),
     until a bucket is one component or no possible pair is left.
     """
-    rest, centers, done = materialize(members, "rest"), 0, None
+    rest, centers, done = members, 0, None
     while True:
         named = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        # rows that have been centres are compared with all that came after them
-        waiting = F.max(F.col("ahead") & ~F.col("place.major")) if centers else F.lit(True)
-        open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), waiting.alias("waiting")).where("lo < hi and waiting").select("bucket")
-        named = materialize(spread(materialize(named, "labelled"), materialize(open_, "open"), "bucket", "node"), "named")
+        last = F.max(F.when(F.col("minor"), F.col("rank"))) if centers else F.lit(1)
+        open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), last.alias("last")).where((F.col("lo") < F.col("hi")) & (F.col("last") > centers)).select("bucket")
+        named = materialize(named.join(materialize(open_, "open"), "bucket"), "named")
         if named.isEmpty():
             return labels
         if centers == 0:
             facts, more = rare_pairs(named, sets, similarity)
             done = materialize(more, "pairs")
             labels = joined(verify(done, sets, similarity), labels)
-            named = placed_rows(named.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), facts, similarity)
-            named = materialize(named.withColumn("ahead", F.lit(True)), "placed")
-        more = max(4, centers)
-        chosen = first_places(named.where("ahead"), more)
-        new = materialize(chosen.select("bucket", *[F.col(c).alias(f"c_{c}") for c in ("node", "label", "size", "mass", "common", "beyond", "place")]), "centres")
+            named = ranked_rows(named.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), facts, similarity)
+            named = materialize(named, "ranked")
+        upto = max(4, 2 * centers)
+        new = named.where((F.col("rank") > centers) & (F.col("rank") <= upto)).select("bucket", *[F.col(c).alias(f"c_{c}") for c in ("node", "label", "size", "mass", "own", "common", "beyond", "rank")])
         # what both share of the hub, and what both can share beyond it
         most = F.least("common", "c_common") + F.greatest(F.least("beyond", "c_beyond"), F.lit(0))
-        most = F.least(most, F.col("size") - F.col("own"), F.col("c_size") - F.col("c_place.own"))
-        fits = (F.col("place") > F.col("c_place")) & (F.col("label") != F.col("c_label")) & possible(most, F.col("size"), F.col("mass"), F.col("c_size"), F.col("c_mass"), similarity)
-        pairs = spread(named, new, "bucket", "node").where(fits).select(F.greatest("node", "c_node").alias("a"), F.least("node", "c_node").alias("b")).distinct()
+        most = F.least(most, F.col("size") - F.col("own"), F.col("c_size") - F.col("c_own"))
+        fits = (F.col("rank") > F.col("c_rank")) & (F.col("label") != F.col("c_label")) & possible(most, F.col("size"), F.col("mass"), F.col("c_size"), F.col("c_mass"), similarity)
+        pairs = named.join(new, "bucket").where(fits).select(F.greatest("node", "c_node").alias("a"), F.least("node", "c_node").alias("b")).distinct()
         pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         labels = joined(verify(pairs, sets, similarity), labels)
         done = done.unionByName(pairs)
-        last = materialize(new.groupBy("bucket").agg(F.max("c_place").alias("last")), "last")
-        rest = materialize(spread(named, last, "bucket", "node").withColumn("ahead", F.col("place") > F.col("last")).drop("last", "label"), "rest")
-        centers += more
+        rest = named.drop("label")
+        centers = upto
 
 
 def near_duplicates(
@@ -419,8 +410,8 @@ def near_duplicates(
     probability Jaccard of the weights; if not ``weighted`` each weighs 1, and
     it is the Jaccard similarity of the sets.  Returns a row per row of ``docs``: ``key``, class_id (the least id of the
     class), class_size (rows of the class), text_class (the least id among
-    exact copies of the row's text), node (the text's key) and label (the least
-    node of the class).  Two texts are
+    exact copies of the row's text), node (the text's key of 128 bits) and label
+    (a number of the class in this run).  Two texts are
     linked if the similarity of their ``k``-word shingles is at least
     ``similarity``; a text of fewer words has one shingle of them
     all; classes are connected components of links and exact copies.  A null
@@ -430,23 +421,24 @@ def near_duplicates(
     1.5e-5, and at 0.85 with 7e-8.
     """
     base = materialize(banded(docs, key, text, k, bands, rows, weighted), "banded")
-    held = base.select(F.explode("buckets").alias("bucket"), "node")
-    several = held.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
-    several = materialize(several, "several")
-    members = materialize(held.distinct().join(several, "bucket", "left_semi"), "members")
-    involved = materialize(members.select("node").distinct(), "involved")
-    sets = materialize(shingle_sets(docs, involved, text, k, weighted), "sets")
-    members = materialize(spread(members, hubs_of(members), "bucket", "node"), "starred")
+    texts = base.groupBy("key").agg(F.min("id").alias("text_class"), F.count(F.lit(1)).alias("n"), F.first("buckets").alias("buckets"))
+    texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+    held = texts.select(F.explode("buckets").alias("bucket"), "node")
+    several = materialize(held.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("bucket"), "several")
+    members = materialize(held.join(several, "bucket"), "members")
+    involved = texts.select("node", "key").join(members.select("node").distinct(), "node", "left_semi")
+    sets = materialize(shingle_sets(docs, materialize(involved, "involved"), text, k, weighted), "sets")
+    members = materialize(members.join(hubs_of(members), "bucket"), "starred")
     stars = materialize(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     compared = materialize(compare(stars, sets, similarity), "overlaps")
     labels = components(compared.where("near").select("a", "b"))
     members = members.join(compared.select(F.col("a").alias("node"), F.col("b").alias("hub"), "common"), ["node", "hub"], "left")
     labels = compare_rest(members, sets, labels, similarity)
-    least = base.groupBy("node").agg(F.min("id").alias("text_class"), F.count(F.lit(1)).alias("n"))
-    tagged = materialize(least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "tagged")
+    tagged = texts.select("key", "node", "text_class", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    tagged = materialize(tagged, "tagged")
     classes = tagged.groupBy("label").agg(F.min("text_class").alias("class_id"), F.sum("n").alias("class_size"))
-    by_node = spread(tagged, classes, "label", "node").select("node", "label", "class_id", "class_size", "text_class", "n")
-    return attach(base.select("id", "node"), materialize(by_node, "classes"), "node").select(F.col("id").alias(key), "class_id", "class_size", "text_class", "node", "label")
+    by_text = materialize(tagged.join(classes, "label").select("key", "label", "class_id", "class_size", "text_class", "n"), "classes")
+    return attach(base.select("id", "key"), by_text, "key").select(F.col("id").alias(key), "class_id", "class_size", "text_class", F.col("key").alias("node"), "label")
 
 
 #: For DuckDB, with the parameters of the registered query: all pairs that share a shingle, and their components.
