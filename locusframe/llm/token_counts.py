@@ -18,9 +18,14 @@ tokens since.  A transition is annotated with the number of tokens it adds
 token of a prefix is the one whose pair with the token before it stays apart
 under the merges is a property of BPE, so the transducer gives exactly the
 merge procedure's counts, in one step a byte and for pre-tokens of any length.
-It is determinised lazily; when it has ``MAX_STATES`` states it is begun anew,
-which affects nothing but time.  Pre-tokens reset it, so the sum of the counts
-that its transitions annotate over a document is the document's token count.
+It is determinised lazily; before it would have more than ``MAX_STATES`` states
+it is begun anew with the states in use, which affects nothing but time.
+Pre-tokens reset it, so the sum of the counts that its transitions annotate over
+a document is the document's token count.  Equal pre-tokens of a slice (by a
+64-bit hash and length) are run once.  A long pre-token is cut into chunks: each
+is entered in the state that the bytes before it lead to from the start, all
+chunks are run side by side, and their maps from entry state to (exit state,
+count) are composed; a chunk whose entry isn't the exit before it is run again.
 
 Special strings in a text count one token each and split the text, as the
 library does by default.
@@ -41,8 +46,12 @@ from pyspark.sql import functions as F
 from locusframe.llm import textcore as tc
 from locusframe.llm.common import small_batches, tidy
 
-MAX_STATES = 1 << 17
+MAX_STATES = 1 << 16
 CHUNK = 64
+#: A pre-token of more bytes is cut into chunks, which are entered with so many bytes of run-up.
+LONG, RUN_UP = 512, 96
+#: An entry of the transducer's table holds the tokens added, plus half of this, beside the next state.
+ADDED = 1 << 12
 
 # Classes of code points. The letters are those of the contractions 's 't 'm 'd 're 've 'll.
 LETTER, SINGLE, R, V, L, E, NUMBER, OTHER, QUOTE, BLANK, SPACE = range(11)
@@ -220,11 +229,13 @@ class Vocabulary:
 class BpeTransducer:
     """The lazily determinised BPE transducer.
 
-    ``table[state * 256 + byte]`` holds the next state times 256 plus the
-    number of tokens added plus 128, or -1 where it isn't compiled yet.
+    ``table[state * 256 + byte]`` holds the next state times ``ADDED`` plus the
+    number of tokens added plus ``ADDED / 2``, or -1 where it isn't compiled yet.
     """
 
     def __init__(self, vocabulary: Vocabulary, max_states: int = MAX_STATES):
+        if max_states * ADDED >= 1 << 31:
+            raise ValueError("too many states for 32-bit entries")
         self.v, self.max_states = vocabulary, max_states
         self.prefixes = {t[:k] for t in vocabulary.ids for k in range(len(t) + 1)}
         self.apart: dict[tuple[int, int], bool] = {}
@@ -233,7 +244,26 @@ class BpeTransducer:
     def begin(self) -> None:
         start = (b"", ((-1, 0),))
         self.states, self.number = [start], {start: 0}
-        self.table = np.full(256 * 1024, -1, np.int64 if self.max_states > 1 << 22 else np.int32)
+        self.table = np.full(256 * 1024, -1, np.int32)
+
+    def add(self, content: tuple) -> int:
+        """The number of a state."""
+        number = self.number.get(content)
+        if number is None:
+            number = self.number[content] = len(self.states)
+            self.states.append(content)
+            if len(self.states) * 256 > len(self.table):
+                self.table = np.concatenate([self.table, np.full(len(self.table), -1, self.table.dtype)])
+        return number
+
+    def make_room(self, states: np.ndarray, more: int) -> np.ndarray:
+        """``states``, renumbered if the machine had to be begun anew to take ``more`` new ones."""
+        if len(self.states) + more <= self.max_states:
+            return states
+        used, at = np.unique(states, return_inverse=True)
+        contents = [self.states[x] for x in used.tolist()]
+        self.begin()
+        return np.array([self.add(c) for c in contents], np.int64)[at]
 
     def stays_apart(self, a: int, b: int) -> bool:
         key = (a, b)
@@ -264,41 +294,76 @@ class BpeTransducer:
         while grown not in self.prefixes:
             grown = grown[1:]
         after = (grown, ((token, 0), *((t, c - added) for t, c in past[: len(grown)])))
-        number = self.number.get(after)
-        if number is None:
-            number = len(self.states)
-            self.number[after] = number
-            self.states.append(after)
-            if len(self.states) * 256 > len(self.table):
-                self.table = np.concatenate([self.table, np.full(len(self.table), -1, self.table.dtype)])
-        entry = number * 256 + added + 128
+        if not -ADDED // 2 <= added < ADDED // 2:
+            raise ValueError(f"a transition adds {added} tokens")
+        entry = self.add(after) * ADDED + added + ADDED // 2
         self.table[state * 256 + byte] = entry
         return entry
 
+    def run(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit states and tokens of spans in order of falling size, by a byte of each at a time."""
+        state, total = state.copy(), np.zeros(len(size), np.int64)
+        alive = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")
+        for k, n in enumerate(alive.tolist()):
+            byte = data[begin[:n] + k].astype(np.int64)
+            at = state[:n] * 256 + byte
+            entry = self.table[at]
+            if (entry < 0).any():
+                missing = np.unique(at[entry < 0])
+                # ended spans' states are kept, too: they are results
+                renumbered = self.make_room(state, len(missing))
+                if renumbered is not state:
+                    state = renumbered
+                    at = state[:n] * 256 + byte
+                    missing = np.unique(at[self.table[at] < 0])
+                for key in missing.tolist():
+                    self.compile(key >> 8, key & 255)
+                entry = self.table[at]
+            state[:n] = entry // ADDED
+            total[:n] += entry % ADDED - ADDED // 2
+        return state, total
+
+    def long(self, data: np.ndarray, a: int, b: int) -> int:
+        """Tokens of one long pre-token: maps of chunks, composed."""
+        block, whole, before = max(1, self.max_states // 4), 0, self.states[0]
+        for lo in range(a, b, block * LONG):
+            begin = np.arange(lo, min(b, lo + block * LONG), LONG)
+            size = np.minimum(b - begin, LONG)
+            up = np.minimum(begin - a, RUN_UP)[::-1]
+            entry = self.run(data, begin[::-1] - up, up, np.zeros(len(begin), np.int64))[0][::-1]
+            # numbers of states may change in a run, what they stand for doesn't
+            entered = [self.states[x] for x in entry.tolist()]
+            out, tokens = self.run(data, begin, size, entry)
+            left = [self.states[x] for x in out.tolist()]
+            for k in range(len(begin)):
+                if entered[k] != before:
+                    self.make_room(np.zeros(0, np.int64), 1)
+                    again, n = self.run(data, begin[k : k + 1], size[k : k + 1], np.array([self.add(before)], np.int64))
+                    left[k], tokens[k] = self.states[int(again[0])], n[0]
+                before = left[k]
+                whole += int(tokens[k])
+        return whole
+
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Tokens of each pre-token."""
+        if not len(starts):
+            return np.zeros(0, np.int64)
         size = ends - starts
-        order = np.argsort(-size, kind="stable")
-        begin, size = starts[order], size[order]
-        longest = int(size[0]) if len(size) else 0
-        alive = np.searchsorted(-size, -np.arange(longest), "left")
-        if len(self.states) >= self.max_states:
-            self.begin()
-        state, total = np.zeros(len(size), np.int64), np.zeros(len(size), np.int32)
-        for k in range(longest):
-            n = int(alive[k])
-            at = state[:n] * 256 + data[begin[:n] + k]
-            entry = self.table[at]
-            missing = np.flatnonzero(entry < 0)
-            if len(missing):
-                for key in np.unique(at[missing]):
-                    self.compile(int(key) >> 8, int(key) & 255)
-                entry = self.table[at]
-            state[:n] = entry >> 8
-            total[:n] += (entry & 255).astype(np.int32) - 128
-        out = np.empty(len(total), np.int32)
+        hashes = tc.span_hash(tc.prefix_hash(data), starts, ends) ^ tc.mix(size.astype(np.uint64))
+        _, first, same = np.unique(hashes, return_index=True, return_inverse=True)
+        order = np.argsort(-size[first], kind="stable")
+        begin, length = starts[first][order], size[first][order]
+        total = np.zeros(len(first), np.int64)
+        n_long = int(np.searchsorted(-length, -4 * LONG, "left"))
+        for k in range(n_long):
+            total[k] = self.long(data, int(begin[k]), int(begin[k] + length[k]))
+        block = max(1, self.max_states // 4)
+        for lo in range(n_long, len(first), block):
+            some = slice(lo, lo + block)
+            total[some] = self.run(data, begin[some], length[some], np.zeros(len(begin[some]), np.int64))[1]
+        out = np.empty(len(first), np.int64)
         out[order] = total
-        return out
+        return out[same]
 
 
 @lru_cache(4)
