@@ -1,8 +1,9 @@
 """Deterministic sharded WARC writer and reader (operator 4).
 
-Records are range-sorted by id.  Range bounds follow from a histogram of
-payload bytes over equal cells of the id range, so they depend on the rows
-only.  A task streams its sorted rows into gzip members, one a record, and
+Records are range-sorted by id and payload digest.  Range bounds are quantiles
+of payload bytes, taken from the rows whose digests' hashes are least, so they
+depend on the rows only; an id that many rows share is cut by digest.  A shard
+is a task.  A task streams its sorted rows into gzip members, one a record, and
 rolls to a new file when the compressed size is reached.  Headers, record ids
 and digests are made anew from the record.  A file is written under a
 temporary name and renamed when it is whole; the manifest, a table that Spark
@@ -16,11 +17,13 @@ the folder must have such a scheme.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 
 from locusframe.llm.common import attach, materialize, scratch
 
-CELLS = 65_536
+#: Shards at most, and rows per shard that the bounds are taken from.
+MOST_SHARDS, SAMPLED = 8192, 64
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -138,6 +142,35 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return warc, http, payload
 
 
+def place(key: str | None, sha1: str) -> tuple[int, int, str]:
+    """Where a record stands in the order of all: null keys first, then keys, then digests."""
+    return (0, 0, sha1) if key is None or key != key else (1, int(key), sha1)
+
+
+def shard_bounds(meta: DataFrame, shard_bytes: int) -> list[tuple[int, int, str]]:
+    """The places at which shards but the first begin.
+
+    Shards are weighed by their payload and 512 bytes a record.  Their bounds
+    are quantiles over the rows whose hash of key and digest falls below a
+    rate that gives ``SAMPLED`` rows a shard: a bounded sample that depends on
+    the rows only; every row is dealt by the bounds.
+    """
+    weight = F.col("size") + 512
+    whole = meta.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    shards = min(MOST_SHARDS, -(-int(whole["bytes"]) // shard_bytes))
+    if shards < 2:
+        return []
+    every = max(1, int(whole["n"]) // (SAMPLED * shards))
+    some = meta.where(F.pmod(F.xxhash64("key", "sha1"), F.lit(every)) == 0).groupBy("key", "sha1").agg(F.sum(weight).alias("w"))
+    rows = sorted((place(None if r["key"] is None else str(r["key"]), r["sha1"]), int(r["w"])) for r in some.collect())  # about SAMPLED * MOST_SHARDS
+    total, full, out = sum(w for _, w in rows), 0, []
+    for at, w in rows:
+        if full * shards >= (len(out) + 1) * total:
+            out.append(at)
+        full += w
+    return out
+
+
 def write_archives(
     pages: DataFrame,
     folder: str,
@@ -146,7 +179,7 @@ def write_archives(
     body: str = "html",
     least_revisit: int = 1000,
     shard_bytes: int = 32 << 20,
-    roll_bytes: int = 128 << 20,
+    roll_bytes: int = 4 << 20,
     level: int = 6,
 ) -> DataFrame:
     """Write a record per row into ``folder`` and return the manifest.
@@ -154,35 +187,31 @@ def write_archives(
     Of rows with equal payloads of at least ``least_revisit`` bytes the one
     with the largest key is the response (all that share this key, if rows
     repeat), others are revisits of it.  A null body is an empty payload; a
-    row with a null key is a response and lies in the first shard.
+    row with a null key is a response and lies in the first shards.  A shard
+    holds about ``shard_bytes`` of payload (more where they would number more
+    than ``MOST_SHARDS``), a file about ``roll_bytes`` of compressed records.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col(body), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("sha1"))
     meta = materialize(rows.select("key", "sha1", F.octet_length("payload").cast("long").alias("size")), "meta")
-    span = meta.agg(F.min("key").alias("lo"), F.max("key").alias("hi")).first()
-    lo, hi = (0, 0) if span is None or span["lo"] is None else (span["lo"], span["hi"])
-    width = max(1, -(-(hi - lo + 1) // CELLS))
-    cell = F.coalesce(F.floor((F.col("key") - lo) / width), F.lit(-1)).cast("int")
-    # at most CELLS + 1 rows; consecutive cells are gathered into shards
-    held = meta.groupBy(cell.alias("cell")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).orderBy("cell").collect()
-    shards, at, full = [], 0, 0
-    for r in held:
-        weight = r["size"] + 512 * r["n"]
-        if full and full + weight > shard_bytes:
-            at, full = at + 1, 0
-        full += weight
-        shards.append((r["cell"], at))
-    dealt = F.broadcast(spark.createDataFrame(shards or [(-1, 0)], "cell int, shard int"))
+    bounds = shard_bounds(meta, shard_bytes)
+    held_bounds = spark.sparkContext.broadcast(bounds)
+
+    @F.pandas_udf("int")
+    def shard_of(key: pd.Series, sha1: pd.Series) -> pd.Series:
+        cuts = held_bounds.value
+        return pd.Series([bisect.bisect_right(cuts, place(k, s)) for k, s in zip(key.array, sha1, strict=True)], dtype="int32")
+
     large = meta.where((F.col("size") >= least_revisit) & F.col("key").isNotNull())
     copies = materialize(large.groupBy("sha1").agg(F.max("key").alias("refers"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
     notices = attach(large.select("key", "sha1"), copies, "sha1").where("key < refers")
     empty = F.lit(None).cast("string")
     notices = notices.select("key", empty.alias("url"), empty.alias("payload"), "sha1", "refers").distinct()
     every = rows.withColumn("refers", F.lit(None).cast("long")).unionByName(notices)
-    every = every.withColumn("cell", cell).join(dealt, "cell").withColumn("notice", F.col("refers").isNotNull())
+    every = every.withColumn("shard", shard_of(F.col("key").cast("string"), "sha1")).withColumn("notice", F.col("refers").isNotNull())
     # what says that a row is a revisit is sorted before the row itself
-    ordered = every.repartition(max(1, at + 1), "shard").sortWithinPartitions("shard", "key", F.desc("notice"), "sha1", "url")
+    ordered = every.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("key", F.desc("notice"), "sha1", "url")
     fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)
 
