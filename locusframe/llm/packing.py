@@ -85,9 +85,22 @@ class HashIndex:
             at[todo] = (at[todo] + np.uint64(1)) & self.mask
 
 
+#: The normaliser and the pattern of the files for which texts are cut by :meth:`WordTokenizer.pieces`.
+LOWERING = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def cuts_words(file: dict) -> bool:
+    """Whether a tokenizer file lower-cases and splits as :meth:`WordTokenizer.pieces` takes for granted."""
+    normalizer, split = file.get("normalizer") or {}, (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return normalizer.get("normalizers") == LOWERING and split[0].get("pattern") == {"Regex": PATTERN} and split[0].get("behavior") == "Removed" and bool(split[0].get("invert"))
+
+
 class WordTokenizer:
     """Ids of whole texts from a tokenizer that lower-cases and whose tokens never cross white space.
 
+    Files of another kind are told by their normaliser and pattern; with those whole texts are encoded by the library.
+
     A text is cut where no pre-token can reach across: at white space, between
     an ASCII letter and an ASCII mark, and beside ASCII digits.  Each distinct
     piece is encoded by the library once and kept (up to ``MAX_WORDS`` pieces,
@@ -100,7 +113,9 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.special = [a["content"].encode() for a in json.load(f)["added_tokens"]]
+            whole = json.load(f)
+        self.special = [a["content"].encode() for a in whole["added_tokens"]]
+        self.cuts = cuts_words(whole)
         self.begin()
 
     def begin(self) -> None:
@@ -141,6 +156,10 @@ class WordTokenizer:
 
     def encode(self, s: tc.Slice) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice, and offsets by row."""
+        if not self.cuts:
+            lists = [e.ids for e in self.library.encode_batch_fast([s.row_bytes(i).decode() for i in range(len(s))], add_special_tokens=False)]
+            offs = np.cumsum([0, *map(len, lists)])
+            return np.fromiter(chain.from_iterable(lists), np.uint32, int(offs[-1])), offs
         if len(s.data) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(s) + 1, np.int64)
         data, starts, ends = self.pieces(s)
@@ -289,13 +308,14 @@ def pack(
     capacity: int = 2048,
     max_segments: int = 256,
     max_loss: int | None = None,
-    loss_from: str | None = None,
+    loss_from: str | int | None = None,
 ) -> DataFrame:
     """Pack tokenized documents into sequences.
 
     A document's ids are the tokenizer's, without special tokens, then id 1.
     ``loss_from`` names a column with the number of leading ids that bear no
-    loss (an instruction's prompt; null or no column: all ids bear loss).
+    loss (an instruction's prompt; null or no column: all ids bear loss), or
+    is that number for all rows.
     Returns a row per piece: ``key``, start, length, ids (little-endian
     unsigned 32-bit ids of the piece), doc_tokens, loss_tokens, sequence_id,
     offset.  Each id of each row lies in exactly one piece; a null or empty
@@ -352,7 +372,7 @@ def pack(
         if out[0]:
             yield flush()
 
-    first = F.lit(0).cast("long") if loss_from is None else F.col(loss_from).cast("long")
+    first = F.lit(0).cast("long") if loss_from is None else (F.lit(loss_from) if isinstance(loss_from, int) else F.col(loss_from)).cast("long")
     chosen = docs.select(F.col(key).alias("__key"), first.alias("__first"), F.col(text).alias("__text"))
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, start bigint, length bigint, ids binary, doc_tokens bigint, loss_tokens bigint, sequence_id bigint, offset bigint"
     return small_batches(chosen).mapInArrow(tidy(run), schema)

@@ -18,6 +18,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: A document's first id has no id before it to be predicted from, so it bears no loss; of a sequence of 2048 ids 2047 are
+#: predicted, so a sequence takes as many loss-bearing ids at most. That binds where a long document's inner ids fill one.
+PACKING = {"capacity": 2048, "max_segments": 256, "max_loss": 2047, "loss_from": 1}
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from locusframe.llm.quality_classifier import quality_scores
 
@@ -33,7 +38,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from locusframe.llm.packing import pack
 
-    packed = pack(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), capacity=2048, max_segments=256)
+    packed = pack(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), **PACKING)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
