@@ -36,18 +36,24 @@ def usable(vector: str) -> Column:
 
 
 def matrix(col: pa.Array, dims: int) -> np.ndarray:
-    return np.asarray(col.flatten(), np.float32).reshape(-1, dims)
+    """The vectors in the precision they have."""
+    return np.asarray(col.flatten()).reshape(-1, dims)
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two (which is exact) that brings its largest component to between 1/2 and 1."""
+    x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    y = x.astype(np.float64)
-    y /= np.abs(y).max(1, keepdims=True)
+    y = scaled(x)
     return (y / np.sqrt((y * y).sum(1, keepdims=True))).astype(np.float32)
 
 
 def exact_cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cosine of one vector with each row, in double precision."""
-    q, x = q.astype(np.float64), x.astype(np.float64)
+    q, x = scaled(q[None])[0], scaled(x)
     return (x * q).sum(1) / (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(1)))
 
 
@@ -134,14 +140,17 @@ def nearest(
     first, ties to the smaller id; a query's own id is no candidate.  Rows
     whose id is null, or whose vector is null, empty, zero, of another length
     than most, or holds null or non-finite components take no part.  Rows that
-    share id and vector count once.  The lists' centres are fitted on at most
+    share id and vector count once.  Scores are cosines of the vectors as given
+    (float or double components; others as double) in double precision.  The lists' centres are fitted on at most
     ``SAMPLE`` vectors; every row is indexed.  Each query probes as many of the
     nearest lists as hold ``target_recall`` of the sample's own true
     neighbours (``least_probes`` at least, and on until they hold k + 1 rows).
     """
     spark = table.sparkSession
     rows = table.where(F.col(key).isNotNull() & usable(vector)).select(F.col(key).alias("id"), F.col(vector).alias("v"), queries.alias("asked"))
-    rows = rows.select("id", "asked", F.col("v").cast("array<float>").alias("v"), F.xxhash64("v").alias("k1"), F.hash("v").alias("k2"))
+    element = table.schema[vector].dataType.elementType.simpleString()
+    kind = f"array<{element if element in ('float', 'double') else 'double'}>"
+    rows = rows.select("id", "asked", F.col("v").cast(kind).alias("v"), F.xxhash64("v").alias("k1"), F.hash("v").alias("k2"))
     common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     id_type = table.schema[key].dataType.simpleString()
     if common is None:
@@ -167,7 +176,7 @@ def nearest(
             own = np.concatenate([np.argmax(x[i : i + 2048] @ centers.T, 1) for i in range(0, len(x), 2048)] or [np.zeros(0, np.int64)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=[*batch.schema.names, "list"])
 
-    indexed = classes.mapInArrow(assign, f"k1 bigint, k2 int, v array<float>, ids array<{id_type}>, list int")
+    indexed = classes.mapInArrow(assign, f"k1 bigint, k2 int, v {kind}, ids array<{id_type}>, list int")
     indexed = materialize(indexed, "indexed")
     sizes = np.zeros(lists, np.int64)
     for r in indexed.groupBy("list").count().collect():  # at most MOST_LISTS rows
@@ -187,7 +196,7 @@ def nearest(
             some = batch.take(pa.array(at))
             yield pa.RecordBatch.from_arrays([some.column("k1"), some.column("k2"), some.column("v"), pa.array(flat.astype(np.int32))], names=["k1", "k2", "v", "list"])
 
-    probed = materialize(query_classes.mapInArrow(probe, "k1 bigint, k2 int, v array<float>, list int"), "probed")
+    probed = materialize(query_classes.mapInArrow(probe, f"k1 bigint, k2 int, v {kind}, list int"), "probed")
     asks = np.zeros(lists, np.int64)
     for r in probed.groupBy("list").count().collect():
         asks[r["list"]] = r["count"]
