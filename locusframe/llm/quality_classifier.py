@@ -27,6 +27,8 @@ from locusframe.llm.labelled import held_out, labelled_sample
 TERMS = 1024
 MARKS = 4
 BLOCK = 1024
+#: Cosines (in single precision) that differ by less are ties.
+TIE = 1e-6
 
 # Classes of bytes: letters that aren't ASCII capitals are one class, and so are digits; each other ASCII character is its own.
 _CLASS = np.ones(256, np.int64)
@@ -105,10 +107,15 @@ class NeighbourModel:
         for lo in range(0, len(rates), BLOCK):
             z = self.project(rates[lo : lo + BLOCK])
             near = z @ self.vectors.T
-            best = np.argpartition(near, len(self.vectors) - k, axis=1)[:, len(self.vectors) - k :]
-            cos = np.take_along_axis(near, best, 1).astype(float)
-            w = np.exp(self.sharpness * (np.clip(cos, 0, 1) - cos.max(1, keepdims=True).clip(0, 1))) * self.votes[best]
-            share = (w * self.labels[best]).sum(1) / w.sum(1)
+            least = np.partition(near, len(self.vectors) - k, axis=1)[:, len(self.vectors) - k]
+            # all that are as near as the k-th vote; those that tie with it have equal parts of the places left
+            r, c = np.nonzero(near >= (least - TIE)[:, None])
+            cos = near[r, c].astype(float)
+            above = cos > least[r] + TIE
+            n_above = np.bincount(r, above, len(z))
+            part = np.where(above, 1.0, ((k - n_above) / np.maximum(np.bincount(r, ~above, len(z)), 1))[r])
+            w = np.exp(self.sharpness * (np.clip(cos, 0, 1) - near.max(1).clip(0, 1)[r])) * self.votes[c] * part
+            share = np.bincount(r, w * self.labels[c], len(z)) / np.bincount(r, w, len(z))
             out[lo : lo + BLOCK] = np.where((z != 0).any(1), share, 0.0)
         return np.clip(out, 0, 1)
 
@@ -163,7 +170,8 @@ def quality_scores(
     (a broadcast of at most 2 * per_class vectors of ``dims`` numbers, whatever
     the size of the corpus), none of them held out.  A score depends on the
     text alone.  A null or wordless text scores 0; without labelled rows of
-    both classes every other text scores 0.5.  Repeated rows give repeated
+    both classes every other text scores 0.5.  Labelled vectors that tie for the
+    last place among the neighbours share it.  Repeated rows give repeated
     results; a null id is not held out.
     """
     model = fit(labelled_sample(docs, labels, per_class, label, key, text, skip_held_out=True), dims, neighbours)
