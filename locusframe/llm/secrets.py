@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import materialize
+from locusframe.llm.common import dealt, hot_keys, materialize, repeated
 
 SCOPE = 256
 
@@ -114,7 +114,13 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", scope
     parts = materialize(found_parts(docs, key, text), "secrets")
     base = [ranked(F.col(k), i) for i, k in enumerate(BASE)]
     weak = materialize(linked(parts, scope), "linked")
-    hits = parts.select("__key", "__text", F.array_sort(F.concat(*base)).alias("base")).join(weak, "__text", "left")
+    found = parts.select("__key", "__text", F.array_sort(F.concat(*base)).alias("base"), (F.size("key") + F.size("user") + F.size("endpoint") > 0).alias("has_weak"))
+    # rows without weak parts aren't joined; those of a text that many rows share are dealt to many tasks
+    some = found.where("has_weak")
+    hot = hot_keys(parts.where(F.size("key") + F.size("user") + F.size("endpoint") > 0).select("__text"), "__text")
+    joined = dealt(some, hot, "__text", "__key").join(repeated(weak, hot, "__text"), ["__text", "__part"], "left")
+    none = F.lit(None).cast(weak.schema["weak"].dataType)
+    hits = found.where("not has_weak").withColumn("weak", none).unionByName(joined.select("__key", "__text", "base", "has_weak", "weak"))
     every = F.when(F.col("weak").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "weak")))
     return hits.select(F.col("__key").alias(key), F.col("__text").alias("text_md5"), "base", every.alias("spans"))
 
