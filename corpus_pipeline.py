@@ -15,7 +15,7 @@ from locusframe.llm.mixing import mix
 from locusframe.llm.near_dedup import near_duplicates, node_of
 from locusframe.llm.packing import pack
 from locusframe.llm.quality_classifier import quality_scores
-from locusframe.llm.queries import tokenizer_file
+from locusframe.llm.queries import PACKING, tokenizer_file
 from locusframe.llm.secrets import redact
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -54,7 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed sequences."""
-    packed = pack(docs, tokenizer_file("word_bpe_49k.json"), capacity=2048, max_segments=256)
+    packed = pack(docs, tokenizer_file("word_bpe_49k.json"), **PACKING)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
