@@ -114,24 +114,31 @@ def text_key(col: str | Column) -> Column:
     return F.unhex(F.md5(c))
 
 
-def hot_keys(big: DataFrame, on: str, floor: int = 256, hot_share: int = 5000) -> DataFrame:
+def hot_keys(big: DataFrame, on: str, floor: int = 256, hot_share: int = 5000) -> DataFrame | None:
     """Keys that hold more than ``floor`` rows and more than one ``hot_share``-th of all rows of ``big``, and into how many parts to deal them.
 
-    They number less than ``hot_share``, so they can be broadcast.  ``big`` should be a table made by :func:`materialize`.
+    They number less than ``hot_share``, so they can be broadcast; None if there can be none.  ``big`` should be a table made by :func:`materialize`.
     """
-    least = max(floor, -(-big.count() // hot_share))
+    rows = big.count()
+    if rows <= floor:
+        return None
+    least = max(floor, -(-rows // hot_share))
     counts = big.groupBy(on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > least)
-    return materialize(counts.select(on, F.ceil(F.col("__n") / least).cast("int").alias("__parts")), "hot")
+    return counts.select(on, F.ceil(F.col("__n") / least).cast("int").alias("__parts"))
 
 
-def dealt(big: DataFrame, hot: DataFrame, on: str, by: str) -> DataFrame:
+def dealt(big: DataFrame, hot: DataFrame | None, on: str, by: str) -> DataFrame:
     """``big`` with ``__part``: the rows of a hot key are dealt to its parts by the column ``by``."""
+    if hot is None:
+        return big.withColumn("__part", F.lit(0))
     found = big.join(F.broadcast(hot), on, "left")
     return found.withColumn("__part", F.coalesce(F.pmod(F.xxhash64(by), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
 
 
-def repeated(small: DataFrame, hot: DataFrame, on: str) -> DataFrame:
+def repeated(small: DataFrame, hot: DataFrame | None, on: str) -> DataFrame:
     """``small`` with ``__part``: a row of a hot key is repeated for each of its parts."""
+    if hot is None:
+        return small.withColumn("__part", F.lit(0))
     found = small.join(F.broadcast(hot), on, "left")
     return found.withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
 

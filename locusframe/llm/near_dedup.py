@@ -48,7 +48,7 @@ BANDS, ROWS = 28, 5
 FEW = 32
 RARE = 24
 EPS = 1e-9
-PART = 512
+PART = 128
 #: Texts in question that are broadcast (24 bytes each); beyond it all texts are shuffled by key instead.
 MOST_SENT = 1_000_000
 _U = np.uint64
@@ -259,16 +259,15 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """
     if labels is not None:
         links = links.unionByName(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
-    links = materialize(links, "links")
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
     now = materialize(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), "labels")
     while True:
         known = now.select(F.col("node").alias("other"), F.col("label").alias("theirs"))
         heard = both.join(known, "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
-        step = materialize(now.join(heard, "node").select("node", F.least("label", "theirs").alias("label"), F.col("label").alias("before")), "labels")
+        step = now.join(heard, "node").select("node", F.least("label", "theirs").alias("label"), F.col("label").alias("before"))
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("root"))
         new = materialize(step.join(jump, "label").select("node", F.col("root").alias("label"), "before"), "labels")
-        if new.where("label <> before").isEmpty():
+        if new.where("label <> before").count() == 0:
             return new.select("node", "label")
         now = new.select("node", "label")
 
@@ -276,7 +275,7 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 def joined(links: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels after more links, which often are none."""
     links = materialize(links, "new_links")
-    return labels if links.isEmpty() else components(links, labels)
+    return labels if links.count() == 0 else components(links, labels)
 
 
 def hubs_of(members: DataFrame) -> DataFrame:
@@ -285,10 +284,10 @@ def hubs_of(members: DataFrame) -> DataFrame:
     An original shares more buckets with its copies than those do with each
     other, so the star around it finds most links at once.
     """
-    size = materialize(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     fraction = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / F.lit(2.0**21)  # a tie-break
-    reach = materialize(members.join(size, "bucket").groupBy("node").agg((F.sum("n") + F.first(fraction)).alias("reach")), "reach")
-    return materialize(members.join(reach, "node").groupBy("bucket").agg(F.max_by("node", "reach").alias("hub")), "hubs")
+    reach = members.join(size, "bucket").groupBy("node").agg((F.sum("n") + F.first(fraction)).alias("reach"))
+    return members.join(reach, "node").groupBy("bucket").agg(F.max_by("node", "reach").alias("hub"))
 
 
 def possible(common: Column, n: Column, mass: Column, n2: Column, mass2: Column, least: float) -> Column:
@@ -311,7 +310,7 @@ def rare_pairs(named: DataFrame, sets: DataFrame, similarity: float) -> tuple[Da
     nodes = materialize(named.select("node", "label").distinct(), "open_nodes")
     mine = materialize(sets.join(nodes, "node", "left_semi").select("node", "set", "mass"), "open_sets")
     theirs = mine.select("node", F.explode("set").alias("shingle"))
-    rare = materialize(theirs.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= RARE), "rare")
+    rare = theirs.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= RARE)
     held = materialize(theirs.join(rare, "shingle"), "rare_held")
     own = held.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
     facts = materialize(mine.select("node", F.size("set").cast("long").alias("size"), "mass").join(own, "node", "left").select("node", "size", "mass", F.coalesce("own", F.lit(0)).alias("own")), "facts")
@@ -371,8 +370,8 @@ def compare_rest(members: DataFrame, sets: DataFrame, labels: DataFrame, similar
         named = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         last = F.max(F.when(F.col("minor"), F.col("rank"))) if centers else F.lit(1)
         open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), last.alias("last")).where((F.col("lo") < F.col("hi")) & (F.col("last") > centers)).select("bucket")
-        named = materialize(named.join(materialize(open_, "open"), "bucket"), "named")
-        if named.isEmpty():
+        named = materialize(named.join(open_, "bucket"), "named")
+        if named.count() == 0:
             return labels
         if centers == 0:
             facts, more = rare_pairs(named, sets, similarity)
@@ -424,7 +423,7 @@ def near_duplicates(
     texts = base.groupBy("key").agg(F.min("id").alias("text_class"), F.count(F.lit(1)).alias("n"), F.first("buckets").alias("buckets"))
     texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     held = texts.select(F.explode("buckets").alias("bucket"), "node")
-    several = materialize(held.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("bucket"), "several")
+    several = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("bucket")
     members = materialize(held.join(several, "bucket"), "members")
     involved = texts.select("node", "key").join(members.select("node").distinct(), "node", "left_semi")
     sets = materialize(shingle_sets(docs, materialize(involved, "involved"), text, k, weighted), "sets")
@@ -435,7 +434,6 @@ def near_duplicates(
     members = members.join(compared.select(F.col("a").alias("node"), F.col("b").alias("hub"), "common"), ["node", "hub"], "left")
     labels = compare_rest(members, sets, labels, similarity)
     tagged = texts.select("key", "node", "text_class", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    tagged = materialize(tagged, "tagged")
     classes = tagged.groupBy("label").agg(F.min("text_class").alias("class_id"), F.sum("n").alias("class_size"))
     by_text = materialize(tagged.join(classes, "label").select("key", "label", "class_id", "class_size", "text_class", "n"), "classes")
     return attach(base.select("id", "key"), by_text, "key").select(F.col("id").alias(key), "class_id", "class_size", "text_class", F.col("key").alias("node"), "label")
