@@ -36,8 +36,11 @@ def assoc_allelic(g: GenotypeSet, pheno: str = "pheno") -> DataFrame:
     return t.select("marker_idx", F.try_divide(a, a + b).alias("f_case"), F.try_divide(c, c + d).alias("f_control"), chi.alias("chisq"), F.try_divide(a * d, b * c).alias("odds_ratio"))
 
 
-def assoc_linear(g: GenotypeSet, pheno: str = "qpheno") -> DataFrame:
-    """Regression of a quantitative trait on dosage: n, beta, standard error, t."""
+def assoc_linear(g: GenotypeSet, pheno: str = "qpheno", standard: bool = False) -> DataFrame:
+    """Regression of a quantitative trait on dosage: n, beta, standard error, t.
+
+    ``standard``: of the standardised trait on the standardised dosage, over a marker's calls.
+    """
     p = g.samples.where(F.col(pheno).isNotNull()).select("sample_idx", F.col(pheno).cast("double").alias("v"))
     # centred on the mean of the trait, so that sums of squares keep their digits
     centre = F.broadcast(p.agg(F.avg("v").alias("centre")))
@@ -48,7 +51,8 @@ def assoc_linear(g: GenotypeSet, pheno: str = "qpheno") -> DataFrame:
     t = t.withColumns({"cxx": F.col("sxx") - F.col("sx") * F.col("sx") / n, "cyy": F.col("syy") - F.col("sy") * F.col("sy") / n, "cxy": F.col("sxy") - F.col("sx") * F.col("sy") / n})
     beta = F.try_divide(F.col("cxy"), F.col("cxx"))
     se = F.sqrt(F.try_divide(F.greatest(F.col("cyy") - beta * F.col("cxy"), F.lit(0.0)), (n - 2) * F.col("cxx")))
-    return t.select("marker_idx", n.cast("long").alias("n"), beta.alias("beta"), se.alias("se"), F.try_divide(beta, se).alias("t"))
+    unit = F.sqrt(F.try_divide(F.col("cxx"), F.col("cyy"))) if standard else F.lit(1.0)
+    return t.select("marker_idx", n.cast("long").alias("n"), (beta * unit).alias("beta"), (se * unit).alias("se"), F.try_divide(beta, se).alias("t"))
 
 
 def _by_batch(t: DataFrame, names: list[str], fn, schema: str) -> DataFrame:  # noqa: ANN001
@@ -88,22 +92,25 @@ def assoc_logistic(g: GenotypeSet, pheno: str = "pheno", rounds: int = 25) -> Da
 def hwe_exact(g: GenotypeSet, mid_p: bool = False) -> DataFrame:
     """Exact Hardy-Weinberg test of each marker: the probability of heterozygote counts no likelier than the one seen."""
 
-    def one(n0: int, n1: int, n2: int) -> float:
-        n, rare = n0 + n1 + n2, 2 * min(n0, n2) + n1
-        if n == 0:
-            return np.nan
-        het = np.arange(rare % 2, rare + 1, 2)
-        # ratios of neighbouring probabilities, in logarithms
-        k = het[:-1]
-        hom_r, hom_c = (rare - k) / 2, n - k - (rare - k) / 2
-        logp = np.concatenate([[0.0], np.cumsum(np.log(4 * hom_r * hom_c) - np.log((k + 2.0) * (k + 1.0)))])
-        p = np.exp(logp - logp.max())
-        p /= p.sum()
-        own = p[(n1 - rare % 2) // 2]
-        total = p[p <= own * (1 + 1e-9)].sum()
-        return min(1.0, total - own / 2 if mid_p else total)
-
-    return _by_batch(count_calls(g), ["n0", "n1", "n2"], lambda v: [pa.array(np.array([one(*map(int, r)) for r in v], float), pa.float64(), from_pandas=True)], "marker_idx int, p double")
+    def test(v: np.ndarray) -> list[pa.Array]:
+        v = v.astype(np.int64)
+        n, seen = v.sum(1), v[:, 1]
+        rare = 2 * np.minimum(v[:, 0], v[:, 2]) + seen
+        log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, (n.max() if len(n) else 0) + 1)))])
+        # the possible heterozygote counts of all markers, one after the other
+        many = rare // 2 + 1
+        row, first = np.repeat(np.arange(len(v)), many), np.cumsum(many) - many
+        het = 2 * (np.arange(many.sum()) - first[row]) + rare[row] % 2
+        hom = (rare[row] - het) // 2
+        logp = het * np.log(2.0) - log_factorial[het] - log_factorial[hom] - log_factorial[n[row] - het - hom]
+        p = np.exp(logp - np.maximum.reduceat(logp, first)[row]) if len(v) else logp
+        own = p[first + (seen - rare % 2) // 2]
+        whole = np.bincount(row, p, len(v))
+        total = np.bincount(row, np.where(p <= own[row] * (1 + 1e-9), p, 0.0), len(v))
+        value = np.minimum(1.0, (total - own / 2 if mid_p else total) / whole)
+        return [pa.array(np.where(n > 0, value, np.nan), pa.float64(), from_pandas=True)]
+
+    return _by_batch(count_calls(g), ["n0", "n1", "n2"], test, "marker_idx int, p double")
 
 
 def assoc_permuted(g: GenotypeSet, pheno: str = "pheno", permutations: int = 100_000, seed: int = 1, enough: int = 10) -> DataFrame:
@@ -150,12 +157,8 @@ def assoc_permuted(g: GenotypeSet, pheno: str = "pheno", permutations: int = 100
     return case_control_counts(g, pheno).select("marker_idx", *names).mapInArrow(run, "marker_idx int, p double")
 
 
-def tdt(g: GenotypeSet, trios: DataFrame) -> DataFrame:
-    """Transmission disequilibrium: counts of the allele transmitted (t) and not (u) by heterozygous parents.
-
-    ``trios``: kid, mom, dad (sample_idx).  Trios with a Mendelian error or a
-    missing call at a marker do not count there.
-    """
+def transmissions(g: GenotypeSet, trios: DataFrame) -> DataFrame:
+    """What heterozygous parents gave in each informative trio: marker_idx, hets, given."""
     c = g.observed().select("marker_idx", "sample_idx", "dosage")
     t = F.broadcast(trios)
     k = c.join(t, F.col("sample_idx") == F.col("kid")).select("marker_idx", "kid", "mom", "dad", F.col("dosage").alias("k"))
@@ -166,16 +169,80 @@ def tdt(g: GenotypeSet, trios: DataFrame) -> DataFrame:
     hets = (m == 1).cast("int") + (d == 1).cast("int")
     # what heterozygous parents gave: the kid's copies less those of homozygous parents
     given = kk - F.when(m == 2, 1).otherwise(0) - F.when(d == 2, 1).otherwise(0)
-    j = j.withColumns({"hets": hets, "given": given}).where("hets > 0 and given >= 0 and given <= hets")
+    return j.select("marker_idx", hets.alias("hets"), given.alias("given")).where("hets > 0 and given >= 0 and given <= hets")
+
+
+def tdt_permuted(g: GenotypeSet, trios: DataFrame, permutations: int = 100_000, seed: int = 1, enough: int = 10) -> DataFrame:
+    """Empirical p of the transmission test, adaptively by marker as in :func:`assoc_permuted`.
+
+    Under the null each informative trio's transmissions could as well have
+    been the other alleles: the difference of a trio (one or two alleles)
+    changes its sign with probability 1/2, so the numbers of trios with a
+    difference of one and of two are enough.
+    """
+    by = F.abs(2 * F.col("given") - F.col("hets"))
+    t = transmissions(g, trios).groupBy("marker_idx").agg(F.sum(2 * F.col("given") - F.col("hets")).alias("d"), F.count_if(by == 1).alias("ones"), F.count_if(by == 2).alias("twos"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = []
+            for marker, d, ones, twos in zip(*(b.column(c).to_pylist() for c in ("marker_idx", "d", "ones", "twos")), strict=True):
+                rng = np.random.default_rng((seed, marker))
+                done = reached = 0
+                while done < permutations and reached < enough:
+                    size = min(max(100, done), 10_000, permutations - done)
+                    drawn = 2 * rng.binomial(ones, 0.5, size) - ones + 2 * (2 * rng.binomial(twos, 0.5, size) - twos)
+                    reached += int((np.abs(drawn) >= abs(d)).sum())
+                    done += size
+                p.append((reached + 1) / (done + 1))
+            yield pa.RecordBatch.from_arrays([b.column("marker_idx"), pa.array(p, pa.float64())], names=["marker_idx", "p"])
+
+    return t.mapInArrow(run, "marker_idx int, p double")
+
+
+def tdt(g: GenotypeSet, trios: DataFrame) -> DataFrame:
+    """Transmission disequilibrium: counts of the allele transmitted (t) and not (u) by heterozygous parents.
+
+    ``trios``: kid, mom, dad (sample_idx).  Trios with a Mendelian error or a
+    missing call at a marker do not count there.
+    """
+    j = transmissions(g, trios)
     s = j.groupBy("marker_idx").agg(F.sum("given").alias("t"), F.sum(F.col("hets") - F.col("given")).alias("u"))
     diff = F.col("t") - F.col("u")
     return s.select("marker_idx", "t", "u", ratio(diff * diff, F.col("t") + F.col("u")).alias("chisq"), ratio(F.col("t"), F.col("u")).alias("odds_ratio"))
 
 
-def filter_markers(g: GenotypeSet, maf: float | None = None, geno_missing: float | None = None, mind: float | None = None, hwe: float | None = None, chr: str | None = None, start: int | None = None, end: int | None = None) -> GenotypeSet:
-    """Region, missingness, frequency and Hardy-Weinberg filters, samples first."""
+def filter_markers(
+    g: GenotypeSet,
+    maf: float | None = None,
+    geno_missing: float | None = None,
+    mind: float | None = None,
+    hwe: float | None = None,
+    chr: str | None = None,
+    start: int | None = None,
+    end: int | None = None,
+    mid_p: bool = False,
+    keep_samples: str | Column | None = None,
+    remove_samples: str | Column | None = None,
+    attribute: str | Column | None = None,
+) -> GenotypeSet:
+    """Region, missingness, frequency and Hardy-Weinberg filters, samples first.
+
+    ``keep_samples`` and ``remove_samples`` are conditions on the samples'
+    columns (names, families, any attribute), ``attribute`` one on the map's.
+    """
     from locusframe.operators.select import subset
 
+    def condition(c: str | Column) -> Column:
+        return F.coalesce(F.expr(c) if isinstance(c, str) else c, F.lit(False))
+
+    if keep_samples is not None:
+        g = subset(g, condition(keep_samples), "samples")
+    if remove_samples is not None:
+        g = subset(g, ~condition(remove_samples), "samples")
+    if attribute is not None:
+        g = subset(g, condition(attribute))
+
     region = F.lit(True)
     if chr is not None:
         region = region & (F.col("chr") == chr)
@@ -197,7 +264,7 @@ def filter_markers(g: GenotypeSet, maf: float | None = None, geno_missing: float
         rule = rule & (F.least(p, 1 - p) >= maf)
     keep = keep.where(rule).select("marker_idx")
     if hwe is not None:
-        keep = keep.join(hwe_exact(g).where(F.col("p") >= hwe), "marker_idx", "left_semi")
+        keep = keep.join(hwe_exact(g, mid_p).where(F.col("p") >= hwe), "marker_idx", "left_semi")
     return g.with_(markers=g.markers.join(keep, "marker_idx", "left_semi"), calls=g.calls.join(keep, "marker_idx", "left_semi"))
 
 

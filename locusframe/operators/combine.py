@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,16 @@ def rbind(a: GenotypeSet, b: GenotypeSet) -> GenotypeSet:
     return a.with_(markers=a.markers.unionByName(b.markers, allowMissingColumns=True), calls=a.calls.unionByName(calls, allowMissingColumns=True))
 
 
+def rbind_all(sets: list[GenotypeSet]) -> GenotypeSet:
+    """Markers of all sets, in the order given."""
+    return reduce(rbind, sets)
+
+
+def cbind_all(sets: list[GenotypeSet]) -> GenotypeSet:
+    """Samples of all sets, in the order given."""
+    return reduce(cbind, sets)
+
+
 def allele_actions(x: DataFrame, y: DataFrame) -> DataFrame:
     """How the alleles of two maps (marker, A1, A2) reconcile: marker, action, A1, A2, flip.
 

@@ -102,7 +102,7 @@ def tqn(g: GenotypeSet, clusters: DataFrame, cap: float = 1.5, prenorm: bool = F
     cells = cells.withColumn("r", F.when(~missing, r))
     cells = cells.withColumns({k: F.when(~missing & (F.col(k) > cap * F.col(o)), cap * F.col(o)).otherwise(F.col(k)) for k, o in (("xn", "x0"), ("yn", "y0"))})
     cells = cells.withColumn("theta", F.when(~missing, bound(theta(F.col("xn"), F.col("yn")), 0, 1)))
-    centres = clusters.agg(*[F.element_at(F.sort_array(F.collect_list(k)), (F.floor(F.count(k) / 2) + 1).cast("int")).alias(m) for k, m in (("AT", "med_a"), ("BT", "med_b"))])
+    centres = clusters.agg(*[F.expr(f"percentile_disc(0.5) within group (order by {k} desc)").alias(m) for k, m in (("AT", "med_a"), ("BT", "med_b"))])
     cells = baf_lrr(cells.crossJoin(F.broadcast(centres)), (F.col("med_a"), F.col("med_b")))
     tan = F.tan(F.col("theta") * (math.pi / 2))
     cells = cells.withColumn("y", F.col("r") * tan / (1 + tan)).withColumn("x", F.col("r") - F.col("y"))

@@ -48,51 +48,60 @@ def prune(g: GenotypeSet, window: int = 50, step: int = 5, vif: float = 2.0) ->
     return g.with_(markers=g.markers.join(kept, "marker_idx", "left_semi"), calls=g.calls.join(kept, "marker_idx", "left_semi"))
 
 
-def ld_table(g: GenotypeSet, target: str) -> DataFrame:
-    """Counts of genotype pairs of one marker with each other marker: m2 and c00 ... c22."""
-    t = g.markers.where(F.col("marker") == target).select("marker_idx")
-    one = g.observed().join(F.broadcast(t), "marker_idx").select("sample_idx", F.col("dosage").alias("d1"))
-    other = g.observed().join(F.broadcast(t), "marker_idx", "left_anti").join(F.broadcast(one), "sample_idx")
-    return other.groupBy(F.col("marker_idx").alias("m2")).agg(*[F.count_if((F.col("d1") == a) & (F.col("dosage") == b)).alias(f"c{a}{b}") for a in (0, 1, 2) for b in (0, 1, 2)])
-
-
-def haplotype_em(c: np.ndarray, rounds: int = 200) -> tuple[float, float]:
-    """r2 and D' of two loci from their 3 x 3 genotype counts, by expectation maximisation over phases."""
-    n = 2 * c.sum()
-    if n == 0:
-        return np.nan, np.nan
-    # sure haplotypes: those of pairs in which not both loci are heterozygous
-    sure = np.zeros((2, 2))
-    for a in range(3):
-        for b in range(3):
-            if (a, b) != (1, 1):
-                for i, wa in ((0, 2 - a), (1, a)):
-                    for j, wb in ((0, 2 - b), (1, b)):
-                        sure[i, j] += c[a, b] * wa * wb / 2
-    p = (sure + c[1, 1] / 2) / n
-    for _ in range(rounds):
-        cis, trans = p[0, 0] * p[1, 1], p[0, 1] * p[1, 0]
-        share = 0.5 if cis + trans == 0 else cis / (cis + trans)
-        new = (sure + c[1, 1] * np.array([[share, 1 - share], [1 - share, share]])) / n
-        done = np.abs(new - p).max() < 1e-12
-        p = new
-        if done:
-            break
-    pa_, pb = p[1].sum(), p[:, 1].sum()
-    d = p[1, 1] - pa_ * pb
-    var = pa_ * (1 - pa_) * pb * (1 - pb)
-    most = min(pa_ * (1 - pb), (1 - pa_) * pb) if d > 0 else min(pa_ * pb, (1 - pa_) * (1 - pb))
-    return (d * d / var if var > 0 else np.nan), (abs(d) / most if most > 0 else np.nan)
-
-
-def ld_with(g: GenotypeSet, target: str) -> DataFrame:
-    """Haplotype r2 and D' of one marker with all others."""
+def ld_table(g: GenotypeSet, target: str | list[str], region: str | None = None) -> DataFrame:
+    """Counts of genotype pairs of one marker with each other marker: m2 and c00 ... c22.
+
+    With a list of markers a row begins with ``target``.  ``region``: a
+    condition on the map that the other markers meet.
+    """
+    names = [target] if isinstance(target, str) else list(target)
+    t = g.markers.where(F.col("marker").isin(names)).select(F.col("marker_idx").alias("m1"), F.col("marker").alias("target"))
+    one = g.observed().join(F.broadcast(t), F.col("marker_idx") == F.col("m1")).select("sample_idx", "m1", "target", F.col("dosage").alias("d1"))
+    other = g.observed() if region is None else g.observed().join(F.broadcast(g.markers.where(region).select("marker_idx")), "marker_idx", "left_semi")
+    # the few markers asked for: a list of calls a sample
+    other = other.join(F.broadcast(one), "sample_idx").where("marker_idx <> m1")
+    out = other.groupBy("target", F.col("marker_idx").alias("m2")).agg(*[F.count_if((F.col("d1") == a) & (F.col("dosage") == b)).alias(f"c{a}{b}") for a in (0, 1, 2) for b in (0, 1, 2)])
+    return out.drop("target") if isinstance(target, str) else out
+
+
+def haplotype_em(c: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """r2 and D' of pairs of loci from their 3 x 3 genotype counts (pairs x 3 x 3), by expectation maximisation over phases."""
+    c = np.asarray(c, float).reshape(-1, 3, 3)
+    n = 2 * c.sum((1, 2))
+    # sure haplotypes: those of samples in which not both loci are heterozygous; a genotype holds 2 - g and g copies
+    copies = np.array([[2.0, 0.0], [1.0, 1.0], [0.0, 2.0]])
+    known = c.copy()
+    known[:, 1, 1] = 0
+    both = c[:, 1, 1]
+    sure = np.einsum("nab,ai,bj->nij", known, copies, copies) / 2
+    with np.errstate(all="ignore"):
+        p = (sure + both[:, None, None] / 2) / n[:, None, None]
+        for _ in range(rounds):
+            cis, trans = p[:, 0, 0] * p[:, 1, 1], p[:, 0, 1] * p[:, 1, 0]
+            share = np.where(cis + trans == 0, 0.5, cis / (cis + trans))
+            phased = np.stack([np.stack([share, 1 - share], 1), np.stack([1 - share, share], 1)], 1)
+            new = (sure + both[:, None, None] * phased) / n[:, None, None]
+            moved = np.abs(new - p).max((1, 2)) >= 1e-13
+            p = np.where(moved[:, None, None], new, p)  # a pair stops by itself, whatever else is in the batch
+            if not moved.any():
+                break
+        pa_, pb = p[:, 1].sum(1), p[:, :, 1].sum(1)
+        d = p[:, 1, 1] - pa_ * pb
+        var = pa_ * (1 - pa_) * pb * (1 - pb)
+        most = np.where(d > 0, np.minimum(pa_ * (1 - pb), (1 - pa_) * pb), np.minimum(pa_ * pb, (1 - pa_) * (1 - pb)))
+        return np.where(var > 0, d * d / var, np.nan), np.where(most > 0, np.abs(d) / most, np.nan)
+
+
+def ld_with(g: GenotypeSet, target: str | list[str], region: str | None = None, r2_floor: float | None = None) -> DataFrame:
+    """Haplotype r2 and D' of one marker (or each of several) with all others, or those of a region; ``r2_floor`` leaves weaker pairs out."""
     names = [f"c{a}{b}" for a in (0, 1, 2) for b in (0, 1, 2)]
+    t = ld_table(g, target, region)
+    ids = [c for c in t.columns if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = np.stack([b.column(c).to_numpy() for c in names], 1).reshape(-1, 3, 3).astype(float)
-            out = np.array([haplotype_em(c) for c in counts]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column("m2"), *(pa.array(out[:, i], from_pandas=True) for i in (0, 1))], names=["marker_idx", "r2", "dprime"])
+            out = haplotype_em(np.stack([b.column(c).to_numpy() for c in names], 1))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ids), *(pa.array(x, from_pandas=True) for x in out)], names=[*ids, "r2", "dprime"])
 
-    return ld_table(g, target).select("m2", *names).mapInArrow(run, "marker_idx int, r2 double, dprime double")
+    found = t.select(*ids, *names).mapInArrow(run, ", ".join(["target string"] * (len(ids) - 1) + ["m2 int, r2 double, dprime double"])).withColumnRenamed("m2", "marker_idx")
+    return found if r2_floor is None else found.where(F.col("r2") >= r2_floor)

@@ -6,6 +6,9 @@ cells are counted as the other dimension's size less the observed ones.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,6 +131,15 @@ def genoapply(g: GenotypeSet, marker_keys: list[str], sample_keys: list[str], **
     return long.groupBy(*marker_keys, *sample_keys).agg(*[c.alias(n) for n, c in aggregates.items()])
 
 
+def genoapply_fn(g: GenotypeSet, marker_keys: list[str], sample_keys: list[str], fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """A function of each group's observed cells, as an Arrow table with the grouping columns, marker_idx, sample_idx and dosage; only groups that exist.
+
+    A group's cells are held by one task.
+    """
+    long = g.observed().select("marker_idx", "sample_idx", "dosage").join(F.broadcast(g.markers.select("marker_idx", *marker_keys)), "marker_idx").join(F.broadcast(g.samples.select("sample_idx", *sample_keys)), "sample_idx")
+    return long.groupBy(*marker_keys, *sample_keys).applyInArrow(fn, schema)
+
+
 def col_vars(g: GenotypeSet) -> DataFrame:
     """Variance of each sample's dosages, with the number of markers as n."""
     c = count_calls(g, "samples")

@@ -55,7 +55,7 @@ def whole_sql(sql: str) -> str:
 
 def with_cube(sql: str) -> str:
     """A query for DuckDB over the adapter's tables."""
-    return f"with {SQL.strip()}{',' if sql.lstrip().startswith('+') else ''}\n{sql.lstrip().removeprefix('+')}"
+    return f"with {'recursive ' if 'union all' in sql else ''}{SQL.strip()}{',' if sql.lstrip().startswith('+') else ''}\n{sql.lstrip().removeprefix('+')}"
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -342,6 +342,27 @@ def example_trios(g: GenotypeSet) -> DataFrame:
     return g.samples.where("sample_idx % 3 = 0").select(F.col("sample_idx").alias("kid"), (F.col("sample_idx") + 1).alias("mom"), (F.col("sample_idx") + 2).alias("dad"))
 
 
+@register("assoc_linear_standard", """
++ k as (select marker_idx, count(*) as n, corr(qpheno, cast(dosage as double)) as r from cube where dosage is not null and qpheno is not null group by marker_idx)
+select marker_idx, n, round(r, 7) as beta, round(sqrt((1 - r * r) / (n - 2)), 7) as se, round(r / sqrt((1 - r * r) / (n - 2)), 6) as t from k""")
+def _(g):
+    return rounded(rounded(assoc.assoc_linear(g, standard=True), 7, "beta", "se"), 6, "t")
+
+
+@register("tdt_permuted")
+def _(g):
+    return assoc.tdt_permuted(g, example_trios(g))
+
+
+@register("filter_samples", f"""
++ q as (select sample_idx from samples where fid in ('f1', 'f2', 'f3', 'f4', 'f5', 'f6') and not iid = 's1'),
+k as (select marker_idx, {COUNTS} from cube where chr <> 'chrM' and sample_idx in (select sample_idx from q) group by marker_idx)
+select c.marker_idx, c.sample_idx, c.dosage from cube c join k on k.marker_idx = c.marker_idx join q on q.sample_idx = c.sample_idx
+where dosage is not null and n_missing <= k.n * 0.1e0""")
+def _(g):
+    return cells(assoc.filter_markers(g, geno_missing=0.1, keep_samples="fid in ('f1', 'f2', 'f3', 'f4', 'f5', 'f6')", remove_samples="iid = 's1'", attribute="chr <> 'chrM'"))
+
+
 @register("tdt", """
 + j as (select k.marker_idx, k.dosage as k, m.dosage as m, d.dosage as d from cube k join cube m on m.marker_idx = k.marker_idx and m.sample_idx = k.sample_idx + 1 join cube d on d.marker_idx = k.marker_idx and d.sample_idx = k.sample_idx + 2 where k.sample_idx % 3 = 0 and k.dosage is not null and m.dosage is not null and d.dosage is not null),
 h as (select marker_idx, cast(m = 1 as int) + cast(d = 1 as int) as hets, k - cast(m = 2 as int) - cast(d = 2 as int) as given from j),
@@ -360,12 +381,35 @@ def _(g):
     return cells(assoc.filter_markers(g, maf=0.45, geno_missing=0.08, mind=0.09, end=4000000))
 
 
-@register("hwe_exact")
+HWE = f"""
++ k as (select marker_idx, {COUNTS} from cube group by marker_idx),
+s as (select marker_idx, n1, n0 + n1 + n2 as n, 2 * least(n0, n2) + n1 as rare from k),
+h as (select *, unnest(range(cast(rare % 2 as bigint), cast(rare + 1 as bigint), 2)) as het from s),
+l as (select *, het * ln(2e0) - lgamma(het + 1e0) - lgamma((rare - het) / 2e0 + 1) - lgamma(n - het - (rare - het) / 2e0 + 1) as lp from h),
+q as (select *, exp(lp - max(lp) over (partition by marker_idx)) as w, exp(max(case when het = n1 then lp end) over (partition by marker_idx) - max(lp) over (partition by marker_idx)) as own from l),
+p as (select marker_idx, case when max(n) > 0 then least(1e0, sum(case when w <= own * (1 + 1e-9) then w else 0e0 end) / sum(w)) end as p from q group by marker_idx)"""
+
+
+@register("hwe_exact", HWE + " select marker_idx, round(p, 9) as p from p")
 def _(g):
     return rounded(assoc.hwe_exact(g), 9, "p")
 
 
-@register("assoc_logistic")
+# the registered number of rounds of reweighted least squares, on genotype counts
+LOGISTIC = """
++ c as (select marker_idx, """ + ", ".join(f"cast(count(*) filter (pheno = {k} and dosage = {d}) as double) as {n}{d}" for k, n in ((2, "a"), (1, "u")) for d in (0, 1, 2)) + """ from cube where dosage is not null and pheno is not null group by marker_idx),
+e as (select k.marker_idx, x, a, a + u as n from c k, lateral (values (0e0, a0, u0), (1e0, a1, u1), (2e0, a2, u2)) v(x, a, u)),
+it as (select marker_idx, 0 as k, 0e0 as b0, 0e0 as b1, 0e0 as s0, 0e0 as det from c
+  union all
+  select marker_idx, k + 1, b0 + (s2 * g0 - s1 * g1) / (s0 * s2 - s1 * s1), b1 + (s0 * g1 - s1 * g0) / (s0 * s2 - s1 * s1), s0, s0 * s2 - s1 * s1
+  from (select marker_idx, k, b0, b1, sum(n * p * (1 - p)) as s0, sum(n * p * (1 - p) * x) as s1, sum(n * p * (1 - p) * x * x) as s2, sum(a - n * p) as g0, sum((a - n * p) * x) as g1
+    from (select it.*, x, a, n, 1 / (1 + exp(-greatest(least(b0 + b1 * x, 30e0), -30e0))) as p from it join e on e.marker_idx = it.marker_idx where k < 25) group by marker_idx, k, b0, b1)),
+z as (select marker_idx, b1, sqrt(s0 / nullif(greatest(det, 0e0), 0e0)) as se from it where k = 25),
+f as (select marker_idx, case when isfinite(b1) and isfinite(se) and abs(b1) <= 15 then b1 end as b1, se from z)
+select marker_idx, round(b1, 6) + 0e0 as beta, case when b1 is not null then round(se, 6) end as se, round(b1 / se, 6) + 0e0 as z from f"""
+
+
+@register("assoc_logistic", LOGISTIC)
 def _(g):
     return rounded(assoc.assoc_logistic(g), 6, "beta", "se", "z")
 

@@ -9,7 +9,7 @@ from locusframe.model import GenotypeSet
 from locusframe.operators import assoc, haplotypes, linalg, linkage, pairwise, plotdata, select, stats
 from locusframe.plans.adapter import genotypes, tables
 from locusframe.plans.core_queries import COUNTS, cells
-from locusframe.plans.genetics_queries import CLUSTERS, rounded
+from locusframe.plans.genetics_queries import CLUSTERS, HWE, rounded
 from locusframe.plans.registry import register, register_raw
 from locusframe.sources import export, plink, report
 
@@ -44,6 +44,17 @@ def _(g):
     return rounded(linalg.mds(g), 6, "c1", "c2")
 
 
+@register("heatmap_similarity")
+def _(g):
+    return rounded(linalg.heatmap(g), 9, "similarity")
+
+
+@register("pca_project")
+def _(g):
+    first, others = (select.subset(g, f"sample_idx {c} 60", "samples") for c in ("<", ">="))
+    return rounded(linalg.pca_project(first, others if others.samples.count() else first, 2), 6, "pc1", "pc2")
+
+
 @register("heatmap_order")
 def _(g):
     return linalg.heatmap_order(g)
@@ -97,11 +108,33 @@ def _(g):
     return linkage.prune(g, vif=1.2).markers.select("marker_idx", "chr", "marker")
 
 
-@register("ld_dprime")
+# the operator's recursion from genotype counts to haplotype shares, for a number of rounds that is more than enough
+EM = """
+t as (select k.m1, k.m2, sum(n) * 2e0 as n, sum(case when g1 = 1 and g2 = 1 then n else 0e0 end) as hh,
+    sum(case when g1 = 1 and g2 = 1 then 0e0 else n * (2 - g1) * (2 - g2) / 2e0 end) as s00, sum(case when g1 = 1 and g2 = 1 then 0e0 else n * (2 - g1) * g2 / 2e0 end) as s01,
+    sum(case when g1 = 1 and g2 = 1 then 0e0 else n * g1 * (2 - g2) / 2e0 end) as s10, sum(case when g1 = 1 and g2 = 1 then 0e0 else n * g1 * g2 / 2e0 end) as s11 from k group by k.m1, k.m2),
+it as (select *, 0 as r, (s00 + hh / 2) / n as p00, (s01 + hh / 2) / n as p01, (s10 + hh / 2) / n as p10, (s11 + hh / 2) / n as p11 from t
+  union all
+  select m1, m2, n, hh, s00, s01, s10, s11, r + 1, (s00 + hh * w) / n, (s01 + hh * (1 - w)) / n, (s10 + hh * (1 - w)) / n, (s11 + hh * w) / n
+  from (select *, case when p00 * p11 + p01 * p10 = 0 then 0.5e0 else p00 * p11 / (p00 * p11 + p01 * p10) end as w from it where r < 200)),
+f as (select m1, m2, p10 + p11 as a, p01 + p11 as b, p11 - (p10 + p11) * (p01 + p11) as d from it where r = 200),
+o as (select *, a * (1 - a) * b * (1 - b) as v, case when d > 0 then least(a * (1 - b), (1 - a) * b) else least(a * b, (1 - a) * (1 - b)) end as most from f)"""
+
+
+@register("ld_dprime", """
++ k as (select 'm5' as m1, c.marker_idx as m2, t.dosage as g1, c.dosage as g2, cast(count(*) as double) as n from cube c join cube t on t.sample_idx = c.sample_idx and t.marker = 'm5' where c.marker <> 'm5' and c.dosage is not null and t.dosage is not null group by all),
+""" + EM.strip() + " select m2 as marker_idx, round(case when v > 0 then d * d / v end, 6) as r2, round(case when most > 0 then abs(d) / most end, 6) as dprime from o")
 def _(g):
     return rounded(linkage.ld_with(g, "m5"), 6, "r2", "dprime")
 
 
+@register("ld_targets", """
++ k as (select t.marker as m1, c.marker_idx as m2, t.dosage as g1, c.dosage as g2, cast(count(*) as double) as n from cube c join cube t on t.sample_idx = c.sample_idx and t.marker in ('m5', 'm7') where c.chr = 'chr2' and c.marker <> t.marker and c.dosage is not null and t.dosage is not null group by all),
+""" + EM.strip() + " select m1 as target, m2 as marker_idx, round(d * d / v, 6) as r2, round(abs(d) / nullif(most, 0), 6) as dprime from o where v > 0 and d * d / v >= 0.0005e0")
+def _(g):
+    return rounded(linkage.ld_with(g, ["m5", "m7"], "chr = 'chr2'", 0.0005), 6, "r2", "dprime")
+
+
 @register("ld_counts", """
 select c.marker_idx as m2, """ + ", ".join(f"count(*) filter (t.dosage = {a} and c.dosage = {b}) as c{a}{b}" for a in (0, 1, 2) for b in (0, 1, 2)) + " from cube c join cube t on t.sample_idx = c.sample_idx and t.marker = 'm5' where c.marker <> 'm5' and c.dosage is not null and t.dosage is not null group by c.marker_idx")
 def _(g):
@@ -175,7 +208,7 @@ def _(g):
     return rounded(plotdata.bafplot(g.with_(calls=t), "s3").select("marker", "chr", "lrr", "smooth"), 6, "lrr", "smooth")
 
 
-@register("neglog10_hwe")
+@register("neglog10_hwe", HWE + " select marker_idx, round(-log10(p), 6) + 0e0 as score from p")
 def _(g):
     return assoc.hwe_exact(g).select("marker_idx", F.round(plotdata.neglog10(F.col("p")), 6).alias("score"))
 

@@ -8,6 +8,7 @@ its part of the file.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -147,8 +148,56 @@ def read_fam(spark: SparkSession, path: str) -> DataFrame:
     return numbered_lines(spark, path).select(F.col("k").alias("sample_idx"), f(1).alias("iid"), f(0).alias("fid"), none(f(3)).alias("mom"), none(f(2)).alias("dad"), f(4).cast("int").alias("sex"), F.when(~pheno.isin(0.0, -9.0), pheno).alias("pheno"), F.lit("").alias("filter"))
 
 
-def read_plink(spark: SparkSession, prefix: str, intensity: bool = False, keep_chr_names: bool = False) -> GenotypeSet:
-    """A lazy set over prefix.bed, .bim, .fam and, on request, .bii."""
+@dataclass(frozen=True)
+class Fileset:
+    """A pointer to a fileset on disk: the path without ending, and the folder for what is made from it."""
+
+    prefix: str
+    work: str
+
+    def __str__(self) -> str:
+        return f"fileset {self.prefix}.bed, output to {self.work}"
+
+    def read(self, spark: SparkSession, **options: object) -> GenotypeSet:
+        return read_plink(spark, self.prefix, **options)
+
+    def summary(self, spark: SparkSession) -> DataFrame:
+        """One row: source, work, n_markers, n_samples, bytes of the genotypes; the genotypes themselves aren't read."""
+        m, s = (numbered_lines(spark, f"{self.prefix}.{x}").count() for x in ("bim", "fam"))
+        return spark.createDataFrame([(f"{self.prefix}.bed", self.work, m, s, size_of(f"{self.prefix}.bed"))], "source string, work string, n_markers long, n_samples long, bytes long")
+
+
+def plinkify(spark: SparkSession, what: str | GenotypeSet, work: str, name: str = "set") -> Fileset:
+    """A pointer to an existing fileset (a path, all of whose files must be there), or to one that a set is written to."""
+    if isinstance(what, GenotypeSet):
+        prefix = f"{work.rstrip('/')}/{name}"
+        write_plink(what, prefix)
+        return Fileset(prefix, work)
+    prefix = what.removesuffix(".bed")
+    for ending in ("bed", "bim", "fam"):
+        fs, at = resolve(f"{prefix}.{ending}")
+        if not fs.get_file_info(at).is_file:
+            raise FileNotFoundError(f"{prefix}.{ending}")
+    return Fileset(prefix, work)
+
+
+def read_plink(
+    spark: SparkSession,
+    prefix: str,
+    intensity: bool = False,
+    keep_chr_names: bool = False,
+    chr: str | None = None,
+    start: int | None = None,
+    end: int | None = None,
+    markers: list[str] | None = None,
+    keep: str | None = None,
+) -> GenotypeSet:
+    """A lazy set over prefix.bed, .bim, .fam and, on request, .bii.
+
+    ``chr``, ``start`` and ``end`` (positions, inclusive) and ``markers``
+    (names) choose markers from the map, and only the byte range that spans
+    them is read; ``keep`` is a condition on the samples' columns.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (BedSource, BiiSource):
         spark.dataSource.register(source)
@@ -157,6 +206,19 @@ def read_plink(spark: SparkSession, prefix: str, intensity: bool = False, keep_c
     calls = spark.read.format("bed").options(path=f"{prefix}.bed", **size).load()
     if intensity:
         calls = calls.join(spark.read.format("bii").options(path=f"{prefix}.bii", **size).load(), ["marker_idx", "sample_idx"])
+    region = F.lit(True)
+    for given, condition in ((chr, F.col("chr") == chr), (start, F.col("pos") >= start), (end, F.col("pos") <= end), (markers, F.col("marker").isin(markers or []))):
+        if given is not None:
+            region = region & condition
+    if any(x is not None for x in (chr, start, end, markers)):
+        m = m.where(region)
+        # two numbers of the map
+        span = m.agg(F.min("marker_idx").alias("lo"), F.max("marker_idx").alias("hi")).first()
+        lo, hi = (0, -1) if span["lo"] is None else (span["lo"], span["hi"])
+        calls = calls.where((F.col("marker_idx") >= lo) & (F.col("marker_idx") <= hi)).join(F.broadcast(m.select("marker_idx")), "marker_idx", "left_semi")
+    if keep is not None:
+        s = s.where(keep)
+        calls = calls.join(F.broadcast(s.select("sample_idx")), "sample_idx", "left_semi")
     return GenotypeSet(m, s, calls, "01")
 
 
