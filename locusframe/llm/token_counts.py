@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from locusframe.llm import textcore as tc
 from locusframe.llm.common import small_batches, tidy
 
-MAX_STATES = 1 << 16
+MAX_STATES = 1 << 18
 CHUNK = 64
 #: A pre-token of more bytes is cut into chunks, which are entered with so many bytes of run-up.
 LONG, RUN_UP = 512, 96
