@@ -174,7 +174,7 @@ def redact(docs: DataFrame, text: str = "text", scope: int = SCOPE, mark: str =
 
 def oracle(scope: int = SCOPE) -> str:
     """The registered query for DuckDB, whose patterns have no look-around: a character before a weak part is
-    matched and taken off again, and bare keys are whole runs of their characters, judged afterwards."""
+    matched and taken off again, and bare keys are whole runs of their characters with an equals sign that may follow, judged afterwards."""
 
     def either(words: str) -> str:
         return "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in words.split())
@@ -184,7 +184,7 @@ def oracle(scope: int = SCOPE) -> str:
         "assign": rf"()(?:{either('password passwd secret token api_?key')}){between}([A-Za-z0-9+/_.=-]+)",
         "access": r"()(AKIA[A-Z0-9]+)",
         "hex": r"()([0-9a-f]+)",
-        "key": r"()([A-Za-z0-9+/=]+)",
+        "key": r"()([A-Za-z0-9+/]+)=?",
         "user": rf"(^|[^A-Za-z0-9_])(?:{either('user username user_name login client_id account_id')}){between}([A-Za-z0-9@_.-]+)",
         "endpoint": r"(^|[^A-Za-z0-9])((?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|jdbc:[a-z]+|s3)://[A-Za-z0-9_.:@/-]+)",
     }
@@ -194,7 +194,7 @@ def oracle(scope: int = SCOPE) -> str:
         p = patterns[kind]
         rule = f"length(g) >= {least[kind]}"
         if kind == "key":
-            rule = "length(g) = 40 and not contains(g, '=') and regexp_matches(g, '[0-9]') and regexp_matches(g, '[A-Z]') and regexp_matches(g, '[a-z]')"
+            rule = "length(g) = 40 and length(m) = 40 and regexp_matches(g, '[0-9]') and regexp_matches(g, '[A-Z]') and regexp_matches(g, '[a-z]')"
         parts.append(f"""
   select doc_id, {rank} as rank, '{kind}' as kind, pos + length(pre) as s, pos + length(m) as e from (
     select doc_id, ms[i] as m, gs[i] as g, ps[i] as pre, cast(list_sum([length(x) for x in gaps[1 : i]]) + coalesce(list_sum([length(x) for x in ms[1 : i - 1]]), 0) as bigint) as pos
