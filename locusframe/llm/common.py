@@ -114,16 +114,20 @@ def text_key(col: str | Column) -> Column:
     return F.unhex(F.md5(c))
 
 
-def hot_keys(big: DataFrame, on: str, floor: int = 256, hot_share: int = 5000) -> DataFrame | None:
+def hot_keys(big: DataFrame, on: str, floor: int = 256, hot_share: int = 5000, counted: str | None = None) -> DataFrame | None:
     """Keys that hold more than ``floor`` rows and more than one ``hot_share``-th of all rows of ``big``, and into how many parts to deal them.
 
     They number less than ``hot_share``, so they can be broadcast; None if there can be none.  ``big`` should be a table made by :func:`materialize`.
+    Where its column ``counted`` has the number of a key's rows, they aren't counted again.
     """
     rows = big.count()
     if rows <= floor:
         return None
     least = max(floor, -(-rows // hot_share))
-    counts = big.groupBy(on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > least)
+    if counted:
+        counts = big.select(on, F.col(counted).alias("__n")).where(F.col("__n") > least).distinct()
+    else:
+        counts = big.groupBy(on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > least)
     return counts.select(on, F.ceil(F.col("__n") / least).cast("int").alias("__parts"))
 
 

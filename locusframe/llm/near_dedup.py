@@ -28,8 +28,9 @@ most the sum of p q / (q + (1 - Q) p), which is concave and homogeneous in
 (p, q) and so at most its value at the totals (P, Q).
 
 Any share of the rows may have one key.  Comparisons, whose rows are wide, deal
-the rows of such a hub to many tasks; joins of narrow rows on a bucket or label
-leave that to the adaptive skew join, and ranks are taken within parts of a bucket.
+the rows of such a hub to many tasks, and so do the rounds the rows of a large
+bucket; other joins of narrow rows on a bucket or label leave that to the
+adaptive skew join, and ranks are taken within parts of a bucket.
 """
 
 from __future__ import annotations
@@ -281,12 +282,12 @@ def joined(links: DataFrame, labels: DataFrame) -> DataFrame:
 def hubs_of(members: DataFrame) -> DataFrame:
     """Each bucket's hub, the node that shares buckets with most others: (bucket, hub).
 
+    ``members``: bucket, node, and the number of the bucket's nodes (``held``).
     An original shares more buckets with its copies than those do with each
     other, so the star around it finds most links at once.
     """
-    size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     fraction = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / F.lit(2.0**21)  # a tie-break
-    reach = members.join(size, "bucket").groupBy("node").agg((F.sum("n") + F.first(fraction)).alias("reach"))
+    reach = members.groupBy("node").agg((F.sum("held") + F.first(fraction)).alias("reach"))
     return members.join(reach, "node").groupBy("bucket").agg(F.max_by("node", "reach").alias("hub"))
 
 
@@ -353,7 +354,7 @@ def ranked_rows(named: DataFrame, facts: DataFrame, similarity: float) -> DataFr
     return named.withColumn("rank", (within - 1) * F.col("parts") + F.col("part") + 1).drop("least_size", "largest", "most_mass", "rows", "parts", "part")
 
 
-def compare_rest(members: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+def compare_rest(members: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float, hot: DataFrame | None) -> DataFrame:
     """Find the links that the stars left out; returns the new labels.
 
     ``members``: bucket, node, the bucket's hub, and how much of its set the
@@ -364,13 +365,14 @@ def compare_rest(members: DataFrame, sets: DataFrame, labels: DataFrame, similar
     and pairs exactly.  What is left is compared in rounds, each with twice as many
     centres of a bucket as before (see :func:`ranked_rows`),
     until a bucket is one component or no possible pair is left.
+    ``hot``: the buckets whose rows are dealt to many tasks (see :func:`hot_keys`).
     """
     rest, centers, done = members, 0, None
     while True:
         named = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         last = F.max(F.when(F.col("minor"), F.col("rank"))) if centers else F.lit(1)
         open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), last.alias("last")).where((F.col("lo") < F.col("hi")) & (F.col("last") > centers)).select("bucket")
-        named = materialize(named.join(open_, "bucket"), "named")
+        named = materialize(dealt(named, hot, "bucket", "node").join(repeated(open_, hot, "bucket"), ["bucket", "__part"]).drop("__part"), "named")
         if named.count() == 0:
             return labels
         if centers == 0:
@@ -379,13 +381,16 @@ def compare_rest(members: DataFrame, sets: DataFrame, labels: DataFrame, similar
             labels = joined(verify(done, sets, similarity), labels)
             named = ranked_rows(named.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), facts, similarity)
             named = materialize(named, "ranked")
+            # later rounds have no other buckets
+            hot = hot_keys(named.select("bucket"), "bucket")
+            hot = materialize(hot, "hot") if hot is not None else None
         upto = max(4, 2 * centers)
         new = named.where((F.col("rank") > centers) & (F.col("rank") <= upto)).select("bucket", *[F.col(c).alias(f"c_{c}") for c in ("node", "label", "size", "mass", "own", "common", "beyond", "rank")])
         # what both share of the hub, and what both can share beyond it
         most = F.least("common", "c_common") + F.greatest(F.least("beyond", "c_beyond"), F.lit(0))
         most = F.least(most, F.col("size") - F.col("own"), F.col("c_size") - F.col("c_own"))
         fits = (F.col("rank") > F.col("c_rank")) & (F.col("label") != F.col("c_label")) & possible(most, F.col("size"), F.col("mass"), F.col("c_size"), F.col("c_mass"), similarity)
-        pairs = named.join(new, "bucket").where(fits).select(F.greatest("node", "c_node").alias("a"), F.least("node", "c_node").alias("b")).distinct()
+        pairs = dealt(named, hot, "bucket", "node").join(repeated(new, hot, "bucket"), ["bucket", "__part"]).where(fits).select(F.greatest("node", "c_node").alias("a"), F.least("node", "c_node").alias("b")).distinct()
         pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         labels = joined(verify(pairs, sets, similarity), labels)
         done = done.unionByName(pairs)
@@ -423,8 +428,9 @@ def near_duplicates(
     texts = base.groupBy("key").agg(F.min("id").alias("text_class"), F.count(F.lit(1)).alias("n"), F.first("buckets").alias("buckets"))
     texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     held = texts.select(F.explode("buckets").alias("bucket"), "node")
-    several = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("bucket")
+    several = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     members = materialize(held.join(several, "bucket"), "members")
+    hot = hot_keys(members, "bucket", counted="held")
     involved = texts.select("node", "key").join(members.select("node").distinct(), "node", "left_semi")
     sets = materialize(shingle_sets(docs, materialize(involved, "involved"), text, k, weighted), "sets")
     members = materialize(members.join(hubs_of(members), "bucket"), "starred")
@@ -432,7 +438,7 @@ def near_duplicates(
     compared = materialize(compare(stars, sets, similarity), "overlaps")
     labels = components(compared.where("near").select("a", "b"))
     members = members.join(compared.select(F.col("a").alias("node"), F.col("b").alias("hub"), "common"), ["node", "hub"], "left")
-    labels = compare_rest(members, sets, labels, similarity)
+    labels = compare_rest(members.drop("held"), sets, labels, similarity, hot)
     tagged = texts.select("key", "node", "text_class", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = tagged.groupBy("label").agg(F.min("text_class").alias("class_id"), F.sum("n").alias("class_size"))
     by_text = materialize(tagged.join(classes, "label").select("key", "label", "class_id", "class_size", "text_class", "n"), "classes")
