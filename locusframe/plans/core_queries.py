@@ -195,15 +195,14 @@ def _(g):
     return cells(combine.cbind(*halves(g)))
 
 
-@register("rbind", f"select {CELL} from cube where dosage is not null and marker_idx < 150")
+@register("rbind", f"select {CELL} from cube where dosage is not null")
 def _(g):
-    return cells(combine.rbind(select.subset(g, "marker_idx < 100"), select.subset(g, "marker_idx >= 100 and marker_idx < 150")))
+    return cells(combine.rbind(select.subset(g, "marker_idx % 2 = 0"), select.subset(g, "marker_idx % 2 = 1")))
 
 
-@register("merge", f"select {CELL} from cube where dosage is not null and (marker_idx between 50 and 149)")
+@register("merge", f"select {CELL} from cube where dosage is not null")
 def _(g):
-    x, y = halves(g)
-    return cells(combine.merge(select.subset(x, "marker_idx < 150"), select.subset(y, "marker_idx >= 50")))
+    return cells(combine.merge(*halves(g)))
 
 
 # the second map's alleles are left, turned to the other strand, exchanged, both, or made unlike, by marker
@@ -261,19 +260,19 @@ def _(g):
     return stats.nmiss(g, "samples")
 
 
-@register("consensus", f"select marker_idx, case when n_missing <= n * 0.1e0 then case when n0 + n1 + n2 = 0 then null when n0 >= n1 and n0 >= n2 then 0 when n1 >= n2 then 1 else 2 end end as dosage from (select marker_idx, {COUNTS} from cube where fid in ('f3', 'f7') group by marker_idx)")
+@register("consensus", f"select marker_idx, case when n_missing <= n * 0.1e0 then case when n0 + n1 + n2 = 0 then null when n0 >= n1 and n0 >= n2 then 0 when n1 >= n2 then 1 else 2 end end as dosage from (select marker_idx, {COUNTS} from cube group by marker_idx)")
 def _(g):
-    return stats.consensus(select.subset(g, "fid in ('f3', 'f7')", "samples"), 0.1)
+    return stats.consensus(g, 0.1)
 
 
-@register("segregating", f"select marker_idx, case when n_missing <= n * 0.2e0 then n0 > 0 and n2 > 0 end as segregating from (select marker_idx, {COUNTS} from cube where fid in ('f3', 'f7') group by marker_idx)")
+@register("segregating", f"select marker_idx, case when n_missing <= n * 0.2e0 then n0 > 0 and n2 > 0 end as segregating from (select marker_idx, {COUNTS} from cube group by marker_idx)")
 def _(g):
-    return stats.segregating(select.subset(g, "fid in ('f3', 'f7')", "samples"), 0.2)
+    return stats.segregating(g, 0.2)
 
 
-@register("segregating_het", f"select marker_idx, case when n_missing <= n * 0.2e0 then (n0 > 0 and n2 > 0) or n1 > 0 end as segregating from (select marker_idx, {COUNTS} from cube where fid = 'f3' group by marker_idx)")
+@register("segregating_het", f"select marker_idx, case when n_missing <= n * 0.2e0 then (n0 > 0 and n2 > 0) or n1 > 0 end as segregating from (select marker_idx, {COUNTS} from cube group by marker_idx)")
 def _(g):
-    return stats.segregating(select.subset(g, "fid = 'f3'", "samples"), 0.2, allow_het=True)
+    return stats.segregating(g, 0.2, allow_het=True)
 
 
 @register("fixed_diffs", "select m.marker_idx, coalesce(abs(a.dosage - b.dosage) = 2, false) as fixed_diff from markers m left join cube a on a.marker_idx = m.marker_idx and a.iid = 's1' left join cube b on b.marker_idx = m.marker_idx and b.iid = 's2'")
@@ -282,11 +281,11 @@ def _(g):
 
 
 @register("informative", f"""
-+ k as (select marker_idx, fid, {COUNTS} from cube where fid in ('f1', 'f3', 'f7') group by marker_idx, fid),
++ k as (select marker_idx, fid, {COUNTS} from cube group by marker_idx, fid),
 c as (select marker_idx, case when n_missing <= n * 0.3e0 then case when n0 + n1 + n2 = 0 then null when n0 >= n1 and n0 >= n2 then 0 when n1 >= n2 then 1 else 2 end end as d from k)
 select marker_idx, case when count(*) - count(d) <= count(*) * 0.3e0 then count(*) filter (d = 0) > 0 and count(*) filter (d = 2) > 0 end as informative from c group by marker_idx""")
 def _(g):
-    return stats.informative(select.subset(g, "fid in ('f1', 'f3', 'f7')", "samples"), "fid", 0.3)
+    return stats.informative(g, "fid", 0.3)
 
 
 @register("prop_het", "select sample_idx, count(*) filter (dosage = 1) / cast(nullif(count(dosage), 0) as double) as het from cube group by sample_idx")

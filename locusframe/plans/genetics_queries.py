@@ -17,11 +17,6 @@ def rounded(t: DataFrame, digits: int, *cols: str) -> DataFrame:
     return t.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in cols})  # no negative zero
 
 
-def panel(g: GenotypeSet, most: int = 20) -> GenotypeSet:
-    """The first samples: a panel of bounded size for operators on all pairs of samples at each marker."""
-    return select.subset(g, F.col("sample_idx") < most, "samples")
-
-
 PAIRS = """
 s as (select distinct sample_idx, iid from cube),
 pr as (select a.sample_idx as i, b.sample_idx as j, a.iid as iid1, b.iid as iid2 from s a join s b on a.sample_idx < b.sample_idx),
@@ -67,14 +62,15 @@ def _(g):
     return rounded(pairwise.ibd(g), 6, "z0", "z1", "z2", "pi_hat")
 
 
-@register("predict_f1", "select a.marker_idx, a.iid || '::' || b.iid as f1, case when a.dosage = 1 or b.dosage = 1 then null else (a.dosage + b.dosage) / 2e0 end as dosage from cube a join cube b on a.marker_idx = b.marker_idx and a.sample_idx < b.sample_idx where a.sample_idx < 8 and b.sample_idx < 8")
+# a row for each pair of samples at each marker: no SQL, tested against brute force
+@register("predict_f1")
 def _(g):
-    return pairwise.predict_f1(panel(g, 8))
+    return pairwise.predict_f1(g)
 
 
-@register("pairwise_diffs", "select a.marker_idx, a.iid as iid1, b.iid as iid2, a.dosage = b.dosage as same from cube a join cube b on a.marker_idx = b.marker_idx and a.sample_idx < b.sample_idx where a.sample_idx < 10 and b.sample_idx < 10 and a.dosage is not null and b.dosage is not null")
+@register("pairwise_diffs")
 def _(g):
-    return pairwise.pairwise_diffs(panel(g, 10))
+    return pairwise.pairwise_diffs(g)
 
 
 MENDEL = """
@@ -96,7 +92,7 @@ def _(g):
 
 
 LD = """
-m as (select marker_idx, chr, pos from markers where chr in ('chr1', 'chr2', 'chrX')),
+m as (select marker_idx, chr, pos from markers),
 t as (select a.marker_idx as m1, b.marker_idx as m2, count(*) as n, sum(a.dosage) as sx, sum(b.dosage) as sy, sum(a.dosage * a.dosage) as sxx, sum(b.dosage * b.dosage) as syy, sum(a.dosage * b.dosage) as sxy
   from cube a join cube b on a.sample_idx = b.sample_idx and a.marker_idx < b.marker_idx and a.chr = b.chr where a.dosage is not null and b.dosage is not null group by a.marker_idx, b.marker_idx),
 r as (select m1, m2, n, cast(n * sxy - sx * sy as double) * (n * sxy - sx * sy) / nullif(cast(n * sxx - sx * sx as double) * (n * syy - sy * sy), 0e0) as r2 from t)
@@ -105,13 +101,12 @@ r as (select m1, m2, n, cast(n * sxy - sx * sy as double) * (n * sxy - sx * sy)
 
 @register("ld_r2", f"+ {LD} select m1, m2, r2 from r join m on m1 = marker_idx")
 def _(g):
-    return pairwise.ld_r2(select.subset(g, "chr in ('chr1', 'chr2', 'chrX')"), complete=False)
+    return pairwise.ld_r2(g, complete=False, force=True)
 
 
-@register("ld_complete", f"+ {LD} select a.marker_idx as m1, b.marker_idx as m2, case when n = (select count(*) from samples where fid = 'f3') then r2 end as r2 from m a join m b on a.chr = b.chr and a.marker_idx < b.marker_idx left join r on m1 = a.marker_idx and m2 = b.marker_idx".replace("where a.dosage", "where a.fid = 'f3' and a.dosage"))
+@register("ld_complete", f"+ {LD} select a.marker_idx as m1, b.marker_idx as m2, case when n = (select count(*) from samples) then r2 end as r2 from m a join m b on a.chr = b.chr and a.marker_idx < b.marker_idx left join r on m1 = a.marker_idx and m2 = b.marker_idx")
 def _(g):
-    small = select.subset(select.subset(g, "chr in ('chr1', 'chr2', 'chrX')"), "fid = 'f3'", "samples")
-    return pairwise.ld_r2(small)
+    return pairwise.ld_r2(g, force=True)
 
 
 @register("ld_window", f"+ {LD} select m1, m2, r2 from r join markers a on m1 = a.marker_idx join markers b on m2 = b.marker_idx where b.pos - a.pos <= 75000")
@@ -140,13 +135,13 @@ def _(g):
 
 
 @register("pairwise_fst", """
-+ n as (select marker_idx, fid as pop, cast(count(*) as double) as n, cast(sum(2 - dosage) as double) as k, cast(count(*) filter (dosage = 1) as double) as h from cube where dosage is not null and fid in ('f1', 'f3', 'f5', 'f7') group by marker_idx, fid),
++ n as (select marker_idx, fid as pop, cast(count(*) as double) as n, cast(sum(2 - dosage) as double) as k, cast(count(*) filter (dosage = 1) as double) as h from cube where dosage is not null group by marker_idx, fid),
 j as (select x.pop as pop1, y.pop as pop2, x.n + y.n as sn, (x.n + y.n) / 2 as nb, x.n + y.n - (x.n * x.n + y.n * y.n) / (x.n + y.n) as nc, (x.k + y.k) / (2 * (x.n + y.n)) as p, (x.h + y.h) / (x.n + y.n) as h, x.k * x.k / (4 * x.n) + y.k * y.k / (4 * y.n) as q from n x join n y on x.marker_idx = y.marker_idx and x.pop < y.pop),
 s as (select *, (q - sn * p * p) / nb as s2 from j),
 t as (select pop1, pop2, nb / nc * (s2 - (p * (1 - p) - s2 / 2 - h / 4) / nullif(nb - 1, 0)) as a, nb / nullif(nb - 1, 0) * (p * (1 - p) - s2 / 2 - (2 * nb - 1) / (4 * nb) * h) as b, h / 2 as c from s)
 select pop1, pop2, round(sum(a) / sum(a + b + c), 9) as theta from t where a is not null and b is not null group by pop1, pop2""")
 def _(g):
-    return rounded(popgen.pairwise_fst(select.subset(g, "fid in ('f1', 'f3', 'f5', 'f7')", "samples")), 9, "theta")
+    return rounded(popgen.pairwise_fst(g), 9, "theta")
 
 
 # order-based ---------------------------------------------------------------
@@ -205,7 +200,7 @@ def _(g):
     return g.calls.select("marker_idx", "sample_idx", F.round(intensity.theta(F.col("x"), F.col("y")), 9).alias("theta"))
 
 
-@register("calc_lrr", "select marker_idx, sample_idx, round(case when s > 0 and m > 0 then log2(s / m) end, 9) as lrr from (select marker_idx, sample_idx, x + y as s, avg(x + y) over (partition by marker_idx) as m from cube where x is not null)")
+@register("calc_lrr", "select marker_idx, sample_idx, round(case when s > 0 and m > 0 then log2(s / m) end, 9) + 0e0 as lrr from (select marker_idx, sample_idx, x + y as s, avg(x + y) over (partition by marker_idx) as m from cube where x is not null)")
 def _(g):
     return rounded(intensity.calc_lrr(g), 9, "lrr")
 
@@ -265,7 +260,7 @@ res as (select marker_idx, sample_idx, r, a, case
 """
 
 
-@register("tqn", f"+ {BAF} select marker_idx, sample_idx, round(baf, 6) as baf, round(case when r > 0 and er > 0 then log2(r / er) end, 6) as lrr, round(r - r * tan(a * {math.pi / 2!r}) / (1 + tan(a * {math.pi / 2!r})), 6) as x from res")
+@register("tqn", f"+ {BAF} select marker_idx, sample_idx, round(baf, 6) + 0e0 as baf, round(case when r > 0 and er > 0 then log2(r / er) end, 6) + 0e0 as lrr, round(r - r * tan(a * {math.pi / 2!r}) / (1 + tan(a * {math.pi / 2!r})), 6) + 0e0 as x from res")
 def _(g):
     t = intensity.tqn(g, example_clusters(g))
     return rounded(t.calls.select("marker_idx", "sample_idx", "baf", "lrr", "x"), 6, "baf", "lrr", "x")

@@ -80,27 +80,26 @@ def _(g):
 # sequential ------------------------------------------------------------------
 
 
-def panel(g: GenotypeSet) -> tuple[GenotypeSet, GenotypeSet]:
-    """Three inbred parents (their heterozygous calls are taken as 0), and a few samples without missing calls."""
+def parents_and_rest(g: GenotypeSet) -> tuple[GenotypeSet, GenotypeSet]:
+    """All samples but the three parents, and these as inbred (their heterozygous calls are taken as 0)."""
     some = select.subset(g, "sample_idx in (0, 1, 2)", "samples")
     inbred = some.with_(calls=some.observed().withColumn("dosage", F.when(F.col("dosage") == 1, 0).otherwise(F.col("dosage"))))
-    rest = select.subset(g, "sample_idx between 3 and 8", "samples")
-    return rest, inbred
+    return select.subset(g, "sample_idx > 2", "samples"), inbred
 
 
 @register("reconstruct_haps")
 def _(g):
-    return haplotypes.reconstruct_haps(*panel(g))
+    return haplotypes.reconstruct_haps(*parents_and_rest(g))
 
 
 @register("haplotype_blocks")
 def _(g):
-    return haplotypes.haplotype_blocks(haplotypes.reconstruct_haps(*panel(g)))
+    return haplotypes.haplotype_blocks(haplotypes.reconstruct_haps(*parents_and_rest(g)))
 
 
 @register("haplotype_segments")
 def _(g):
-    return plotdata.haplotype_segments(haplotypes.haplotype_blocks(haplotypes.reconstruct_haps(*panel(g))))
+    return plotdata.haplotype_segments(haplotypes.haplotype_blocks(haplotypes.reconstruct_haps(*parents_and_rest(g))))
 
 
 @register("prune")
@@ -171,10 +170,10 @@ def _(g):
 
 
 @register("dotplot", """
-+ m as (select *, dense_rank() over (partition by chr order by pos) as rank, min(pos) over (partition by chr) as lo, max(pos) over (partition by chr) as hi from markers where chr = 'chr4')
++ m as (select *, dense_rank() over (partition by chr order by pos) as rank, min(pos) over (partition by chr) as lo, max(pos) over (partition by chr) as hi from markers)
 select iid, c.marker, c.chr, c.pos, cast(rank as int) as rank, (c.pos - lo) / cast(hi - lo as double) as relative, dosage from cube c join m on m.marker_idx = c.marker_idx where dosage is not null""")
 def _(g):
-    return plotdata.dotplot(select.subset(g, "chr = 'chr4'"))
+    return plotdata.dotplot(g, force=True)
 
 
 @register("manhattan", """
@@ -221,8 +220,8 @@ def local(spark, name: str) -> str:  # noqa: ANN001
 
 
 @register_raw("plink_round_trip", None)
-def _(spark, sf_dir, source=genotypes):
-    return _plink(source(spark, sf_dir)).select("marker", "iid", "dosage")
+def _(spark, sf_dir):
+    return _plink(genotypes(spark, sf_dir)).select("marker", "iid", "dosage")
 
 
 def _plink(g):  # noqa: ANN001, ANN202
@@ -238,7 +237,7 @@ def _register_io() -> None:
     from locusframe.plans.registry import ORACLE_SQL
 
     ORACLE_SQL["plink_round_trip"] = with_cube("select marker, iid, dosage from cube where dosage is not null")
-    ORACLE_SQL["plink_region"] = with_cube("select marker, iid, dosage, cast(least(floor(x * 10000e0), 65535e0) as int) as x4 from cube where dosage is not null and marker_idx between 20 and 39")
+    ORACLE_SQL["plink_region"] = with_cube("select marker, iid, dosage, cast(least(floor(x * 10000e0), 65535e0) as int) as x4 from cube where dosage is not null and marker_idx in (select marker_idx from markers qualify row_number() over (order by chr_order, pos) between 21 and 40)")
     ORACLE_SQL["report_import"] = with_cube("select marker, iid, dosage, x, y from cube where dosage is not null")
     ORACLE_SQL["hgdp"] = with_cube("select marker, coalesce(case dosage when 0 then A1 || A1 when 1 then A1 || A2 when 2 then A2 || A2 end, '-') as s3 from cube where iid = 's3'")
     ORACLE_SQL["rqtl"] = with_cube("select replace(chr, 'chr', '') as chr, case when chr = 'chrX' then 'X' else 'A' end as class, marker, cM, iid, dosage + 1 as code from cube where dosage is not null and cM > 0")
@@ -249,14 +248,14 @@ def _register_io() -> None:
 
 
 @register_raw("plink_region")
-def _(spark, sf_dir, source=genotypes):
-    t = _plink(source(spark, sf_dir)).where("marker_idx between 20 and 39")
+def _(spark, sf_dir):
+    t = _plink(genotypes(spark, sf_dir)).where("marker_idx between 20 and 39")
     return t.select("marker", "iid", "dosage", F.round(F.col("x") * 10000).cast("int").alias("x4"))
 
 
 @register_raw("report_import")
-def _(spark, sf_dir, source=genotypes):
-    g = source(spark, sf_dir)
+def _(spark, sf_dir):
+    g = genotypes(spark, sf_dir)
     path = local(spark, "report")
     report.write_report(g, path)
     back = report.read_beadstudio(spark, path, g.markers.drop("marker_idx", "filter"))
@@ -279,9 +278,9 @@ def _(g):
 
 
 @register_raw("doqtl")
-def _(spark, sf_dir, source=genotypes):
+def _(spark, sf_dir):
     path = local(spark, "doqtl")
-    export.export_doqtl(source(spark, sf_dir), path)
+    export.export_doqtl(genotypes(spark, sf_dir), path)
     return spark.read.parquet(f"{path}/cells").join(spark.read.parquet(f"{path}/sex"), "iid").where("call <> 'N'").select("marker", "iid", "call", "sex")
 
 
@@ -291,9 +290,9 @@ def _(g):
 
 
 @register_raw("save_load")
-def _(spark, sf_dir, source=genotypes):
+def _(spark, sf_dir):
     path = local(spark, "set")
-    export.save(source(spark, sf_dir), path)
+    export.save(genotypes(spark, sf_dir), path)
     return cells(select.subset(export.load(spark, path), "chr = 'chr5'"))
 
 

@@ -7,7 +7,7 @@ import os
 import pytest
 
 from locusframe.plans import all_queries
-from locusframe.plans.adapter import whole_genotypes
+from locusframe.plans.adapter import genotypes
 from tests.support import assert_same
 
 REGISTRY = all_queries()
@@ -22,36 +22,36 @@ def sf01():
 
 
 def test_every_part_is_a_marker(spark, sf01):
-    g = whole_genotypes(spark, sf01)
+    g = genotypes(spark, sf01)
     assert g.markers.count() == spark.read.parquet(f"{sf01}/part.parquet").count() > 200
     cells = spark.read.parquet(f"{sf01}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct()
     assert g.calls.count() == cells.count()
     assert g.markers.select("chr").distinct().count() == 20
 
 
-@pytest.mark.parametrize("name", ["marker_qc_whole", "sample_qc_whole"])
+@pytest.mark.parametrize("name", ["marker_qc", "sample_qc"])
 def test_whole_queries_agree_with_sql(spark, sf01, name):
     assert_same(REGISTRY.QUERIES[name](spark, sf01), sf01, REGISTRY.ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", ["ld_r2_whole", "ld_complete_whole", "consensus_whole", "segregating_whole", "informative_whole", "pairwise_fst_whole", "merge_whole", "rbind_whole", "dotplot_whole"])
-def test_uncut_queries_agree_with_sql(spark, sf, name):
+@pytest.mark.parametrize("name", ["ld_r2", "ld_complete", "consensus", "segregating", "informative", "pairwise_fst", "merge", "rbind", "dotplot"])
+def test_queries_over_all_samples_agree_with_sql(spark, sf, name):
     assert_same(REGISTRY.QUERIES[name](spark, sf), sf, REGISTRY.ORACLE_SQL[name])
 
 
 def test_all_pairs_of_samples(spark, sf):
-    dosage = {(r.marker_idx, r.sample_idx): r.dosage for r in whole_genotypes(spark, sf).observed().collect()}
+    dosage = {(r.marker_idx, r.sample_idx): r.dosage for r in genotypes(spark, sf).observed().collect()}
     markers, samples = range(200), range(10)
     pairs = [(m, i, j) for m in markers for i in samples for j in samples if i < j]
 
     def f1(a, b):
         return None if a is None or b is None or 1 in (a, b) else (a + b) / 2
 
-    got = {(r.marker_idx, r.f1): r.dosage for r in REGISTRY.QUERIES["predict_f1_whole"](spark, sf).collect()}
+    got = {(r.marker_idx, r.f1): r.dosage for r in REGISTRY.QUERIES["predict_f1"](spark, sf).collect()}
     assert got == {(m, f"s{i}::s{j}"): f1(dosage.get((m, i)), dosage.get((m, j))) for m, i, j in pairs}
-    got = {(r.marker_idx, r.iid1, r.iid2): r.same for r in REGISTRY.QUERIES["pairwise_diffs_whole"](spark, sf).collect()}
+    got = {(r.marker_idx, r.iid1, r.iid2): r.same for r in REGISTRY.QUERIES["pairwise_diffs"](spark, sf).collect()}
     assert got == {(m, f"s{i}", f"s{j}"): dosage[m, i] == dosage[m, j] for m, i, j in pairs if (m, i) in dosage and (m, j) in dosage}
 
 
 def test_haplotypes_of_all_other_samples(spark, sf):
-    assert {r.iid for r in REGISTRY.QUERIES["reconstruct_haps_whole"](spark, sf).select("iid").distinct().collect()} == {f"s{i}" for i in range(3, 10)}
+    assert {r.iid for r in REGISTRY.QUERIES["reconstruct_haps"](spark, sf).select("iid").distinct().collect()} == {f"s{i}" for i in range(3, 10)}
