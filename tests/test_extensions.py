@@ -45,6 +45,8 @@ def test_blocks_of_samples_are_decoded_alike(spark, monkeypatch):
 
 def test_pointer_to_a_fileset_and_reading_a_part(spark, sf, tmp_path):
     g = select.subset(adapter(spark, sf), "marker_idx < 60")
+    decade = F.floor(F.col("marker_idx") / 10).cast("int") + 1  # ten markers a chromosome, 25 kb apart
+    g = g.with_(markers=g.markers.withColumns({"chr": F.concat(F.lit("chr"), decade.cast("string")), "chr_order": decade, "pos": F.col("marker_idx") * 25000}))
     pointer = plink.plinkify(spark, g, f"file://{tmp_path}", "small")
     row = pointer.summary(spark).first()
     assert (row.n_markers, row.n_samples) == (60, g.samples.count()) and row.bytes == 3 + 60 * -(-row.n_samples // 4)
