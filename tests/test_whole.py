@@ -55,3 +55,17 @@ def test_all_pairs_of_samples(spark, sf):
 
 def test_haplotypes_of_all_other_samples(spark, sf):
     assert {r.iid for r in REGISTRY.QUERIES["reconstruct_haps"](spark, sf).select("iid").distinct().collect()} == {f"s{i}" for i in range(3, 10)}
+
+
+@pytest.mark.parametrize("name", ["ibd", "kinship_grm", "ld_complete"])
+def test_pairs_are_summed_in_tiles_and_never_shuffled(spark, sf, name, monkeypatch):
+    from locusframe.operators import pairwise
+
+    for constant, value in {"SAMPLES_PER_TILE": 4, "STRIP": 3, "CELLS_HELD": 100, "PAIRS_HELD": 50, "ROWS_SENT": 7}.items():
+        monkeypatch.setattr(pairwise, constant, value)
+    df = REGISTRY.QUERIES[name](spark, sf)
+    assert_same(df, sf, REGISTRY.ORACLE_SQL[name])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # nothing is aggregated or joined by shuffle above the tiles
+    above = plan[: plan.index("MapInArrow")]
+    assert "Aggregate" not in above.split("Join")[0] and all("rightHint=(strategy=broadcast)" in x for x in above.splitlines() if "Join" in x)
