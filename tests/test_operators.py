@@ -264,6 +264,21 @@ def test_prune_drops_a_copy(spark):
     assert kept == [0, 1, 2, 3]
 
 
+def test_pruning_holds_no_matrix_of_all_samples_and_markers():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    n = 40_000  # as a matrix of 2,000 markers and 40,000 samples: 640 MB
+    t = pa.table({"marker_idx": pa.array(np.arange(n, dtype=np.int32) % 2000), "sample_idx": pa.array(np.arange(n, dtype=np.int32)), "dosage": pa.array(rng.integers(0, 3, n).astype(np.int32))})
+    tracemalloc.start()
+    kept = linkage.kept_of(t, 50, 25, 2.0)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    assert kept.num_rows > 1900
+
+
 def test_dprime_of_complete_linkage():
     r2, d = linkage.haplotype_em(np.array([[10, 0, 0], [0, 10, 0], [0, 0, 10]], float))
     assert r2[0] == pytest.approx(1.0, abs=1e-6) and d[0] == pytest.approx(1.0, abs=1e-6)
@@ -364,3 +379,11 @@ def test_design_of_a_cross(spark):
 def test_recode_to_a_parent_of_another_set(spark):
     g, parents = make(spark, [[0, 1], [2, 0], [1, 2]]), make(spark, [[2, 0], [0, 0]], ids=["P", "Q"])
     assert matrix(encode.recode_to_parent(g, "P", parents)) == {(0, 0): 0, (0, 1): 1, (1, 0): 0, (1, 1): 2}
+
+
+def test_wide_tables_of_some_samples(spark):
+    g = make(spark, [[0, 2, None], [1, None, 2]])
+    assert export.hgdp_table(g, ["id2"]).columns == ["marker", "id2"]
+    assert [r.id2 for r in export.hgdp_table(g, ["id2"]).collect()] == [r.id2 for r in export.hgdp_table(g).collect()]
+    assert export.wide_table(g, ["id1", "id3"]).columns[-2:] == ["id1", "id3"]
+    assert {(r.marker, r.id3) for r in export.wide_table(g, ["id1", "id3"]).collect()} == {(r.marker, r.id3) for r in export.wide_table(g).collect()}
