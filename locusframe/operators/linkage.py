@@ -12,39 +12,55 @@ from pyspark.sql import functions as F
 from locusframe.model import GenotypeSet
 
 
+def kept_of(table: pa.Table, window: int, step: int, vif: float) -> pa.Table:
+    """The markers of one chromosome's cells (marker_idx, sample_idx, dosage) that are kept."""
+    m, s, d = (table.column(c).to_numpy() for c in ("marker_idx", "sample_idx", "dosage"))
+    order = np.lexsort((s, m))
+    m, s, d = m[order], s[order], d[order].astype(float)
+    markers, start = np.unique(m, return_index=True)
+    edge = np.append(start, len(m))
+    n = np.diff(edge)
+    d -= np.repeat(np.add.reduceat(d, start) / n, n)  # a missing call is the mean, so it is 0 here and needs no cell
+    alive = np.add.reduceat(d * d, start) > 1e-12 * n
+
+    def correlations(here: list[int]) -> np.ndarray:
+        """Of a few markers, over the samples that any of them has."""
+        at = np.concatenate([np.arange(edge[k], edge[k + 1]) for k in here])
+        who, row = np.unique(s[at], return_inverse=True)
+        x = np.zeros((len(who), len(here)))
+        x[row, np.repeat(np.arange(len(here)), n[here])] = d[at]
+        x /= np.sqrt((x * x).sum(0))
+        return np.clip(x.T @ x, -1, 1)
+
+    for lo in range(0, len(markers), step):
+        here = [k for k in range(lo, min(lo + window, len(markers))) if alive[k]]
+        every = correlations(here) if len(here) > 1 else None
+        kept = list(range(len(here)))
+        while len(kept) > 1:
+            r = every[np.ix_(kept, kept)]
+            factor = np.diag(np.linalg.pinv(r))
+            worst = int(np.argmax(factor))
+            near = np.abs(r - np.eye(len(kept))).max(0)
+            if near.max() > 1 - 1e-9:  # exact copies: the inverse says nothing
+                worst = int(np.flatnonzero(near > 1 - 1e-9)[-1])
+            elif factor[worst] <= vif:
+                break
+            alive[here[kept.pop(worst)]] = False
+        if lo + window >= len(markers):
+            break
+    return pa.table([pa.array(markers[alive].astype(np.int32))], names=["marker_idx"])
+
+
 def prune(g: GenotypeSet, window: int = 50, step: int = 5, vif: float = 2.0) -> GenotypeSet:
     """Keep markers so that none in a sliding window has a variance inflation factor above ``vif``.
 
-    Chromosomes are independent and each is one group: its matrix of calls
-    (missing: the mean) is held by one task, as the sliding window needs.
+    Chromosomes are independent and each is one group: its calls (missing: the
+    mean) are held by one task, as the sliding window needs, but as they are,
+    sparse; only a window's markers become a matrix.
     """
     cells = g.observed().join(F.broadcast(g.markers.select("marker_idx", "chr")), "marker_idx").select("chr", "marker_idx", "sample_idx", "dosage")
 
-    def keep(table: pa.Table) -> pa.Table:
-        markers, mi = np.unique(table.column("marker_idx").to_numpy(), return_inverse=True)
-        samples, si = np.unique(table.column("sample_idx").to_numpy(), return_inverse=True)
-        x = np.full((len(samples), len(markers)), np.nan)
-        x[si, mi] = table.column("dosage").to_numpy()
-        x = np.where(np.isnan(x), np.nanmean(x, 0), x)
-        alive = x.std(0) > 0
-        for lo in range(0, len(markers), step):
-            here = [k for k in range(lo, min(lo + window, len(markers))) if alive[k]]
-            while len(here) > 1:
-                r = np.corrcoef(x[:, here], rowvar=False)
-                factor = np.diag(np.linalg.pinv(r))
-                worst = int(np.argmax(factor))
-                near = np.abs(r - np.eye(len(here))).max(0)
-                if near.max() > 1 - 1e-9:  # exact copies: the inverse says nothing
-                    worst = int(np.flatnonzero(near > 1 - 1e-9)[-1])
-                elif factor[worst] <= vif:
-                    break
-                alive[here[worst]] = False
-                here.pop(worst)
-            if lo + window >= len(markers):
-                break
-        return pa.table([pa.array(markers[alive].astype(np.int32))], names=["marker_idx"])
-
-    kept = cells.groupBy("chr").applyInArrow(keep, "marker_idx int")
+    kept = cells.groupBy("chr").applyInArrow(lambda t: kept_of(t, window, step, vif), "marker_idx int")
     return g.with_(markers=g.markers.join(kept, "marker_idx", "left_semi"), calls=g.calls.join(kept, "marker_idx", "left_semi"))
 
 
