@@ -112,3 +112,24 @@ def test_mid_p_is_smaller(spark):
     g = make(spark, [[0, 1, 1, 2, 2, 2, 0, 1], [1] * 8, [None] * 8])
     p, mid = ({r.marker_idx: r.p for r in assoc.hwe_exact(g, m).collect()} for m in (False, True))
     assert mid[0] < p[0] and mid[1] < p[1] and p[2] is None
+
+
+def test_components_without_the_matrix_of_samples(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    g = make(spark, [[None if v == 3 else int(v) for v in row] for row in rng.integers(0, 4, (60, 40))])
+    whole = [t.toPandas() for t in linalg.pca(g, 3)]
+    monkeypatch.setattr(linalg, "FEW_SAMPLES", 5, raising=False)
+
+    def never(*a, **k):
+        raise AssertionError("a samples x samples matrix")
+
+    monkeypatch.setattr(linalg, "square", never)
+    for a, b in zip(whole, [t.toPandas() for t in linalg.pca(g, 3)], strict=True):
+        assert np.allclose(a.select_dtypes("number"), b.select_dtypes("number"), atol=1e-7)
+
+
+def test_largest_finds_values_as_often_as_they_occur():
+    q = np.linalg.qr(np.random.default_rng(1).standard_normal((300, 300)))[0]
+    value = np.concatenate([[9.0, 9, 9, 8], np.linspace(5, -7, 296)])
+    found, vector = linalg.largest(lambda v: q @ (value[:, None] * (q.T @ v)), 300, 4)
+    assert np.allclose(found, [9, 9, 9, 8]) and np.allclose(vector.T @ vector, np.eye(4))
