@@ -162,3 +162,24 @@ def test_rules_on_held_out_rows(spark):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows)
     right = Counter((r.quality, r.kept) for r in rows)
     assert right[1, False] <= 0.03 * (right[1, True] + right[1, False]) and right[0, True] <= 0.3 * max(1, right[0, True] + right[0, False])
+
+
+def test_quality_threshold_is_set_on_all_labelled_rows(spark, monkeypatch):
+    from locusframe.llm import quality_rules
+
+    words = "the quiet river ran beside a small town where people met every morning to trade bread and news of far places".split()
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.permutation(words * 4)[: 60 + i % 15].tolist())) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id bigint, quality int")
+    seen = []
+    real = quality_rules.threshold_of
+    monkeypatch.setattr(quality_rules, "threshold_of", lambda at, good, bad, *a: (seen.append((good.sum(), bad.sum())), real(at, good, bad, *a))[1])
+    monkeypatch.setattr(quality_rules, "ROWS_OF_TREE", 1)
+    out = quality_rules.quality_rules(docs, labels, trees=2).collect()
+    assert len(out) == 60
+    passed = {r.doc_id for r in out if not r.base_failed}
+    import zlib
+
+    bad = sum(1 for i in passed if i % 3 == 0 and zlib.crc32(str(i).encode()) % 5)
+    assert seen and seen[0][1] == bad > 0  # every bad row, whatever the trees' sub-samples
