@@ -50,6 +50,10 @@ FEW = 32
 RARE = 24
 EPS = 1e-9
 PART = 128
+#: Numbers of 64 bits in a sketch, which tells in which cells a text lacks shingles of its hub, and in which it has others.
+WIDE = 2
+#: Centres of a bucket in the first round.
+FIRST_CENTRES = 64
 #: Texts in question that are broadcast (24 bytes each); beyond it all texts are shuffled by key instead.
 MOST_SENT = 1_000_000
 _U = np.uint64
@@ -215,17 +219,31 @@ def lists_of(col: pa.ListArray) -> list[np.ndarray | None]:
     return [None if gone else values[a:b] for a, b, gone in zip(at[:-1], at[1:], np.asarray(col.is_null()), strict=True)]
 
 
-def compare(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def cells_of(h: np.ndarray) -> list[int]:
+    """The cells that hold any of these shingles, as the bits of ``WIDE`` numbers."""
+    bits = np.zeros(64 * WIDE, np.uint8)
+    bits[(h >> _U(32)) % _U(64 * WIDE)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
+def sketch_columns(*names: str) -> list[str]:
+    return [f"{name}{k}" for name in names for k in range(WIDE)]
+
+
+def compare(pairs: DataFrame, sets: DataFrame, least: float, sketched: bool = False) -> DataFrame:
     """Pairs (a, b) with the number of their common shingles (``common``) and whether their similarity is at least ``least`` (``near``).
 
+    If ``sketched``, also the cells (:func:`cells_of`) of b's shingles that a lacks (``lacks0``, ...) and of a's that b lacks (``adds0``, ...).
     ``pairs`` should be a table made by :func:`materialize`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            common, near = [], []
+            common, near, sketch = [], [], []
             for ha, wa, hb, wb in zip(*(lists_of(batch.column(c)) for c in ("sa", "wa", "sb", "wb")), strict=True):
                 ha, hb = ha.view(_U), hb.view(_U)
+                if sketched:
+                    sketch.append(cells_of(np.setdiff1d(hb, ha, assume_unique=True)) + cells_of(np.setdiff1d(ha, hb, assume_unique=True)))
                 if len(ha) > len(hb):
                     ha, wa, hb, wb = hb, wb, ha, wa
                 at = np.searchsorted(hb, ha)
@@ -237,15 +255,17 @@ def compare(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 else:
                     value = probability_jaccard(np.ones(len(ha)) if wa is None else wa, np.ones(len(hb)) if wb is None else wb, i, at[i])
                 near.append(value >= least - EPS)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(near, pa.bool_())], names=["a", "b", "common", "near"])
+            more = {c: pa.array([x[k] for x in sketch], pa.int64()) for k, c in enumerate(cells)}
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(near, pa.bool_()), *more.values()], names=["a", "b", "common", "near", *more])
 
+    cells = sketch_columns("lacks", "adds") if sketched else []
     rows = pairs.select("a", "b")
     hot_b = hot_keys(rows, "b")
     hot_a = hot_keys(rows, "a")
     first, second = (sets.select(F.col("node").alias(n), F.col("set").alias(f"s{n}"), F.col("weights").alias(f"w{n}")) for n in "ab")
     rows = dealt(rows, hot_a, "a", "b").join(repeated(first, hot_a, "a"), ["a", "__part"]).drop("__part")
     rows = dealt(rows, hot_b, "b", "a").join(repeated(second, hot_b, "b"), ["b", "__part"]).drop("__part")
-    return small_batches(rows).select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(tidy(run), "a bigint, b bigint, common bigint, near boolean")
+    return small_batches(rows).select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(tidy(run), "a bigint, b bigint, common bigint, near boolean" + "".join(f", {c} bigint" for c in cells))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -295,26 +315,35 @@ def possible(common: Column, n: Column, mass: Column, n2: Column, mass2: Column,
     """Whether texts of n and n2 distinct shingles that weigh mass and mass2 in all can be as similar as ``least`` if at most ``common`` are in both.
 
     Each other shingle weighs 1 at least, so x = mass - n + common bounds the weight of the common ones.
+    Where some can't be common at all, their weight may be counted in n instead of their number.
     """
     x, y = ((m - k + common).cast("double") for m, k in ((mass, n), (mass2, n2)))
     return F.lit(1 + least) * x * y >= F.lit(least - EPS) * (x * mass2 + y * mass)
 
 
+def only_in(x: str, y: str) -> Column:
+    """How many cells of the sketch ``x`` are not in ``y``: so many shingles at least are behind ``x`` and not behind ``y``."""
+    counts = [F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(F.col(b)))) for a, b in zip(sketch_columns(x), sketch_columns(y), strict=True)]
+    return sum(counts[1:], counts[0])
+
+
 def rare_pairs(named: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """What rare shingles (of at most ``RARE`` of the nodes in question) tell about nodes and pairs.
 
-    Returns each node's set size, mass and number of rare shingles (``own``), and
-    the pairs of different components that share so many rare shingles that
+    Returns each node's set size, mass, number of rare shingles (``own``) and
+    their weight and the number of the others (``counted``), and the pairs of different components that share so many rare shingles that
     they can be similar.  In any other pair a node's rare shingles are not
     the other's, which bounds the pair's similarity.
     """
     nodes = materialize(named.select("node", "label").distinct(), "open_nodes")
-    mine = materialize(sets.join(nodes, "node", "left_semi").select("node", "set", "mass"), "open_sets")
-    theirs = mine.select("node", F.explode("set").alias("shingle"))
+    mine = materialize(sets.join(nodes, "node", "left_semi").select("node", "set", "weights", "mass"), "open_sets")
+    theirs = mine.select("node", "weights", F.posexplode("set").alias("at", "shingle"))
+    theirs = theirs.select("node", "shingle", F.when(F.col("weights").isNull(), 1).otherwise(F.get("weights", F.col("at"))).alias("w"))
     rare = theirs.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= RARE)
     held = materialize(theirs.join(rare, "shingle"), "rare_held")
-    own = held.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    facts = materialize(mine.select("node", F.size("set").cast("long").alias("size"), "mass").join(own, "node", "left").select("node", "size", "mass", F.coalesce("own", F.lit(0)).alias("own")), "facts")
+    own = held.groupBy("node").agg(F.count(F.lit(1)).alias("own"), F.sum("w").alias("own_mass"))
+    facts = mine.select("node", F.size("set").cast("long").alias("size"), "mass").join(own, "node", "left").na.fill(0, ["own", "own_mass"])
+    facts = materialize(facts.select("node", "size", "mass", "own", (F.col("own_mass") + F.col("size") - F.col("own")).alias("counted")), "facts")
     # lists of at most RARE nodes, so a shingle gives at most RARE * (RARE - 1) / 2 pairs
     lists = held.where("df > 1").groupBy("shingle").agg(F.array_sort(F.collect_list("node")).alias("l"))
     pairs = lists.select(F.explode(F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", 1, i), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
@@ -327,41 +356,45 @@ def rare_pairs(named: DataFrame, sets: DataFrame, similarity: float) -> tuple[Da
     return facts, shared.where(can).select("a", "b")
 
 
-def ranked_rows(named: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
+def ranked_rows(named: DataFrame, facts: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """The rows of open buckets with what bounds their similarities, and their places (``rank``) in the order of centres.
 
     Rows outside a bucket's largest component (``minor``) come first, then
     those with few rare shingles: every pair across components has a minor
     row, so when those have been centres the bucket is done.  Rows that cannot
-    be similar to anything in their bucket are left out.
+    be similar to anything in their bucket are left out.  ``sketches``: of
+    nodes and hubs (node, hub and the columns of :func:`compare`).
     """
     hub_own = facts.select(F.col("node").alias("hub"), F.col("own").alias("hub_own"))
     # what a node has beyond the hub's set, less its rare shingles there: no pair that is left shares those; the hub has all of its own set
     named = named.join(facts, "node").join(hub_own, "hub").withColumn("common", F.coalesce("common", F.col("size")).cast("long"))
     named = named.withColumn("beyond", F.col("size") - F.col("common") - F.greatest(F.col("own") - F.col("hub_own"), F.lit(0)))
-    named = materialize(named.drop("hub", "hub_own"), "bounded")
+    named = materialize(named.drop("hub_own"), "bounded")
     count = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least_size"), F.max("mass").alias("most_mass"))
     largest = count.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("n"), F.min("least_size").alias("least_size"), F.max("most_mass").alias("most_mass"))
     named = attach(named, materialize(largest.withColumn("rows", F.col("n")), "largest"), "bucket")
     # with the smallest set of the bucket, none of it its own, if that isn't smaller than what can be common
     most = F.col("size") - F.col("own")
-    named = named.where(possible(most, F.col("size"), F.col("mass"), F.greatest(F.col("least_size"), most), F.greatest("most_mass", "least_size", most), similarity))
+    named = named.where(possible(most, F.col("counted"), F.col("mass"), F.greatest(F.col("least_size"), most), F.greatest("most_mass", "least_size", most), similarity))
     named = named.withColumn("minor", F.col("label") != F.col("largest"))
     # a large bucket's ranks are interleaved from parts that are ranked each
     parts = F.ceil(F.col("rows") / PART)
     named = named.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("node"), parts)})
     within = F.row_number().over(Window.partitionBy("bucket", "part").orderBy(F.desc("minor"), "own", "node"))
-    return named.withColumn("rank", (within - 1) * F.col("parts") + F.col("part") + 1).drop("least_size", "largest", "most_mass", "rows", "parts", "part")
+    named = named.withColumn("rank", (within - 1) * F.col("parts") + F.col("part") + 1).drop("least_size", "largest", "most_mass", "rows", "parts", "part")
+    named = materialize(named, "placed").join(sketches, ["node", "hub"], "left").drop("hub")
+    return named.withColumns({c: F.coalesce(c, F.lit(0)) for c in sketch_columns("lacks", "adds")})  # the hub itself: none
 
 
-def compare_rest(members: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float, hot: DataFrame | None) -> DataFrame:
+def compare_rest(members: DataFrame, sets: DataFrame, labels: DataFrame, sketches: DataFrame, similarity: float, hot: DataFrame | None) -> DataFrame:
     """Find the links that the stars left out; returns the new labels.
 
     ``members``: bucket, node, the bucket's hub, and how much of its set the
     node shares with the hub (``common``; null for the hub itself).
     Only buckets that still hold several components matter.  Pairs of their
     nodes that share rare shingles are compared; in all other pairs the rare
-    shingles of either node bound the similarity, which rules out most nodes
+    shingles of either node bound the similarity, and so do the cells of what
+    each lacks of the hub's set and has beyond it, which rules out most nodes
     and pairs exactly.  What is left is compared in rounds, each with twice as many
     centres of a bucket as before (see :func:`ranked_rows`),
     until a bucket is one component or no possible pair is left.
@@ -379,17 +412,19 @@ def compare_rest(members: DataFrame, sets: DataFrame, labels: DataFrame, similar
             facts, more = rare_pairs(named, sets, similarity)
             done = materialize(more, "pairs")
             labels = joined(verify(done, sets, similarity), labels)
-            named = ranked_rows(named.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), facts, similarity)
+            named = ranked_rows(named.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), facts, sketches, similarity)
             named = materialize(named, "ranked")
             # later rounds have no other buckets
             hot = hot_keys(named.select("bucket"), "bucket")
             hot = materialize(hot, "hot") if hot is not None else None
-        upto = max(4, 2 * centers)
-        new = named.where((F.col("rank") > centers) & (F.col("rank") <= upto)).select("bucket", *[F.col(c).alias(f"c_{c}") for c in ("node", "label", "size", "mass", "own", "common", "beyond", "rank")])
-        # what both share of the hub, and what both can share beyond it
-        most = F.least("common", "c_common") + F.greatest(F.least("beyond", "c_beyond"), F.lit(0))
+        upto = max(FIRST_CENTRES, 2 * centers)
+        new = named.where((F.col("rank") > centers) & (F.col("rank") <= upto)).select("bucket", *[F.col(c).alias(f"c_{c}") for c in ("node", "label", "size", "mass", "own", "counted", "common", "beyond", "rank", *sketch_columns("lacks", "adds"))])
+        # what both share of the hub (of what the one has of it, not what only the other lacks), and what both can share beyond it
+        within = F.least(F.col("common") - only_in("c_lacks", "lacks"), F.col("c_common") - only_in("lacks", "c_lacks"))
+        beyond = F.least("beyond", "c_beyond", F.col("size") - F.col("common") - only_in("adds", "c_adds"), F.col("c_size") - F.col("c_common") - only_in("c_adds", "adds"))
+        most = within + F.greatest(beyond, F.lit(0))
         most = F.least(most, F.col("size") - F.col("own"), F.col("c_size") - F.col("c_own"))
-        fits = (F.col("rank") > F.col("c_rank")) & (F.col("label") != F.col("c_label")) & possible(most, F.col("size"), F.col("mass"), F.col("c_size"), F.col("c_mass"), similarity)
+        fits = (F.col("rank") > F.col("c_rank")) & (F.col("label") != F.col("c_label")) & possible(most, F.col("counted"), F.col("mass"), F.col("c_counted"), F.col("c_mass"), similarity)
         pairs = dealt(named, hot, "bucket", "node").join(repeated(new, hot, "bucket"), ["bucket", "__part"]).where(fits).select(F.greatest("node", "c_node").alias("a"), F.least("node", "c_node").alias("b")).distinct()
         pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         labels = joined(verify(pairs, sets, similarity), labels)
@@ -435,10 +470,10 @@ def near_duplicates(
     sets = materialize(shingle_sets(docs, materialize(involved, "involved"), text, k, weighted), "sets")
     members = materialize(members.join(hubs_of(members), "bucket"), "starred")
     stars = materialize(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    compared = materialize(compare(stars, sets, similarity), "overlaps")
+    compared = materialize(compare(stars, sets, similarity, sketched=True), "overlaps")
     labels = components(compared.where("near").select("a", "b"))
     members = members.join(compared.select(F.col("a").alias("node"), F.col("b").alias("hub"), "common"), ["node", "hub"], "left")
-    labels = compare_rest(members.drop("held"), sets, labels, similarity, hot)
+    labels = compare_rest(members.drop("held"), sets, labels, compared.select(F.col("a").alias("node"), F.col("b").alias("hub"), *sketch_columns("lacks", "adds")), similarity, hot)
     tagged = texts.select("key", "node", "text_class", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = tagged.groupBy("label").agg(F.min("text_class").alias("class_id"), F.sum("n").alias("class_size"))
     by_text = materialize(tagged.join(classes, "label").select("key", "label", "class_id", "class_size", "text_class", "n"), "classes")

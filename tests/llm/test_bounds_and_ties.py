@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.llm import packing, quality_classifier, quality_rules, textcore, token_counts, vector_search, warc
+from locusframe.llm import near_dedup, packing, quality_classifier, quality_rules, textcore, token_counts, vector_search, warc
 from locusframe.llm.labelled import held_out
 from locusframe.llm.queries import QUERIES, tokenizer_file
 
@@ -183,3 +183,38 @@ def test_quality_threshold_is_set_on_all_labelled_rows(spark, monkeypatch):
 
     bad = sum(1 for i in passed if i % 3 == 0 and zlib.crc32(str(i).encode()) % 5)
     assert seen and seen[0][1] == bad > 0  # every bad row, whatever the trees' sub-samples
+
+
+def test_large_groups_of_texts_that_are_not_linked_are_ruled_out_without_comparing_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    numbers = rng.integers(-(1 << 62), 1 << 62, 2000)
+    hub, pool, own = numbers[:100], numbers[100:124], numbers[124:]
+    texts = {0: (hub, None)}
+    for node in range(1, 61):  # share 88 of 100 shingles with the hub, some of the others with each other: 0.79
+        texts[node] = (np.concatenate([rng.permutation(hub)[:88], rng.permutation(pool)[:12]]), None)
+    for node in range(61, 121):  # weigh 1 on what they share, 500 on what no other has
+        texts[node] = (np.append(hub[:60], own[node]), np.array([1] * 60 + [500]))
+    texts[121], texts[122] = (np.append(hub[:60], pool[:1]), None), (np.append(hub[:60], pool[1:2]), None)
+    rows = []
+    for node, (h, w) in texts.items():
+        order = np.argsort(h.view(np.uint64))
+        rows.append((node, h[order].tolist(), None if w is None else w[order].tolist(), len(h) if w is None else int(w.sum())))
+    sets = near_dedup.materialize(spark.createDataFrame(rows, "node bigint, set array<bigint>, weights array<bigint>, mass bigint"), "sets")
+    stars = near_dedup.materialize(spark.createDataFrame([(n, 0) for n in texts if n], "a bigint, b bigint"), "pairs")
+    compared = near_dedup.materialize(near_dedup.compare(stars, sets, 0.8, sketched=True), "overlaps")
+    assert compared.where("near").count() == 0
+    members = sets.select(F.lit(1).cast("bigint").alias("bucket"), "node", F.lit(0).cast("bigint").alias("hub"))
+    members = members.join(compared.select(F.col("a").alias("node"), "common"), "node", "left")
+    sketches = compared.select(F.col("a").alias("node"), F.col("b").alias("hub"), *near_dedup.sketch_columns("lacks", "adds"))
+    seen = []
+    plain = near_dedup.verify
+    monkeypatch.setattr(near_dedup, "verify", lambda pairs, *more: seen.append(pairs.count()) or plain(pairs, *more))
+    labels = near_dedup.compare_rest(members, sets, near_dedup.components(compared.where("near").select("a", "b")), sketches, 0.8, None)
+    plain_sets = {n: set(h.tolist()) for n, (h, w) in texts.items() if w is None}
+    links = [(a, b) for a, x in plain_sets.items() for b, y in plain_sets.items() if a < b and len(x & y) >= 0.8 * len(x | y)]
+    want = {n: n for link in links for n in link}
+    for _ in want:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    assert (121, 122) in links and {r.node: r.label for r in labels.collect()} == want
+    assert sum(seen) < 500  # of 7,503 pairs
