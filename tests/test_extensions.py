@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -133,3 +134,26 @@ def test_largest_finds_values_as_often_as_they_occur():
     value = np.concatenate([[9.0, 9, 9, 8], np.linspace(5, -7, 296)])
     found, vector = linalg.largest(lambda v: q @ (value[:, None] * (q.T @ v)), 300, 4)
     assert np.allclose(found, [9, 9, 9, 8]) and np.allclose(vector.T @ vector, np.eye(4))
+
+
+def test_complete_linkage_is_as_by_the_least_of_all_distances_and_not_cubic():
+    def plain(d):
+        trees, dist = {i: [i] for i in range(len(d))}, d.copy()
+        np.fill_diagonal(dist, np.inf)
+        while len(trees) > 1:
+            i, j = sorted(int(x) for x in np.unravel_index(np.argmin(dist), dist.shape))
+            trees[i] = trees[i] + trees.pop(j)
+            dist[i] = dist[:, i] = np.maximum(dist[i], dist[j])
+            dist[j] = dist[:, j] = dist[i, i] = np.inf
+        return list(trees.values())[0]
+
+    rng = np.random.default_rng(5)
+    for n, values in ((2, 3), (30, 3), (80, 7), (80, 1), (150, 1000)):  # few values: many ties
+        d = rng.integers(0, values, (n, n)) / values
+        d = np.maximum(d, d.T)
+        np.fill_diagonal(d, 0)
+        assert linalg.complete_linkage_order(d) == plain(d)
+    d = rng.random((3000, 3000))
+    began = time.process_time()
+    assert sorted(linalg.complete_linkage_order(np.maximum(d, d.T))) == list(range(3000))
+    assert time.process_time() - began < 10  # a search of the whole matrix for each merge takes longer
