@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from locusframe.model import GenotypeSet
 from locusframe.operators import combine, encode, qc, select, stats
-from locusframe.plans.registry import register
+from locusframe.plans.registry import places, register
 
 CELL = "marker_idx, sample_idx, dosage"
 COUNTS = """count(*) filter (dosage = 0) as n0, count(*) filter (dosage = 1) as n1, count(*) filter (dosage = 2) as n2, count(*) - count(dosage) as n_missing, count(*) as n"""
@@ -74,7 +74,7 @@ def _(g):
 
 @register("get_intensity", "select marker, iid, x, y, round(sqrt(x * x + y * y), 9) as si from cube where dosage is not null and chr = 'chrX'")
 def _(g):
-    return select.get_intensity(select.xchrom(g)).select("marker", "iid", "x", "y", F.round("si", 9).alias("si"))
+    return select.get_intensity(select.xchrom(g)).select("marker", "iid", "x", "y", places("si", 9).alias("si"))
 
 
 @register("drop_intensity", f"select {CELL} from cube where dosage is not null")
@@ -139,7 +139,7 @@ def _(g):
 p as (select *, row_number() over (order by b, sample_idx) as place from q)
 select iid, cast(place as int) as place, u.q, round(u.value, 9) as value from p, lateral (values (0.25e0, a), (0.5e0, b), (0.75e0, c)) u(q, value)""".replace(", q as", "+ q as", 1))
 def _(g):
-    return select.column_quantiles(g).withColumn("value", F.round("value", 9))
+    return select.column_quantiles(g).withColumn("value", places("value", 9))
 
 
 # encoding ------------------------------------------------------------------
@@ -300,7 +300,7 @@ def _(g):
 
 @register("heterozygosity_hwe", f"select marker_idx, round(1e0 - (n0 / cast(n0 + n1 + n2 as double)) * (n0 / cast(n0 + n1 + n2 as double)) - (n2 / cast(n0 + n1 + n2 as double)) * (n2 / cast(n0 + n1 + n2 as double)), 12) as het from (select marker_idx, {COUNTS} from cube group by marker_idx)")
 def _(g):
-    return stats.heterozygosity(g, hwe=True).withColumn("het", F.round("het", 12))
+    return stats.heterozygosity(g, hwe=True).withColumn("het", places("het", 12))
 
 
 @register("summarize_calls", f"select sample_idx, n0 as A, n2 as B, n1 as H, n_missing as N from (select sample_idx, {COUNTS} from cube group by sample_idx)")
@@ -316,7 +316,7 @@ def _(g):
 @register("summarize_intensity", "select sample_idx, iid, fid, sex, " + ", ".join(f"round(quantile_cont(sqrt(x * x + y * y), {q}), 9) as q{int(q * 100)}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)) + " from cube where x is not null group by sample_idx, iid, fid, sex")
 def _(g):
     t = stats.summarize_intensity(g)
-    return t.select(*[F.round(c, 9).alias(c) if c.startswith("q") else c for c in t.columns])
+    return t.select(*[places(c, 9).alias(c) if c.startswith("q") else c for c in t.columns])
 
 
 @register("genoapply", "select chr, fid, count(*) as n, cast(sum(dosage) as bigint) as copies from cube where dosage is not null group by chr, fid")
@@ -326,7 +326,7 @@ def _(g):
 
 @register("col_vars", f"select sample_idx, round(n / (n - 1e0) * ((n1 + 4 * n2) / cast(n0 + n1 + n2 as double) - ((n1 + 2 * n2) / cast(n0 + n1 + n2 as double)) * ((n1 + 2 * n2) / cast(n0 + n1 + n2 as double))), 12) as variance from (select sample_idx, {COUNTS} from cube group by sample_idx)")
 def _(g):
-    return stats.col_vars(g).withColumn("variance", F.round("variance", 12))
+    return stats.col_vars(g).withColumn("variance", places("variance", 12))
 
 
 # quality control -----------------------------------------------------------
@@ -383,7 +383,7 @@ d as (select sample_idx, sum(r) over (partition by sample_idx order by si) / cas
 select sample_idx, round(greatest(max(d), 0e0), 6) as D from d group by sample_idx""")
 def _(g):
     ref = select.get_intensity(select.subset(g, "sample_idx < 5", "samples")).select("si")
-    return qc.intensity_vs_ref(g, ref).withColumn("D", F.round("D", 6))
+    return qc.intensity_vs_ref(g, ref).withColumn("D", places("D", 6))
 
 
 @register("predict_sex_ycalls", f"select sample_idx, iid, case when n0 + n2 >= 6 and n_missing <= 2 then 1 when n0 + n2 < 6 and n_missing > 0 then 2 else 0 end as predicted from (select sample_idx, iid, {COUNTS} from cube where chr = 'chrY' group by sample_idx, iid)".replace("n_missing <= 2", "n_missing <= 0"))
@@ -403,12 +403,12 @@ l as (select *, {log_density('male')} - {log_density('female')} as llr from i)
 select sample_idx, iid, round(ix, 6) as ix, round(iy, 6) as iy, round(llr, 4) as llr, case when llr > 0 then 1 when llr is not null then 2 end as predicted from l""")
 def _(g):
     t = qc.predict_sex_xy(g, clean=None)
-    return t.select("sample_idx", "iid", *[F.round(c, 6).alias(c) for c in ("ix", "iy")], F.round("llr", 4).alias("llr"), "predicted")
+    return t.select("sample_idx", "iid", *[places(c, 6).alias(c) for c in ("ix", "iy")], places("llr", 4).alias("llr"), "predicted")
 
 
 @register("sexysum", "select sample_idx, iid, fid, sex, count(*) filter (chr = 'chrY' and dosage in (0, 2)) as ygood, count(*) filter (chr = 'chrX' and dosage = 1) as xhet, round(avg(case when chr = 'chrX' then sqrt(x * x + y * y) end), 9) as ix, round(avg(case when chr = 'chrY' then sqrt(x * x + y * y) end), 9) as iy from cube group by sample_idx, iid, fid, sex")
 def _(g):
-    return qc.sexysum(g, clean=None).withColumns({c: F.round(c, 9) for c in ("ix", "iy")})
+    return qc.sexysum(g, clean=None).withColumns({c: places(c, 9) for c in ("ix", "iy")})
 
 
 @register("inbreeding", f"""
@@ -417,4 +417,4 @@ e as (select marker_idx, 1e0 - 2e0 * p * (1e0 - p) * (2 * s) / cast(2 * s - 1 as
 t as (select sample_idx, count(*) filter (dosage <> 1) as o_hom, sum(e) as e_hom, count(*) as n from cube c join e on c.marker_idx = e.marker_idx where dosage is not null group by sample_idx)
 select sample_idx, o_hom, round(e_hom, 6) as e_hom, n, round((o_hom - e_hom) / nullif(n - e_hom, 0e0), 6) as F from t""")
 def _(g):
-    return qc.inbreeding(g).withColumns({c: F.round(c, 6) for c in ("e_hom", "F")})
+    return qc.inbreeding(g).withColumns({c: places(c, 6) for c in ("e_hom", "F")})

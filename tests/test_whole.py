@@ -69,3 +69,14 @@ def test_pairs_are_summed_in_tiles_and_never_shuffled(spark, sf, name, monkeypat
     # nothing is aggregated or joined by shuffle above the tiles
     above = plan[: plan.index("MapInArrow")]
     assert "Aggregate" not in above.split("Join")[0] and all("rightHint=(strategy=broadcast)" in x for x in above.splitlines() if "Join" in x)
+
+
+def test_tqn_rounds_as_its_sql_does(spark, tmp_path):
+    # s1's x at m2 is 0.5046875, but its product with 1e6 is below 504687.5
+    line = "l_partkey long, l_suppkey long, l_returnflag string, l_quantity double, l_discount double"
+    lines = [(2, 1, "A", 37.0, 0.02), (2, 1, "A", 38.0, 0.03), (3, 1, "N", 40.0, 0.01)]
+    spark.createDataFrame(lines, line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(2,), (3,)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 0, 1.0)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(1,)], "vec_id long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert_same(REGISTRY.QUERIES["tqn"](spark, str(tmp_path)), str(tmp_path), REGISTRY.ORACLE_SQL["tqn"])
