@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.operators import assoc, combine, haplotypes, linalg, linkage, select, stats
+from locusframe.operators import assoc, combine, haplotypes, linalg, linkage, pairwise, select, stats
 from locusframe.plans.adapter import genotypes as adapter
 from locusframe.sources import plink
 from tests.test_operators import make
@@ -129,6 +129,26 @@ def test_components_without_the_matrix_of_samples(spark, monkeypatch):
         assert np.allclose(a.select_dtypes("number"), b.select_dtypes("number"), atol=1e-7)
 
 
+def test_scaling_without_the_matrix_of_samples(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [[None if v > 2 else int(v) for v in row] for row in rng.integers(0, 9, (40, 30))]
+    g = make(spark, [row[:28] + [None, 1 if k == 0 else None] for k, row in enumerate(rows)])  # some pairs have no distance
+    g = g.with_(samples=g.samples.withColumn("sample_idx", F.col("sample_idx") * 3 + 5), calls=g.calls.withColumn("sample_idx", F.col("sample_idx") * 3 + 5))
+    whole = linalg.mds(g, 3).toPandas()
+    monkeypatch.setattr(linalg, "FEW_SAMPLES", 5)
+    monkeypatch.setattr(pairwise, "ROWS_SENT", 11)
+
+    def never(*a, **k):
+        raise AssertionError("a samples x samples matrix")
+
+    monkeypatch.setattr(linalg, "distances", never)
+    kept = linalg.mds(g, 3).toPandas()
+    assert list(whole.iid) == list(kept.iid)
+    assert np.allclose(whole.select_dtypes("number"), kept.select_dtypes("number"), atol=1e-7)
+    with pytest.raises(ValueError, match="unique"):
+        linalg.mds(g.with_(samples=g.samples.withColumn("iid", F.lit("same"))))
+
+
 def test_largest_finds_values_as_often_as_they_occur():
     q = np.linalg.qr(np.random.default_rng(1).standard_normal((300, 300)))[0]
     value = np.concatenate([[9.0, 9, 9, 8], np.linspace(5, -7, 296)])
