@@ -337,6 +337,22 @@ def test_report_import_and_map_only_markers(spark, tmp_path):
     assert column(stats.nmiss(back), "n_missing")[3] == 2
 
 
+def test_a_report_is_written_by_tasks_without_shuffling_missing_cells(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(report, "CELLS_PER_FILE", 6, raising=False)
+    g = make(spark, [[0, 1, None, 2], [2, None, None, 1], [1, 1, None, None]], x=[[0.1, 0.2, 0.3, 0.4]] * 3, y=[[0.3, 0.4, 0.5, 1e-5]] * 3)
+    g = g.with_(calls=g.calls.where("sample_idx <> 2 and not (marker_idx = 1 and sample_idx = 3)"))
+    report.write_report(g, str(tmp_path / "r"))
+    files = sorted((tmp_path / "r").glob("part-*"))
+    assert len(files) > 1
+    lines = "".join(f.read_text() for f in files).split("\n")
+    assert lines[:1] + lines[8:10] == ["[Header]", "[Data]", "\t".join(report.COLUMNS.values())]
+    assert [tuple(x.split("\t")[:2]) for x in lines[10:-1]] == [(f"snp{m}", f"id{k}") for k in range(1, 5) for m in range(1, 4)]
+    assert lines[10] == "snp1\tid1\t0.1\t0.3\tA\tA" and lines[16] == "snp1\tid3\tNaN\tNaN\t-\t-"
+    assert lines[20] == "snp2\tid4\tNaN\tNaN\t-\t-" and lines[21] == "snp3\tid4\t0.4\t1.0E-5\t-\t-"
+    back = report.read_beadstudio(spark, str(tmp_path / "r"), g.markers.drop("marker_idx", "filter"))
+    assert matrix(back) == matrix(g) and back.samples.count() == 4
+
+
 def test_validate_finds_what_is_wrong(spark):
     g = make(spark, [[0, 1]], a1=["A"], a2=["A"])
     bad = g.with_(calls=g.calls.union(spark.createDataFrame([(7, 0, 5, None, None)], g.calls.schema)))
