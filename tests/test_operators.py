@@ -327,6 +327,42 @@ def test_bed_round_trip_for_any_number_of_samples(spark, tmp_path, n):
     assert all(abs(got[i, j] - xs[i][j]) < 2e-4 for i in range(6) for j in range(n))
 
 
+@pytest.mark.parametrize("n", [1, 4, 6])
+def test_tasks_write_the_bytes_of_a_fileset_as_folders(spark, tmp_path, monkeypatch, n):
+    import pyarrow as pa
+
+    monkeypatch.setattr(plink, "CELLS_PER_PART", 6, raising=False)
+    rng = np.random.default_rng(n)
+    rows = [[None if v == 3 else int(v) for v in r] for r in rng.integers(0, 4, (7, n))]
+    xs = rng.integers(0, 80000, (7, n)) / 10000
+    ys = np.where(rng.random((7, n)) < 0.5, 0.0, xs / 2)
+    g = make(spark, rows, x=xs.tolist(), y=ys.tolist())
+    g = g.with_(calls=g.calls.where("marker_idx not in (2, 3) and (dosage is not null or sample_idx % 2 = 0)"))
+    plink.write_plink(g, f"{tmp_path}/one", intensity=True)
+    plink.write_plink(g, f"{tmp_path}/many", intensity=True, parts=True)
+    for kind in ("bed", "bii"):
+        files = sorted((tmp_path / f"many.{kind}").iterdir())
+        whole = b"".join(pa.input_stream(f, compression="zstd").read() for f in files)
+        assert whole == (tmp_path / f"one.{kind}").read_bytes() and len(files) > 1
+    dense = sorted(map(tuple, plink.read_plink(spark, f"{tmp_path}/one", intensity=True).calls.collect()), key=str)
+    assert len(dense) == 7 * n
+    for called in (False, True):
+        for condition, holds in (("true", lambda m: True), ("marker_idx between 1 and 4", lambda m: 1 <= m <= 4), ("marker_idx > 6", lambda m: m > 6)):
+            back = plink.read_plink(spark, f"{tmp_path}/many", intensity=True, called=called).calls.where(condition)
+            want = [r for r in dense if holds(r[0]) and not (called and r[2] is None)]
+            assert sorted(map(tuple, back.collect()), key=str) == want
+
+
+def test_only_called_cells_of_a_fileset_are_made_where_asked_for(spark, tmp_path):
+    g = make(spark, [[None, None, 1, None, None]] * 3, x=[[0.0] * 5] * 3, y=[[0.0] * 5] * 3)
+    plink.write_plink(g, str(tmp_path / "p"), intensity=True)
+    made = plink.BedReader({"path": str(tmp_path / "p.bed"), "n_samples": "5", "n_markers": "3", "called": "true"})
+    assert [x.num_rows for p in made.partitions() for x in made.read(p)] == [3]
+    # a call without intensities is there, too
+    back = plink.read_plink(spark, str(tmp_path / "p"), intensity=True, called=True).long()
+    assert sorted((r.marker_idx, r.sample_idx, r.dosage, r.x, r.y) for r in back.collect()) == [(m, 2, 1, 0.0, 0.0) for m in range(3)]
+
+
 def test_report_import_and_map_only_markers(spark, tmp_path):
     g = make(spark, [[0, 1], [2, None], [1, 1]], x=[[0.1, 0.2]] * 3, y=[[0.3, 0.4]] * 3)
     report.write_report(g, str(tmp_path / "r"))
