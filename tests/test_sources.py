@@ -61,3 +61,28 @@ def test_scan_prunes_columns_and_pushes_filters(spark, sf):
     plan = select.subset(adapter(spark, sf), "chr = 'chr3'").observed().groupBy("marker_idx").count()._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and "ReadSchema" in plan and "l_quantity" not in plan
     assert qc is not None
+
+
+def test_hgdp_writes_every_sample(spark, sf, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from locusframe.plans import all_queries
+    from locusframe.plans.adapter import genotypes
+    from locusframe.sources import export
+    from tests.support import assert_same
+
+    monkeypatch.setattr(export, "CELLS_PER_FILE", 700)
+    g = genotypes(spark, sf)
+    export.write_hgdp(g, str(tmp_path / "set"))
+    files = sorted((tmp_path / "set.geno").iterdir())
+    text = "".join(pa.input_stream(str(f), compression="zstd").read().decode() for f in files)
+    header, *lines = text.splitlines()
+    wide = export.hgdp_table(g)
+    assert len(files) == 3 and header.split("\t") == wide.columns
+    assert [x.split("\t") for x in lines] == [list(r) for r in wide.collect()]
+    # the query makes the whole table before it shows a column
+    asked = []
+    whole = export.write_hgdp
+    monkeypatch.setattr(export, "write_hgdp", lambda g, prefix: (asked.append(g.samples.count()), whole(g, prefix)))
+    assert_same(all_queries().QUERIES["hgdp"](spark, sf), sf, all_queries().ORACLE_SQL["hgdp"])
+    assert asked == [10]
