@@ -4,12 +4,31 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from locusframe.model import GenotypeSet
 
 
+# the C library's, as in the SQL's engine: the JVM's differ in the last bit, which decides where a result is a tie of its rounding
+@F.arrow_udf(DoubleType())
+def atan(v: pa.Array) -> pa.Array:
+    return pc.atan(v)
+
+
+@F.arrow_udf(DoubleType())
+def tan(v: pa.Array) -> pa.Array:
+    return pc.tan(v)
+
+
+@F.arrow_udf(DoubleType())
+def log2(v: pa.Array) -> pa.Array:
+    return pc.log2(v)
+
+
 def quantile_normalize(g: GenotypeSet, force: bool = False) -> GenotypeSet:
     """Give each sample's x (and y) the same distribution: the mean over samples of each rank's value.
 
@@ -29,7 +48,7 @@ def quantile_normalize(g: GenotypeSet, force: bool = False) -> GenotypeSet:
 
 def theta(x: Column, y: Column) -> Column:
     """2 / pi * atan(y / x): 0 on the x axis, 1 on the y axis."""
-    return F.lit(2 / math.pi) * F.when(x == 0, F.when(y == 0, None).otherwise(math.pi / 2)).otherwise(F.atan(y / F.nullif(x, F.lit(0.0))))
+    return F.lit(2 / math.pi) * F.when(x == 0, F.when(y == 0, None).otherwise(math.pi / 2)).otherwise(atan(y / F.nullif(x, F.lit(0.0))))
 
 
 def bound(c: Column, lo: float, hi: float) -> Column:
@@ -38,7 +57,7 @@ def bound(c: Column, lo: float, hi: float) -> Column:
 
 def log2_ratio(a: Column, b: Column) -> Column:
     """log2(a / b), null unless both are positive."""
-    return F.when((a > 0) & (b > 0), F.log2(a / b))
+    return log2(F.when((a > 0) & (b > 0), a / b))
 
 
 def baf_lrr(cells: DataFrame, medians: tuple[Column, Column]) -> DataFrame:
@@ -64,17 +83,17 @@ def baf_lrr(cells: DataFrame, medians: tuple[Column, Column]) -> DataFrame:
     case = lambda a, h, b: (has_a == F.lit(a)) & (has_h == F.lit(h)) & (has_b == F.lit(b))
     pair = [
         (th.isNull() | disordered | (~has_a & ~has_b), none, none),
-        (case(False, False, True), F.when(th >= tb, one), F.when(th >= tb, log2_ratio(r, rb))),
-        (case(True, False, False), F.when(th <= ta, zero), F.when(th <= ta, log2_ratio(r, ra))),
-        (case(True, False, True), F.when(near_a & (th < ta), zero).when(~near_a & (th >= tb), one), F.when(near_a & (th < ta), log2_ratio(r, ra)).when(~near_a & (th >= tb), log2_ratio(r, rb))),
-        (case(False, True, True), F.when(th >= tb, one).when(th >= th2, up).when(th < med_a, zero).otherwise(F.lit(0.5) * F.try_divide(th - med_a, th2 - med_a)), F.when((th >= th2) & (th < tb), log2_ratio(r, r_up))),
-        (case(True, True, False), F.when(th <= ta, zero).when(th <= th2, down).when(th > med_b, one).otherwise(F.lit(0.5) + F.lit(0.5) * F.try_divide(th - th2, med_b - th2)), F.when((th <= th2) & (th > ta), log2_ratio(r, r_down))),
-        (F.lit(True), F.when(th <= ta, zero).when(th <= th2, down).when(th <= tb, up).otherwise(one), log2_ratio(r, F.when(th <= ta, ra).when(th <= th2, r_down).when(th <= tb, r_up).otherwise(rb))),
+        (case(False, False, True), F.when(th >= tb, one), F.when(th >= tb, rb)),
+        (case(True, False, False), F.when(th <= ta, zero), F.when(th <= ta, ra)),
+        (case(True, False, True), F.when(near_a & (th < ta), zero).when(~near_a & (th >= tb), one), F.when(near_a & (th < ta), ra).when(~near_a & (th >= tb), rb)),
+        (case(False, True, True), F.when(th >= tb, one).when(th >= th2, up).when(th < med_a, zero).otherwise(F.lit(0.5) * F.try_divide(th - med_a, th2 - med_a)), F.when((th >= th2) & (th < tb), r_up)),
+        (case(True, True, False), F.when(th <= ta, zero).when(th <= th2, down).when(th > med_b, one).otherwise(F.lit(0.5) + F.lit(0.5) * F.try_divide(th - th2, med_b - th2)), F.when((th <= th2) & (th > ta), r_down)),
+        (F.lit(True), F.when(th <= ta, zero).when(th <= th2, down).when(th <= tb, up).otherwise(one), F.when(th <= ta, ra).when(th <= th2, r_down).when(th <= tb, r_up).otherwise(rb)),
     ]
-    baf, lrr = F.when(pair[0][0], pair[0][1]), F.when(pair[0][0], pair[0][2])
-    for rule, b, l in pair[1:]:  # noqa: E741
-        baf, lrr = baf.when(rule, b), lrr.when(rule, l)
-    return cells.withColumns({"baf": baf, "lrr": lrr}).drop("ta", "tb", "ra", "rb")
+    baf, expected = F.when(pair[0][0], pair[0][1]), F.when(pair[0][0], pair[0][2])
+    for rule, b, e in pair[1:]:
+        baf, expected = baf.when(rule, b), expected.when(rule, e)
+    return cells.withColumns({"baf": baf, "lrr": log2_ratio(r, expected)}).drop("ta", "tb", "ra", "rb")
 
 
 def tqn(g: GenotypeSet, clusters: DataFrame, cap: float = 1.5, prenorm: bool = False, xy_norm: bool = True, adjust_lrr: bool = False) -> GenotypeSet:
@@ -104,8 +123,8 @@ def tqn(g: GenotypeSet, clusters: DataFrame, cap: float = 1.5, prenorm: bool = F
     cells = cells.withColumn("theta", F.when(~missing, bound(theta(F.col("xn"), F.col("yn")), 0, 1)))
     centres = clusters.agg(*[F.expr(f"percentile_disc(0.5) within group (order by {k} desc)").alias(m) for k, m in (("AT", "med_a"), ("BT", "med_b"))])
     cells = baf_lrr(cells.crossJoin(F.broadcast(centres)), (F.col("med_a"), F.col("med_b")))
-    tan = F.tan(F.col("theta") * (math.pi / 2))
-    cells = cells.withColumn("y", F.col("r") * tan / (1 + tan)).withColumn("x", F.col("r") - F.col("y"))
+    cells = cells.withColumn("tan", tan(F.col("theta") * (math.pi / 2)))
+    cells = cells.withColumn("y", F.col("r") * F.col("tan") / (1 + F.col("tan"))).withColumn("x", F.col("r") - F.col("y"))
     if adjust_lrr:
         cells = cells.withColumn("lrr", log2_ratio(F.col("x") + F.col("y"), F.col("Rmean")))
     return g.with_(calls=cells.select("marker_idx", "sample_idx", "dosage", "x", "y", "baf", "lrr"), normalized=True)

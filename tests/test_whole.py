@@ -101,3 +101,14 @@ def test_tqn_rounds_as_its_sql_does(spark, tmp_path):
     spark.createDataFrame([(1, 0, 1.0)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     spark.createDataFrame([(1,)], "vec_id long").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert_same(REGISTRY.QUERIES["tqn"](spark, str(tmp_path)), str(tmp_path), REGISTRY.ORACLE_SQL["tqn"])
+
+
+def test_tqn_takes_angles_as_its_sql_does(spark, tmp_path):
+    # s1's x at m2 is 0.1884375 but for the last bit, which the angle's tangent decides
+    line = "l_partkey long, l_suppkey long, l_returnflag string, l_quantity double, l_discount double"
+    lines = [(2, 1, "A", 6.0, 0.04), (3, 1, "N", 26.0, 0.03)]
+    spark.createDataFrame(lines, line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(2,), (3,)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 0, 1.0)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(1,)], "vec_id long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert_same(REGISTRY.QUERIES["tqn"](spark, str(tmp_path)), str(tmp_path), REGISTRY.ORACLE_SQL["tqn"])
