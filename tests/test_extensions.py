@@ -177,3 +177,24 @@ def test_complete_linkage_is_as_by_the_least_of_all_distances_and_not_cubic():
     began = time.process_time()
     assert sorted(linalg.complete_linkage_order(np.maximum(d, d.T))) == list(range(3000))
     assert time.process_time() - began < 10  # a search of the whole matrix for each merge takes longer
+
+
+def test_the_basis_of_components_is_not_in_memory():
+    import tracemalloc
+
+    from locusframe.operators import linalg
+
+    n, sent = 20_000, []
+    weight = np.r_[np.linspace(0, 1, n - 8), 1.02 + np.arange(8) / 100]
+
+    def apply(v):
+        sent.append(v.shape[1])
+        return weight[:, None] * v
+
+    tracemalloc.start()
+    value, vector = linalg.largest(apply, n, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(value, weight[::-1][:4]) and np.allclose(np.abs(vector[n - 1 - np.arange(4), np.arange(4)]), 1)
+    # the columns that the iteration made would be more than all that was held
+    assert sum(sent) * n * 8 > 1.4 * peak
