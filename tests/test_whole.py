@@ -112,3 +112,16 @@ def test_tqn_takes_angles_as_its_sql_does(spark, tmp_path):
     spark.createDataFrame([(1, 0, 1.0)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     spark.createDataFrame([(1,)], "vec_id long").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert_same(REGISTRY.QUERIES["tqn"](spark, str(tmp_path)), str(tmp_path), REGISTRY.ORACLE_SQL["tqn"])
+
+
+def test_pairs_of_markers_with_missing_cells_are_not_compared(spark, sf, monkeypatch):
+    from locusframe.operators import pairwise
+
+    compared = []
+    tiles = pairwise.pair_sums
+    monkeypatch.setattr(pairwise, "pair_sums", lambda cells, items, *a, **k: (compared.append(items), tiles(cells, items, *a, **k))[1])
+    monkeypatch.setattr(pairwise, "PAIRS_PER_TASK", 100)
+    assert_same(REGISTRY.QUERIES["ld_complete"](spark, sf), sf, REGISTRY.ORACLE_SQL["ld_complete"])
+    g = genotypes(spark, sf)
+    full = {r.marker_idx for r in g.observed().groupBy("marker_idx").count().where(f"count = {g.samples.count()}").collect()}
+    assert 0 < len(full) < g.markers.count() and {r.item for r in compared[0].collect()} == full
