@@ -198,3 +198,25 @@ def test_the_basis_of_components_is_not_in_memory():
     assert np.allclose(value, weight[::-1][:4]) and np.allclose(np.abs(vector[n - 1 - np.arange(4), np.arange(4)]), 1)
     # the columns that the iteration made would be more than all that was held
     assert sum(sent) * n * 8 > 1.4 * peak
+
+
+def test_distances_are_kept_of_pairs_that_have_one_in_small_parts(spark, sf, monkeypatch):
+    from locusframe.operators import linalg
+    from locusframe.operators.pairwise import tile_counts
+    from locusframe.plans.adapter import genotypes
+
+    monkeypatch.setattr(linalg, "PAIRS_PACKED", 7)
+    g = genotypes(spark, sf)
+    # s0 to s4 and s5 to s9 have no marker in common
+    g = g.with_(calls=g.calls.where("marker_idx % 2 = floor(sample_idx / 5)"))
+    ids = np.arange(10)
+    held, mean = linalg.kept_distances(g, ids)
+    parts = held.collect()
+    assert sum(len(r["d"]) // 8 for r in parts) == 2 * 20
+    e = np.zeros((10, 10))
+    for r in tile_counts(g, every=True).collect():
+        e[r.i, r.j] = e[r.j, r.i] = (r.ibs1 + 2 * r.ibs0) / (2 * r.n) if r.n else np.nan
+    assert np.isclose(mean, np.nanmean(e))
+    e = np.where(np.isnan(e), mean, e) ** 2
+    v = np.random.default_rng(1).standard_normal((10, 3))
+    assert np.allclose(linalg.squared_products(held, mean, v), e @ v)
