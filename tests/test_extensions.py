@@ -220,3 +220,23 @@ def test_distances_are_kept_of_pairs_that_have_one_in_small_parts(spark, sf, mon
     e = np.where(np.isnan(e), mean, e) ** 2
     v = np.random.default_rng(1).standard_normal((10, 3))
     assert np.allclose(linalg.squared_products(held, mean, v), e @ v)
+
+
+def test_heat_map_bounds_linked_samples_not_all(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows, group = rng.integers(0, 3, (60, 24)), rng.permutation(np.arange(24) % 4)
+    # a group of six samples shares no marker with the others, and the samples of group 3 are each alone
+    rows = [[int(v) if k % 3 == group[s] else None for s, v in enumerate(row)] for k, row in enumerate(rows)]
+    g = make(spark, rows)
+    g = g.with_(samples=g.samples.withColumn("sample_idx", F.col("sample_idx") * 3 + 5), calls=g.calls.withColumn("sample_idx", F.col("sample_idx") * 3 + 5))
+    names, d = linalg.distances(g)
+    d = np.where(np.isnan(d), 1, d)
+    np.fill_diagonal(d, 0)
+    want = [names[k] for k in linalg.complete_linkage_order(d)]
+    monkeypatch.setattr(linalg, "MOST_SAMPLES", 6)
+    for cells in (1 << 24, 4):  # a group's matrix in memory, and in a file
+        monkeypatch.setattr(linalg, "CELLS_IN_MEMORY", cells)
+        assert [r.iid for r in linalg.heatmap_order(g).orderBy("place").collect()] == want
+    monkeypatch.setattr(linalg, "MOST_SAMPLES", 5)
+    with pytest.raises(ValueError, match="too large"):
+        linalg.heatmap_order(g)
