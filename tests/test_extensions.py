@@ -240,3 +240,15 @@ def test_heat_map_bounds_linked_samples_not_all(spark, monkeypatch):
     monkeypatch.setattr(linalg, "MOST_SAMPLES", 5)
     with pytest.raises(ValueError, match="too large"):
         linalg.heatmap_order(g)
+
+
+def test_heat_map_has_every_cell(spark, monkeypatch):
+    g = make(spark, [[0, 1, 2, 1, None], [1, 1, 0, 0, None], [None, None, None, None, 2]])
+    monkeypatch.setattr(linalg, "MOST_SAMPLES", 4)
+    monkeypatch.setattr(linalg, "ROWS_FILLED", 2)
+    monkeypatch.setattr(linalg, "COLUMNS_FILLED", 3)
+    place = {r.iid: r.place for r in linalg.heatmap_order(g).collect()}
+    d = {frozenset((r.iid1, r.iid2)): r.dist for r in pairwise.dist_ibs(g).collect()}
+    want = {(a, place[a], b, place[b]): 1.0 if a == b else 1 - (1.0 if d[frozenset((a, b))] is None else d[frozenset((a, b))]) for a in place for b in place}
+    got = [tuple(r) for r in linalg.heatmap(g).collect()]
+    assert len(got) == 25 and {x[:4]: x[4] for x in got} == want
