@@ -252,3 +252,16 @@ def test_heat_map_has_every_cell(spark, monkeypatch):
     want = {(a, place[a], b, place[b]): 1.0 if a == b else 1 - (1.0 if d[frozenset((a, b))] is None else d[frozenset((a, b))]) for a in place for b in place}
     got = [tuple(r) for r in linalg.heatmap(g).collect()]
     assert len(got) == 25 and {x[:4]: x[4] for x in got} == want
+
+
+def test_cells_of_components_are_made_once(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    g = make(spark, [[None if v == 3 else int(v) for v in row] for row in rng.integers(0, 4, (60, 40))])
+    whole = linalg.pca(g, 3)[1].toPandas()
+    plans, kept = [], linalg.kept_rows
+    monkeypatch.setattr(linalg, "FEW_SAMPLES", 5)
+    monkeypatch.setattr(linalg, "kept_rows", lambda cells, ids: (plans.append(cells._jdf.queryExecution().optimizedPlan().toString()), kept(cells, ids))[1])
+    found = linalg.pca(g, 3)[1].toPandas()
+    assert np.allclose(whole.explained, found.explained, atol=1e-7)
+    # rows are counted and packed from a written table, not each time from the calls
+    assert len(plans) == 1 and "Join" not in plans[0] and "Aggregate" not in plans[0]
