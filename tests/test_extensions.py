@@ -265,3 +265,14 @@ def test_cells_of_components_are_made_once(spark, monkeypatch):
     assert np.allclose(whole.explained, found.explained, atol=1e-7)
     # rows are counted and packed from a written table, not each time from the calls
     assert len(plans) == 1 and "Join" not in plans[0] and "Aggregate" not in plans[0]
+
+
+def test_loadings_standardise_once(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    g = make(spark, [[None if v == 3 else int(v) for v in row] for row in rng.integers(0, 4, (60, 40))])
+    whole = linalg.pca_loadings(g, 2).orderBy("marker_idx").toPandas()
+    made, standardised = [], linalg.standardised
+    monkeypatch.setattr(linalg, "FEW_SAMPLES", 5)
+    monkeypatch.setattr(linalg, "standardised", lambda g: (made.append(g), standardised(g))[1])
+    kept = linalg.pca_loadings(g, 2).orderBy("marker_idx").toPandas()
+    assert np.allclose(whole, kept, atol=1e-6) and len(made) == 1
