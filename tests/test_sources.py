@@ -86,3 +86,33 @@ def test_hgdp_writes_every_sample(spark, sf, tmp_path, monkeypatch):
     monkeypatch.setattr(export, "write_hgdp", lambda g, prefix: (asked.append(g.samples.count()), whole(g, prefix)))
     assert_same(all_queries().QUERIES["hgdp"](spark, sf), sf, all_queries().ORACLE_SQL["hgdp"])
     assert asked == [10]
+
+
+def test_report_is_written_packed_line_for_line(spark, sf, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from locusframe.plans import all_queries
+    from locusframe.plans.adapter import genotypes
+    from locusframe.sources import report
+    from tests.support import assert_same
+
+    monkeypatch.setattr(report, "BYTES_AT_ONCE", 1000)
+    g = genotypes(spark, sf)
+    # s3 has no cell, and a cell of s5 has two rows
+    g = g.with_(calls=g.calls.where("sample_idx <> 3").unionByName(g.calls.where("sample_idx = 5 and marker_idx = (select min(l_partkey) from {t} where l_suppkey = 5)".format(t=f"parquet.`{sf}/lineitem.parquet`"))))
+    report.write_report(g, str(tmp_path / "text"))
+    report.write_report(g, str(tmp_path / "packed"), packed=True)
+    text = "".join(p.read_text() for p in sorted((tmp_path / "text").glob("part-*")))
+    packed = "".join(pa.input_stream(str(p), compression="zstd").read().decode() for p in sorted((tmp_path / "packed").iterdir()) if p.suffix == ".zst")
+    assert text == packed and len(text.splitlines()) == 10 + 200 * 10 + 1
+    cells, counts, pairs = report.read_packed(spark, str(tmp_path / "packed"))
+    n = {}
+    for r in counts.collect():
+        n[r.iid] = n.get(r.iid, 0) + r.n
+    assert n == {f"s{i}": 200 + (i == 5) for i in range(10)} and pairs["Num SNPs"] == "200"
+    whole, _ = report.read_report(spark, str(tmp_path / "text"))
+    key = lambda r: (r.marker, r.iid, r.call, str(r.x), str(r.y))
+    assert sorted(map(key, cells.collect())) == sorted(key(r) for r in whole.collect() if r.call != "N" or str(r.x) != "nan")
+    with pytest.raises(ValueError, match="rows for 200 markers"):
+        report.read_beadstudio(spark, str(tmp_path / "packed"), g.markers.drop("marker_idx", "filter"), packed=True)
+    assert_same(all_queries().QUERIES["report_import"](spark, sf), sf, all_queries().ORACLE_SQL["report_import"])
