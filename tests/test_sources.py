@@ -103,7 +103,7 @@ def test_report_is_written_packed_line_for_line(spark, sf, tmp_path, monkeypatch
     report.write_report(g, str(tmp_path / "text"))
     report.write_report(g, str(tmp_path / "packed"), packed=True)
     text = "".join(p.read_text() for p in sorted((tmp_path / "text").glob("part-*")))
-    packed = "".join(pa.input_stream(str(p), compression="zstd").read().decode() for p in sorted((tmp_path / "packed").iterdir()) if p.suffix == ".zst")
+    packed = "".join(pa.input_stream(pa.input_stream(str(p), compression="zstd"), compression="zstd").read().decode() for p in sorted((tmp_path / "packed").iterdir()) if p.suffix == ".zst")
     assert text == packed and len(text.splitlines()) == 10 + 200 * 10 + 1
     cells, counts, pairs = report.read_packed(spark, str(tmp_path / "packed"))
     n = {}
