@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.operators import assoc, combine, haplotypes, linalg, linkage, pairwise, select, stats
+from locusframe.operators import assoc, combine, haplotypes, linalg, linkage, pairwise, plotdata, select, stats
 from locusframe.plans.adapter import genotypes as adapter
 from locusframe.sources import plink
 from tests.test_operators import make
@@ -276,3 +276,26 @@ def test_loadings_standardise_once(spark, monkeypatch):
     monkeypatch.setattr(linalg, "standardised", lambda g: (made.append(g), standardised(g))[1])
     kept = linalg.pca_loadings(g, 2).orderBy("marker_idx").toPandas()
     assert np.allclose(whole, kept, atol=1e-6) and len(made) == 1
+
+
+def test_explained_variance_of_many_equal_groups_brings_one_sum_a_pass_to_the_driver(spark, monkeypatch):
+    # like the tables repeated with shifted keys: groups without a marker in common, each eigenvalue once a group
+    rng = np.random.default_rng(3)
+    one = [[None if v == 3 else int(v) for v in row] for row in rng.integers(0, 4, (30, 12))]
+    copies = 9
+    g = make(spark, [[None] * 12 * c + row + [None] * 12 * (copies - 1 - c) for c in range(copies) for row in one])
+    first = linalg.pca(make(spark, one), 1)[1].first()
+    frame, fetched = type(spark.range(0)), []
+    collect = frame.collect
+
+    def counted(self):
+        rows = collect(self)
+        fetched.append(sum(len(x) for r in rows for x in r if isinstance(x, bytes | bytearray)))
+        return rows
+
+    monkeypatch.setattr(linalg, "FEW_SAMPLES", 5)
+    monkeypatch.setattr(frame, "collect", counted)
+    found = plotdata.scree(linalg.pca(g, 4)[1]).toPandas().sort_values("pc")
+    assert np.allclose(found.eigenvalue, first.eigenvalue) and np.allclose(found.cumulative, first.explained / copies * np.arange(1, 5))
+    # of a pass the driver gets one array of the size of its six vectors, not one from each of the tasks
+    assert max(fetched) == 12 * copies * 6 * 8
